@@ -107,7 +107,10 @@ def _beta_cdf(x: float, a: float, b: float) -> float:
     return front * h
 
 
-@pandas_udf("double")
-def chi_square_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
+def chi_square_p(statistic: Column, dof: Column) -> Column:
     """p-value per row; meant for result tables with one row per feature."""
-    return pd.Series([chi_square_tail(s, d) for s, d in zip(statistic, dof)], dtype="float64")
+
+    def tail(x: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([chi_square_tail(a, b) for a, b in zip(x, d)], dtype="float64")
+
+    return pandas_udf(tail, "double")(statistic, dof)
