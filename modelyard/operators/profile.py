@@ -17,9 +17,14 @@ def require_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+def missing_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The names in `columns` that `df` lacks."""
+    return sorted(set(columns) - set(df.columns))
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Reject a table that lacks one of `columns`; the message names what is missing."""
-    missing = sorted(set(columns) - set(df.columns))
+    missing = missing_columns(df, columns)
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
