@@ -101,7 +101,7 @@ class FastICA(PlainModel):
     def fit(self, df: DataFrame) -> "FastICA":
         n, mean, scatter = _moments(df)
         values, vectors = np.linalg.eigh(scatter / n)
-        order = [i for i in np.argsort(values)[::-1] if values[i] > 1e-12 * values.max()][: self.n_components]
+        order = [i for i in np.argsort(values)[::-1] if values[i] > 1e-15 * values.max()][: self.n_components]
         white = vectors[:, order].T / np.sqrt(values[order])[:, None]
         k = len(order)
         turn = _orthogonal(np.random.default_rng(self.seed).normal(size=(k, k)))

@@ -218,3 +218,33 @@ def _interpolate(values: list[tuple[float, int]], position: float) -> float:
         if low is not None and reached > lower + 1:
             return low + share * (value - low)
     return low
+
+
+def running_max(df: DataFrame, value: str, order: str, group: Sequence[str] = (), tie: Sequence[str] = ()) -> DataFrame:
+    """Add `best`, the largest `value` so far by (`order`, `tie`) within `group`."""
+    group, tie = list(group), list(tie)
+    cut = with_range(df, F.col(order))
+    inner = Window.partitionBy(*group, "_range").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*group, "_range").agg(F.max(value).alias("_top"))
+    tops = tops.select(*group, "_range", F.max("_top").over(outer).alias("_before"))
+    joined = cut.withColumn("_here", F.max(value).over(inner)).join(tops, [*group, "_range"])
+    return joined.select(*df.columns, F.greatest("_here", "_before").alias("best"))
+
+
+def trailing(
+    df: DataFrame, order: str, group: Sequence[str], n: int, outputs: dict[str, Column], block_rows: int = 10_000
+) -> DataFrame:
+    """Add aggregates over the last `n` rows (this one included) by a unique `order` within `group`.
+
+    Rows are numbered, cut into blocks, and every block also gets the n - 1 rows before it, so that a long series is
+    many window partitions.
+    """
+    ranked = row_rank(df, order, group)
+    block = F.floor((F.col("row_rank") - 1) / block_rows).cast("long")
+    place = F.pmod(F.col("row_rank") - 1, F.lit(block_rows))
+    copies = F.when(place >= block_rows - (n - 1), F.array(block, block + 1)).otherwise(F.array(block))
+    spread = ranked.withColumn("_own", block).withColumn("_block", F.explode(copies))
+    window = Window.partitionBy(*group, "_block").orderBy("row_rank").rowsBetween(-(n - 1), 0)
+    added = spread.select("*", *[c.over(window).alias(name) for name, c in outputs.items()])
+    return added.where(F.col("_own") == F.col("_block")).drop("_own", "_block", "row_rank")

@@ -1 +1,365 @@
-"""Queries."""
+"""Model queries. Fitted models differ between engines, so most are checked for rows only and tested on fixtures."""
+
+import uuid
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, functions as F
+
+from modelyard.functions.vectors import as_vector, assemble
+from modelyard.operators import explain as X
+from modelyard.operators import search as S
+from modelyard.operators.comparison import side_by_side
+from modelyard.operators.models import estimator
+from modelyard.operators.neighbours import nearest
+from modelyard.operators.partitioning import dbscan, spectral
+from modelyard.operators.split import train_test_split
+from modelyard.plans.catalog import Tables, query, rounded
+from modelyard.plans.pipelines import evaluate
+from modelyard.session import shared_folder
+
+INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def scratch(t: Tables, name: str) -> str:
+    """A new folder next to the checkpoints, which every executor can reach."""
+    return f"{shared_folder(t.spark)}/modelyard/{name}-{uuid.uuid4().hex}"
+
+
+def line_key():
+    """A row key of `lineitem`: order and line number alone are not unique there."""
+    columns = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    return F.xxhash64(*columns).alias("key")
+
+
+def line_classes(t: Tables) -> DataFrame:
+    """Whether a line was returned, from its numbers."""
+    return t.lineitem.select(
+        line_key(),
+        assemble(INPUTS).alias("features"),
+        (F.col("l_returnflag") == "R").cast("double").alias("label"),
+    )
+
+
+def line_prices(t: Tables) -> DataFrame:
+    return t.lineitem.select(
+        line_key(),
+        assemble(["l_quantity", "l_discount", "l_tax"]).alias("features"),
+        F.col("l_extendedprice").alias("label"),
+    )
+
+
+def vectors(t: Tables) -> DataFrame:
+    df = t.embeddings
+    return df.select(F.col("vec_id").alias("key"), as_vector(df, "embedding").alias("features"), F.col("label").cast("double").alias("label"))
+
+
+@query(
+    "ols_single",
+    """SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+       round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""",
+)
+def ols_single(t):
+    rows = t.lineitem.select(assemble(["l_quantity"]).alias("features"), F.col("l_extendedprice").alias("label"))
+    model = estimator("linear_regression", "regression").fit(rows)
+    found = [(round(float(model.coefficients[0]), 4), round(model.intercept, 4), round(model.summary.r2, 6))]
+    return t.spark.createDataFrame(found, "slope double, intercept double, r2 double")
+
+
+# Small settings: the point of the queries is the whole table, not the best model.
+SMALL = {
+    "random_forest": {"n_estimators": 10, "max_depth": 5},
+    "extra_trees": {"n_estimators": 10, "max_depth": 5},
+    "gradient_boosting": {"n_estimators": 5},
+    "hist_gradient_boosting": {"n_estimators": 5},
+    "xgboost": {"n_estimators": 5, "max_depth": 4, "subsample": 0.8, "colsample_bytree": 0.8},
+    "lightgbm": {"n_estimators": 5, "num_leaves": 20},
+    "catboost": {"iterations": 5, "depth": 4},
+    "ada_boost": {"n_estimators": 5},
+    "decision_tree": {"max_depth": 5},
+    "mlp": {"hidden": [8], "max_iter": 20},
+    "logistic_regression": {"max_iter": 50},
+    "linear_svc": {"max_iter": 10},
+    "sgd": {"max_iter": 10},
+}
+
+
+def _register_training(name: str, task: str, source) -> None:
+    @query(f"train_{task}_{name}")
+    def train(t):
+        train_rows, test_rows = train_test_split(source(t), ["key"])
+        model = estimator(name, task, **SMALL.get(name, {})).fit(train_rows)
+        return evaluate(model, test_rows, task)
+
+
+for _name in (
+    "logistic_regression random_forest gradient_boosting hist_gradient_boosting extra_trees ada_boost linear_svc decision_tree "
+    "mlp gaussian_nb multinomial_nb lda ridge sgd xgboost lightgbm catboost"
+).split():
+    _register_training(_name, "classification", line_classes)
+for _name in (
+    "linear_regression ridge lasso elastic_net random_forest gradient_boosting hist_gradient_boosting extra_trees ada_boost "
+    "decision_tree sgd xgboost lightgbm catboost"
+).split():
+    _register_training(_name, "regression", line_prices)
+
+
+NEAR_SQL = """
+WITH p AS (SELECT vec_id, label, embedding::DOUBLE[64] AS x FROM embeddings),
+pairs AS (SELECT a.vec_id AS key, b.vec_id AS donor, b.label, array_distance(a.x, b.x) AS gap FROM p a, p b WHERE a.vec_id <> b.vec_id),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY gap, donor) AS r FROM pairs) WHERE r <= 5)
+"""
+
+
+@query("nearest_neighbours", NEAR_SQL + "SELECT key, donor, round(gap, 6) AS gap FROM near")
+def nearest_neighbours(t):
+    rows = vectors(t)
+    return rounded(nearest(rows, rows, 5, skip_self=True).drop("label"))
+
+
+SELF_NEAR_SQL = NEAR_SQL.replace(" WHERE a.vec_id <> b.vec_id", "")
+
+
+@query(
+    "knn_classify",
+    SELF_NEAR_SQL
+    + """, votes AS (SELECT key, label, count(*) AS n FROM near GROUP BY ALL)
+SELECT key, arg_max(label, n * 1000 - label)::DOUBLE AS prediction FROM votes GROUP BY 1""",
+)
+def knn_classify(t):
+    rows = vectors(t)
+    return estimator("knn", "classification").fit(rows).transform(rows).select("key", "prediction")
+
+
+@query("knn_regress", SELF_NEAR_SQL + "SELECT key, round(avg(label), 6) AS prediction FROM near GROUP BY 1")
+def knn_regress(t):
+    rows = vectors(t)
+    return rounded(estimator("knn", "regression").fit(rows).transform(rows).select("key", "prediction"))
+
+
+def _clusters(model, rows: DataFrame) -> DataFrame:
+    return model.transform(rows).groupBy(F.col("prediction").cast("int").alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query("kmeans")
+def kmeans(t):
+    rows = vectors(t)
+    return _clusters(estimator("kmeans", "clustering", n_clusters=10).fit(rows), rows)
+
+
+@query("bisecting_kmeans")
+def bisecting_kmeans(t):
+    rows = vectors(t)
+    return _clusters(estimator("hierarchical", "clustering", n_clusters=10).fit(rows), rows)
+
+
+@query("minibatch_kmeans")
+def minibatch_kmeans(t):
+    rows = vectors(t)
+    return _clusters(estimator("minibatch_kmeans", "clustering", n_clusters=10, batch_rows=256, rounds=5).fit(rows), rows)
+
+
+# The radius reaches the near neighbours of most vectors.
+EPS = 1.12
+
+
+@query(
+    "dbscan",
+    f"""WITH RECURSIVE p AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings),
+close AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a, p b WHERE array_distance(a.x, b.x) <= {EPS}),
+core AS (SELECT a FROM close GROUP BY a HAVING count(*) >= 5),
+edges AS (SELECT c.a, c.b FROM close c JOIN core x ON c.a = x.a JOIN core y ON c.b = y.a),
+reach(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+named AS (SELECT a, min(b) AS cluster FROM reach GROUP BY 1),
+border AS (SELECT c.a, min(c.b) AS near FROM close c JOIN core y ON c.b = y.a WHERE c.a NOT IN (SELECT a FROM core) GROUP BY 1),
+found AS (SELECT * FROM named UNION ALL SELECT border.a, named.cluster FROM border JOIN named ON border.near = named.a)
+SELECT vec_id, coalesce(cluster, -1)::BIGINT AS cluster FROM p LEFT JOIN found ON vec_id = a""",
+)
+def dbscan_clusters(t):
+    return dbscan(t.embeddings.select("vec_id", as_vector(t.embeddings, "embedding").alias("features")), "vec_id", EPS)
+
+
+@query("spectral")
+def spectral_clusters(t):
+    return spectral(t.embeddings.select("vec_id", as_vector(t.embeddings, "embedding").alias("features")), "vec_id", 10)
+
+
+def _reduced(model, rows: DataFrame) -> DataFrame:
+    out = model.transform(rows)
+    column = "reduced" if "reduced" in out.columns else "topicDistribution"
+    return out.select("key", vector_to_array(column).alias("reduced"))
+
+
+@query("pca")
+def pca(t):
+    rows = vectors(t)
+    return _reduced(estimator("pca", "dimensionality_reduction", n_components=8).fit(rows), rows)
+
+
+@query(
+    "pca_variance",
+    """WITH c AS (SELECT unnest(range(64)) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), v AS (SELECT dim, var_samp(x) AS v FROM c GROUP BY 1)
+SELECT round(sum(v), 6) AS total_variance, 1.0::DOUBLE AS ratio FROM v""",
+)
+def pca_variance(t):
+    """All components together keep the whole variance."""
+    model = estimator("pca", "dimensionality_reduction").fit(vectors(t))
+    total, ratio = float(sum(model.explained_variance)), float(sum(model.explained_ratio))
+    return rounded(t.spark.createDataFrame([(total, ratio)], "total_variance double, ratio double"))
+
+
+@query("truncated_svd")
+def truncated_svd(t):
+    rows = vectors(t)
+    return _reduced(estimator("truncated_svd", "dimensionality_reduction", n_components=8).fit(rows), rows)
+
+
+@query("fast_ica")
+def fast_ica(t):
+    rows = line_classes(t)
+    return _reduced(estimator("fast_ica", "dimensionality_reduction", n_components=3, max_iter=10).fit(rows), rows)
+
+
+@query("nmf")
+def nmf(t):
+    rows = line_classes(t)
+    return _reduced(estimator("nmf", "dimensionality_reduction", n_components=2, max_iter=5).fit(rows), rows)
+
+
+@query("lda_topics")
+def lda_topics(t):
+    """Users as documents, their event types as words."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    counts = t.events.groupBy(F.col("user_id").alias("key")).agg(
+        *[F.count(F.when(F.col("event_type") == k, 1)).alias(k) for k in kinds]
+    )
+    rows = counts.select("key", assemble(kinds).alias("features"))
+    return _reduced(estimator("lda", "dimensionality_reduction", n_components=3).fit(rows), rows)
+
+
+@query("search_best")
+def search_best(t):
+    """Four random trials with two folds; one row per trial."""
+    found = S.search(
+        line_classes(t),
+        "classification",
+        ["key"],
+        n_trials=4,
+        folds=2,
+        names=["gaussian_nb", "lda", "ridge", "decision_tree"],
+    )
+    return S.trial_table(t.spark, found["trials"]).drop("started")
+
+
+STUDY_SQL = "WITH trials AS (SELECT user_id, event_id, ts, round(value / 500, 1) AS value FROM events)\n"
+
+
+def studies(t: Tables) -> DataFrame:
+    """Every user is a study, every event a trial."""
+    return t.events.select("user_id", "event_id", "ts", F.round(F.col("value") / 500, 1).alias("value"))
+
+
+@query(
+    "best_so_far",
+    STUDY_SQL + "SELECT user_id, event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best FROM trials",
+)
+def best_so_far(t):
+    return S.best_so_far(studies(t), ["user_id"], "event_id").select("user_id", "event_id", "best")
+
+
+@query(
+    "early_stop",
+    STUDY_SQL
+    + """SELECT user_id, event_id, count(*) OVER w = 5 AND max(value) OVER w - min(value) OVER w < 0.001 AS settled FROM trials
+WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+)
+def early_stop(t):
+    return S.settled_at(studies(t), ["user_id"], "event_id", patience=5).select("user_id", "event_id", "settled")
+
+
+@query("feature_importance")
+def feature_importance(t):
+    model = estimator("random_forest", "classification", **SMALL["random_forest"]).fit(line_classes(t))
+    return X.feature_importance(t.spark, model, INPUTS)
+
+
+WEIGHTS = [1000.0, 20000.0, -5000.0]
+
+
+@query(
+    "linear_shapley",
+    """WITH m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature,
+       unnest([round(1000.0 * (l_quantity - q), 4), round(20000.0 * (l_discount - d), 4), round(-5000.0 * (l_tax - x), 4)]) AS value
+FROM lineitem, m""",
+)
+def linear_shapley(t):
+    names = ["l_quantity", "l_discount", "l_tax"]
+    rows = t.lineitem.select(F.struct("l_orderkey", "l_linenumber").alias("key"), assemble(names).alias("features"))
+    return rounded(X.linear_shapley(rows, "key", WEIGHTS, names).select("key.*", "feature", "value"), 4)
+
+
+@query("sampled_shapley")
+def sampled_shapley(t):
+    rows = line_classes(t)
+    model = estimator("decision_tree", "classification", max_depth=4).fit(rows)
+    return X.sampled_shapley(rows, "key", model, INPUTS, sample_rows=100, permutations=4)
+
+
+@query("learning_curve")
+def learning_curve(t):
+    return X.learning_curve(
+        line_classes(t),
+        ["key"],
+        lambda: estimator("lda", "classification"),
+        lambda model, df: S.score(model, df, "classification"),
+        sizes=(0.1, 1.0),
+        folds=2,
+    )
+
+
+@query("compare_fitted_models")
+def compare_fitted_models(t):
+    """Two models on the same held-out rows, side by side."""
+    train_rows, test_rows = train_test_split(line_classes(t), ["key"])
+    out = None
+    for name in ("lda", "gaussian_nb"):
+        model = estimator(name, "classification").fit(train_rows)
+        part = evaluate(model, test_rows, "classification").withColumn("model_id", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return side_by_side(out, ["accuracy", "f1_macro", "roc_auc"])
+
+
+@query("champion_challenger")
+def champion_challenger(t):
+    """Train on lines shipped early, then retrain on the late ones if that is better."""
+    from modelyard.plans.pipelines import retrain_if_better, train
+    from modelyard.sources.store import Store
+
+    store = Store(t.spark, scratch(t, "champion"))
+    rows = t.lineitem.select(
+        line_key(), "l_quantity", "l_discount", "l_linestatus", "l_extendedprice", "l_shipdate"
+    )
+    cut = F.lit("1997-01-01").cast("timestamp")
+    options = {"n_trials": 1, "folds": 2, "names": ["linear_regression"]}
+    now = F.lit("2024-01-01").cast("timestamp")
+    train(store, rows.where(F.col("l_shipdate") < cut), "l_extendedprice", "regression", "price", ["key"], now, **options)
+    later = F.lit("2024-01-02").cast("timestamp")
+    retrain_if_better(store, rows.where(F.col("l_shipdate") >= cut), "price", ["key"], later, **options)
+    return store.read("model_updates").drop("id", "update_time")
+
+
+@query("predict_pipeline")
+def predict_pipeline(t):
+    """Train, store, load and score: every line gets a formatted prediction, which is also logged."""
+    from modelyard.plans.pipelines import predict, train
+    from modelyard.sources.store import Store
+
+    store = Store(t.spark, scratch(t, "predict"))
+    rows = t.lineitem.select(
+        line_key(), "l_quantity", "l_tax", "l_linestatus", "l_returnflag"
+    )
+    now = F.lit("2024-01-01").cast("timestamp")
+    options = {"n_trials": 1, "folds": 2, "names": ["gaussian_nb"]}
+    train(store, rows, "l_returnflag", "classification", "flag", ["key"], now, **options)
+    out = predict(store, rows.drop("l_returnflag"), "flag", now, keep=["key"])
+    return out.withColumn("probabilities", F.to_json("probabilities"))

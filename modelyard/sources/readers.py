@@ -40,11 +40,10 @@ def check_size(spark: SparkSession, path: str, limit: int | None = settings.MAX_
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """The first encoding that decodes every line.
 
-    All lines are tried, distributed: a text line that is no valid UTF-8 shows the replacement character. The one-byte
-    encodings after it accept any byte, so the first of them is the answer then.
+    All lines are tried, distributed. The one-byte encodings accept any byte, so the first of them is the answer when
+    some line is no valid UTF-8.
     """
-    lines = spark.read.text(path)
-    bad = lines.where(F.contains("value", F.lit("�"))).limit(1)
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return "utf-8" if bad.isEmpty() else "latin1"
 
 
