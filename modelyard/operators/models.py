@@ -21,19 +21,23 @@ SEED = settings.RANDOM_STATE
 
 
 class Sized:
-    """An estimator whose settings depend on the data: row count, classes or width, from one aggregate."""
+    """An estimator whose settings depend on the data: rows, classes, width and label deviation, from one aggregate."""
 
-    def __init__(self, make: Callable[[int, int, int], object]):
+    def __init__(self, make: Callable[[int, int, int, float], object]):
         self.make = make
 
     def fit(self, df: DataFrame):
         from modelyard.functions.vectors import as_array
 
-        label = F.max("label") if "label" in df.columns else F.lit(0.0)
-        row = df.select("*", F.size(as_array(df, "features")).alias("_p")).agg(
-            F.count("*").alias("n"), label.alias("top"), F.max("_p").alias("p")
+        row = df.select("label", F.size(as_array(df, "features")).alias("_p")).agg(
+            F.count("*").alias("n"),
+            F.max("label").alias("top"),
+            F.max("_p").alias("p"),
+            F.stddev_pop("label").alias("spread"),
         ).first()
-        return self.make(row["n"], int(row["top"] or 0) + 1, row["p"]).fit(df)
+        if not row["n"]:
+            raise ValueError("the table is empty")
+        return self.make(row["n"], int(row["top"]) + 1, row["p"], row["spread"]).fit(df)
 
 
 def _tree_options(p: dict, trees: str) -> dict:
@@ -70,7 +74,7 @@ def _boosted(defaults: dict, task: str) -> Callable:
         if task == "regression":
             return R.GBTRegressor(**options)
         one = C.GBTClassifier(**options)
-        return Sized(lambda n, k, width: one if k <= 2 else C.OneVsRest(classifier=one))
+        return Sized(lambda n, k, width, spread: one if k <= 2 else C.OneVsRest(classifier=one))
 
     return build
 
@@ -85,7 +89,7 @@ def _forest(kind, bootstrap: bool) -> Callable:
 
 def _svc(regularisation: Callable[[dict, int], float]) -> Callable:
     def build(p: dict):
-        def make(n, k, width):
+        def make(n, k, width, spread):
             one = C.LinearSVC(
                 regParam=regularisation(p, n), standardization=False, maxIter=p.get("max_iter", 100), tol=p.get("tol", 1e-4)
             )
@@ -96,13 +100,26 @@ def _svc(regularisation: Callable[[dict, int], float]) -> Callable:
     return build
 
 
-def _linear(reg: Callable[[dict, int], float], ratio: Callable[[dict], float]) -> Callable:
+def _linear(penalty: Callable[[dict, int], float], ratio: Callable[[dict], float]) -> Callable:
+    """Least squares with penalty * (ratio * |w| + (1 - ratio) / 2 * w^2) on half the mean squared error.
+
+    Spark scales the label to deviation 1 inside, which leaves the absolute part as it is and divides the square part
+    by the deviation; the settings undo that.
+    """
+
     def build(p: dict):
-        return Sized(
-            lambda n, k, width: R.LinearRegression(
-                regParam=reg(p, n), elasticNetParam=ratio(p), standardization=False, maxIter=p.get("max_iter", 100)
+        def make(n, k, width, spread):
+            absolute = penalty(p, n) * ratio(p)
+            square = penalty(p, n) * (1 - ratio(p)) * spread
+            whole = absolute + square
+            return R.LinearRegression(
+                regParam=whole,
+                elasticNetParam=absolute / whole if whole else 0.0,
+                standardization=False,
+                maxIter=p.get("max_iter", 100),
             )
-        )
+
+        return Sized(make)
 
     return build
 
@@ -118,7 +135,7 @@ FACTORIES: dict[str, dict[str, Callable[[dict], object]]] = {
     "classification": {
         # Penalty 1/C on the sum of losses is 1/(C n) on their mean.
         "logistic_regression": lambda p: Sized(
-            lambda n, k, width: C.LogisticRegression(
+            lambda n, k, width, spread: C.LogisticRegression(
                 regParam=1.0 / (p.get("C", 1.0) * n), standardization=False, maxIter=p.get("max_iter", 1000)
             )
         ),
@@ -132,7 +149,7 @@ FACTORIES: dict[str, dict[str, Callable[[dict], object]]] = {
         "knn": lambda p: NearestNeighbours(task="classification", **p),
         "decision_tree": lambda p: C.DecisionTreeClassifier(seed=SEED, **_tree_options({"max_depth": 10, **p}, "")),
         "mlp": lambda p: Sized(
-            lambda n, k, width: C.MultilayerPerceptronClassifier(
+            lambda n, k, width, spread: C.MultilayerPerceptronClassifier(
                 layers=[width, *p.get("hidden", [100]), max(2, k)], maxIter=p.get("max_iter", 200), seed=SEED
             )
         ),

@@ -51,7 +51,16 @@ def test_ridge_matches_the_closed_form(spark):
     model = estimator("ridge", "regression", alpha=5.0).fit(table(spark, LINE))
     xc = X - X.mean(axis=0)
     want = np.linalg.solve(xc.T @ xc + 5.0 * np.eye(4), xc.T @ (LINE - LINE.mean()))
-    assert np.allclose(model.coefficients.toArray(), want, atol=1e-6)
+    assert np.allclose(model.coefficients.toArray(), want, atol=1e-8)
+
+
+def test_elastic_net_meets_its_conditions(spark):
+    model = estimator("elastic_net", "regression", alpha=0.4, l1_ratio=0.3).fit(table(spark, LINE))
+    w = model.coefficients.toArray()
+    xc = X - X.mean(axis=0)
+    pull = xc.T @ (LINE - LINE.mean() - xc @ w) / N - 0.4 * 0.7 * w
+    for slope, weight in zip(pull, w):
+        assert abs(slope - 0.12 * np.sign(weight)) < 1e-4 if weight else abs(slope) <= 0.12 + 1e-6
 
 
 def test_discriminant_and_ridge_votes(spark):

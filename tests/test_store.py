@@ -13,8 +13,14 @@ from modelyard.sources import readers
 from modelyard.sources.store import Store, read_model, write_model
 from modelyard.streaming import jobs
 
-NOW = F.lit("2024-03-01").cast("timestamp")
-LATER = F.lit("2024-03-02").cast("timestamp")
+
+def now():
+    return F.lit("2024-03-01").cast("timestamp")
+
+
+def later():
+    return F.lit("2024-03-02").cast("timestamp")
+
 
 
 def people(spark, n=400, seed=0):
@@ -31,25 +37,25 @@ def test_train_predict_retrain_delete(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     df = people(spark)
     options = {"n_trials": 2, "folds": 2, "names": ["lda", "decision_tree"]}
-    out = train(store, df, "y", "classification", "m", ["id"], NOW, **options)
+    out = train(store, df, "y", "classification", "m", ["id"], now(), **options)
     assert out["metrics"]["accuracy"] > 0.8
-    scored = predict(store, df.drop("y"), "m", NOW, keep=["id"]).collect()
+    scored = predict(store, df.drop("y"), "m", now(), keep=["id"]).collect()
     assert len(scored) == 400 and set(scored[0]["probabilities"]) == {"class_0", "class_1"}
     assert store.read("predictions").where("pred_date = '20240301'").count() == 400
     assert store.read("feature_importance").count() == len(out["prepared"].feature_names)
-    found = retrain_if_better(store, people(spark, seed=1), "m", ["id"], LATER, threshold=5.0, **options)
+    found = retrain_if_better(store, people(spark, seed=1), "m", ["id"], later(), threshold=5.0, **options)
     assert not found["updated"] and store.read("model_updates").count() == 1
-    assert store.update_model("m", {"description": "better words", "note": 1}, LATER)
+    assert store.update_model("m", {"description": "better words", "note": 1}, later())
     info = store.model_info("m").first()
     assert info["description"] == "better words" and '"note": 1' in info["model_info"]
     assert store.versions("m").count() == 2 and "spark_version" in store.dependencies("m")
     store.export_model("m", f"{tmp_path}/out")
-    store.import_model(f"{tmp_path}/out", "copy", LATER)
+    store.import_model(f"{tmp_path}/out", "copy", later())
     assert {r["model_id"] for r in store.models().collect()} == {"m", "copy"}
     store.delete_model("m")
     assert {r["model_id"] for r in store.models().collect()} == {"copy"}
     assert store.read("predictions").isEmpty() and store.read("model_metrics").isEmpty()
-    assert not store.update_model("m", {}, LATER)
+    assert not store.update_model("m", {}, later())
 
 
 def test_changed_files_are_noticed(spark, tmp_path):
@@ -57,7 +63,7 @@ def test_changed_files_are_noticed(spark, tmp_path):
     model = estimator("pca", "dimensionality_reduction").fit(
         spark.createDataFrame([(Vectors.dense([1.0, 2.0]),), (Vectors.dense([2.0, 1.0]),)], ["features"])
     )
-    path = store.save_model(model, "p", {"task_type": "dimensionality_reduction"}, NOW)
+    path = store.save_model(model, "p", {"task_type": "dimensionality_reduction"}, now())
     store.load_model("p")
     spark.createDataFrame([("{}",)], "value string").write.mode("append").text(f"{path}/model")
     with pytest.raises(ValueError):
@@ -102,11 +108,11 @@ def test_monitor(spark, tmp_path):
     store.append("model_metrics", past)
     ref = people(spark, 1200).drop("id")
     cur = ref.withColumn("a", F.col("a") + 3).withColumn("b", F.col("b") * 4)
-    out = monitor(store, ref, cur, "m", {"accuracy": 0.5}, NOW, ["ops"])
+    out = monitor(store, ref, cur, "m", {"accuracy": 0.5}, now(), ["ops"])
     assert out["performance"].first()["status"] == "degraded"
     assert store.read("data_drift").where("drift_detected").count() >= 2
     assert {r["template"] for r in store.read("alerts").collect()} == {"data_drift_alert", "model_performance_alert"}
-    few = monitor(store, ref, cur.limit(10), "m", {"accuracy": 0.81}, NOW)
+    few = monitor(store, ref, cur.limit(10), "m", {"accuracy": 0.81}, now())
     assert few["drift"] is None and few["performance"].first()["status"] == "stable"
 
 
@@ -114,18 +120,18 @@ def test_cache_age(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "id long, x double")
     keys = df.select(fingerprint(["x"]).alias("fingerprint"), F.lit(9.0).alias("prediction"))
     calls = lambda rows: rows.withColumn("prediction", F.col("x"))
-    fresh = keys.withColumn("scored_at", NOW - F.expr("INTERVAL 10 MINUTES"))
-    old = keys.withColumn("scored_at", NOW - F.expr("INTERVAL 2 HOURS"))
-    assert score_with_cache(df, ["x"], fresh, calls, NOW).where("cached").count() == 2
-    got = score_with_cache(df, ["x"], old, calls, NOW).collect()
+    fresh = keys.withColumn("scored_at", now() - F.expr("INTERVAL 10 MINUTES"))
+    old = keys.withColumn("scored_at", now() - F.expr("INTERVAL 2 HOURS"))
+    assert score_with_cache(df, ["x"], fresh, calls, now()).where("cached").count() == 2
+    got = score_with_cache(df, ["x"], old, calls, now()).collect()
     assert [r["prediction"] for r in sorted(got)] == [2.0, 3.0] and not any(r["cached"] for r in got)
 
 
 def test_prediction_shape(spark):
     rows = spark.createDataFrame([(0.0, Vectors.dense([0.8, 0.2])), (1.0, Vectors.dense([0.3, 0.7]))], ["prediction", "probability"])
-    got = prediction_rows(rows, NOW, "lda", "3").collect()
+    got = prediction_rows(rows, now(), "lda", "3").collect()
     assert got[1]["probabilities"] == {"class_0": 0.3, "class_1": 0.7} and got[0]["confidence"] == 0.8
-    assert "probabilities" not in prediction_rows(rows.drop("probability"), NOW, "lda").columns
+    assert "probabilities" not in prediction_rows(rows.drop("probability"), now(), "lda").columns
 
 
 def test_coercion(spark):
