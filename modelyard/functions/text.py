@@ -97,3 +97,10 @@ def time_text(value: Column) -> Column:
     """`yyyy-MM-dd HH:mm:ss`, or the given text when it is no time."""
     stamp = value.try_cast("timestamp")
     return F.coalesce(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), value.cast("string"))
+
+
+def iso_text(stamp: Column) -> Column:
+    """ISO-8601 text of a time, microseconds only where there are any."""
+    plain = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
+    parts = F.pmod(F.unix_micros(stamp), F.lit(1_000_000))
+    return F.when(parts == 0, plain).otherwise(F.concat(plain, F.lit("."), F.lpad(parts.cast("string"), 6, "0")))

@@ -136,12 +136,14 @@ def _score_totals(
     df: DataFrame, positive: Column, score: Column, group: Sequence[str] = (), ranges: int | None = None, **options
 ) -> DataFrame:
     """Positives and negatives per distinct score, with running totals from the highest score down."""
+    rows = df.select(*group, score.cast("double").alias("score"), positive.cast("boolean").alias("positive"))
     counts = (
-        df.select(*group, score.cast("double").alias("score"), positive.cast("boolean").alias("positive"))
-        .groupBy(*group, "score")
+        rows.groupBy(*group, "score")
         .agg(F.count(F.when(F.col("positive"), 1)).alias("pos"), F.count(F.when(~F.col("positive"), 1)).alias("neg"))
     )
-    return running_totals(counts, "score", ["pos", "neg"], group, descending=True, ranges=ranges, **options)
+    return running_totals(
+        counts, "score", ["pos", "neg"], group, descending=True, ranges=ranges, source=rows, **options
+    )
 
 
 def _auc(totals: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -235,7 +237,7 @@ def auc_one_vs_one(df: DataFrame, label: str, scores: dict) -> DataFrame:
     counts = melted.groupBy("class", "score").agg(
         *[F.count(F.when(F.col("label") == F.lit(n), 1)).alias(c) for n, c in zip(names, columns)]
     )
-    totals = running_totals(counts, "score", columns, ["class"])
+    totals = running_totals(counts, "score", columns, ["class"], source=melted)
     own = F.lit(0)
     for n, c in zip(names, columns):
         own = F.when(F.col("class") == F.lit(n), F.col(c)).otherwise(own)

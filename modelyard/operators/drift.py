@@ -41,7 +41,10 @@ def ks_test(
     both: DataFrame, columns: Sequence[str], threshold: float = settings.DRIFT_P_VALUE, ranges: int | None = None
 ) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov test per numeric column: exact statistic, large-sample p-value."""
-    totals = running_totals(_counts(_melt(both, columns, "double"), "value"), "value", ["ref", "cur"], ["feature"], ranges=ranges)
+    melted = _melt(both, columns, "double")
+    totals = running_totals(
+        _counts(melted, "value"), "value", ["ref", "cur"], ["feature"], ranges=ranges, source=melted
+    )
     sums = totals.groupBy("feature").agg(F.max("cum_ref").alias("n_ref"), F.max("cum_cur").alias("n_cur"))
     gap = F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_cur") / F.col("n_cur"))
     tested = totals.join(sums, "feature").groupBy("feature", "n_ref", "n_cur").agg(F.max(gap).alias("statistic"))

@@ -12,16 +12,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def with_range(df: DataFrame, key: Column, ranges: int | None = None, name: str = "_range") -> DataFrame:
+def with_range(
+    df: DataFrame, key: Column, ranges: int | None = None, name: str = "_range", source: DataFrame | None = None
+) -> DataFrame:
     """Add the number of the quantile range that `key` (numeric or time) falls in; rows equal in `key` stay together.
 
     The cut points (4095 numbers at most) are read once and become constants of the plan, so a re-run task sees the
-    same ones.
+    same ones. Any cut points give the same results, so they may come from `source`, a table with the columns of `key`
+    that is cheaper to run through than `df`.
     """
     pieces = max(2, min(4096, ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     keyed = df.withColumn("_key", key.cast("double"))
     at = [i / pieces for i in range(1, pieces)]
-    cuts = keyed.agg(F.percentile_approx("_key", at, max(1000, 4 * pieces)).alias("cuts")).first()["cuts"]
+    spread = (df if source is None else source).select(key.cast("double").alias("_key"))
+    cuts = spread.agg(F.percentile_approx("_key", at, max(1000, 4 * pieces)).alias("cuts")).first()["cuts"]
     splits = sorted({c for c in cuts or [] if c == c})
     if not splits:
         return keyed.withColumn(name, F.lit(0)).drop("_key")
@@ -40,14 +44,16 @@ def running_totals(
     descending: bool = False,
     ranges: int | None = None,
     look_ahead: bool = False,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running totals `cum_<c>` of `sums` over rows ordered by `value` within `group`.
 
     `value` must be unique within a group (aggregate ties first). `look_ahead` also adds `next_<c>`, the value in the
-    following row (NULL in the last one).
+    following row (NULL in the last one). `source` is where the range cuts come from (see `with_range`): the rows
+    before they were aggregated, so that finding the cuts needs no shuffle.
     """
     group = list(group)
-    cut = with_range(df, F.col(value), ranges)
+    cut = with_range(df, F.col(value), ranges, source=source)
     order = F.col(value).desc() if descending else F.col(value).asc()
     inner = Window.partitionBy(*group, "_range").orderBy(order)
     running = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -120,17 +126,22 @@ def exact_percentiles(
     names = [f"c{i}" for i in range(len(columns))]
     view = df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)])
     view = view.select(*[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
-    head = [e for n in names for e in (F.count(n).alias(f"n_{n}"), F.min(n).alias(f"lo_{n}"), F.max(n).alias(f"hi_{n}"))]
+    head = []
+    for n in names:
+        head += [F.count(n).alias(f"n_{n}"), F.min(n).alias(f"lo_{n}"), F.max(n).alias(f"hi_{n}")]
+        head.append(F.approx_count_distinct(n).alias(f"d_{n}"))
     seen = view.agg(*head).first()
 
     out: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
     todo = []
     for c, name in zip(columns, names):
         rows = seen[f"n_{name}"]
+        # What a bracket may hold at most: rows, or distinct values when these are few.
+        few = 2 * seen[f"d_{name}"] <= final_rows
         for k, p in enumerate(probabilities if rows else []):
             todo.append(
                 {"column": c, "name": name, "slot": k, "at": p * (rows - 1), "below": 0, "inside": rows}
-                | {"lo": seen[f"lo_{name}"], "hi": seen[f"hi_{name}"], "interior": rows, "margin": 0.002}
+                | {"lo": seen[f"lo_{name}"], "hi": seen[f"hi_{name}"], "interior": 0 if few else rows, "margin": 0.002}
             )
 
     while True:

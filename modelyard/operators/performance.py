@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from modelyard import settings
+from modelyard.functions.text import matches_search
 from modelyard.functions.values import pick_metric
 from modelyard.operators.ordered import with_previous
 
@@ -123,6 +124,16 @@ def health(performance: DataFrame, drift: DataFrame) -> DataFrame:
     )
 
 
+def health_list(checked: DataFrame, status: str | None = None, search: str | None = None) -> DataFrame:
+    """Models by health status and text, worst first."""
+    if status is not None:
+        checked = checked.where(F.col("health") == status)
+    if search:
+        checked = checked.where(matches_search(search, F.col("model_id")))
+    order = F.when(F.col("health") == "critical", 0).when(F.col("health") == "warning", 1).otherwise(2)
+    return checked.orderBy(order, "model_id")
+
+
 def improvement(before: Column, after: Column) -> Column:
     """Relative change; from 0 it is infinite for a gain, else 0. A negative start turns the sign (see `negative_base`)."""
     return F.when(before == 0, F.when(after > 0, F.lit(float("inf"))).otherwise(0.0)).otherwise((after - before) / before)

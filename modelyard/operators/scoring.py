@@ -33,6 +33,14 @@ def concat_batches(batches: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
 
 
+def pair_actuals(predictions: DataFrame, actuals: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Predictions with the value that came true, by key and never by row position.
+
+    `actuals` has the key and `actual_value`; predictions without one are left out.
+    """
+    return predictions.join(actuals.select(*key, "actual_value"), list(key))
+
+
 def score_with_cache(
     df: DataFrame,
     inputs: Sequence[str],

@@ -3,6 +3,7 @@
 import json
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from modelyard import settings
@@ -29,14 +30,37 @@ def evaluate(model, df: DataFrame, task: str, key: str | None = None) -> DataFra
 
         return df.sparkSession.createDataFrame([("variance_kept", float(score(model, df, task)))], "metric string, value double")
     scored = model.transform(df)
+    wanted = [c for c in ("label", "prediction", "probability") if c in scored.columns]
+    if task == "clustering":
+        wanted += ["features", key]
+    # The rows are scored once; the metrics are a handful of numbers.
+    scored = scored.select(*wanted).persist()
+    try:
+        metrics = _metrics(scored, task, key)
+        return df.sparkSession.createDataFrame([tuple(r) for r in metrics.collect()], metrics.schema)
+    finally:
+        scored.unpersist()
+
+
+def envelope(metrics: DataFrame, rows: DataFrame, features: Sequence[str], task: str, now: Column) -> DataFrame:
+    """Metric rows with the task, the number of rows and features, and the time of the evaluation."""
+    return metrics.withColumns(
+        {
+            "task_type": F.lit(task),
+            "n_samples": rows.agg(F.count("*")).scalar(),
+            "n_features": F.lit(len(features)),
+            "timestamp": now.cast("timestamp"),
+        }
+    )
+
+
+def _metrics(scored: DataFrame, task: str, key: str | None) -> DataFrame:
     if task == "regression":
         return evaluate_regression(scored, "label", "prediction")
     if task == "clustering":
         return evaluate_clustering(scored, "features", "prediction", key)
     metrics = classification_metrics(scored, "label", "prediction")
     if "probability" in scored.columns and scored.agg(F.max("label")).first()[0] == 1.0:
-        from pyspark.ml.functions import vector_to_array
-
         area = roc_auc(scored, F.col("label") == 1, vector_to_array("probability")[1])
         metrics = metrics.unionByName(area.select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value")))
     return metrics

@@ -426,6 +426,16 @@ def model_health(t):
     return P.health(performance, drift)
 
 
+@query(
+    "health_list",
+    HEALTH_SQL
+    + """SELECT * FROM (SELECT model_id, CASE WHEN degraded OR ratio > 0.5 THEN 'critical' WHEN ratio > 0.3 THEN 'warning' ELSE 'healthy' END AS health
+FROM whole_drift JOIN perf USING (model_id)) WHERE health = 'healthy' AND contains(model_id, 'i')""",
+)
+def health_list(t):
+    return P.health_list(model_health(t), "healthy", "I")
+
+
 @query(
     "distribution_sides",
     f"""WITH e AS (SELECT value, CASE WHEN ts >= TIMESTAMP '{CUT}' THEN 'current' ELSE 'reference' END AS side FROM events),

@@ -420,3 +420,101 @@ FROM p""",
 )
 def duration_format(t):
     return t.orders.select("o_orderkey", X.duration_text(F.col("o_totalprice")).alias("duration"))
+
+
+@query(
+    "iso_times",
+    """SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS iso,
+       round(sqrt(value * value + user_id * user_id), 6) AS norm FROM events""",
+)
+def iso_times(t):
+    from modelyard.functions.vectors import norm
+
+    both = F.array(F.col("value"), F.col("user_id").cast("double"))
+    return rounded(t.events.select("event_id", X.iso_text(F.col("ts")).alias("iso"), norm(both).alias("norm")))
+
+
+@query(
+    "paired_accuracy",
+    """SELECT count(*) AS n, round(avg(((d.n_chars > 2000) = (l.toxic = 1))::INT), 6) AS accuracy
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def paired_accuracy(t):
+    from modelyard.operators.scoring import pair_actuals
+
+    predictions = t.documents.select("doc_id", (F.col("n_chars") > 2000).alias("prediction"))
+    actuals = t.labels.select("doc_id", (F.col("toxic") == 1).alias("actual_value"))
+    paired = H.with_correctness(pair_actuals(predictions, actuals, ["doc_id"]))
+    return rounded(paired.agg(F.count("*").alias("n"), F.avg(F.col("is_correct").cast("double")).alias("accuracy")))
+
+
+@query(
+    "evaluation_envelope",
+    """WITH e AS (SELECT l_extendedprice - (1000.0 * l_quantity + 20000.0 * l_discount + 28000.0) AS e FROM lineitem),
+m AS (SELECT avg(abs(e)) AS mae, max(abs(e)) AS top FROM e)
+SELECT unnest(['mae', 'max_error']) AS metric, unnest([round(mae, 4), round(top, 4)]) AS value, 'regression' AS task_type,
+       (SELECT count(*) FROM lineitem) AS n_samples, 2 AS n_features, TIMESTAMP '2024-01-01' AS timestamp FROM m""",
+)
+def evaluation_envelope(t):
+    from modelyard.operators.regression import regression_metrics
+    from modelyard.plans.pipelines import envelope
+    from modelyard.plans.queries_evaluation import fitted
+
+    rows = fitted(t)
+    metrics = regression_metrics(rows, "y", "p").where(F.col("metric").isin("mae", "max_error"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    return rounded(envelope(metrics, rows, ["l_quantity", "l_discount"], "regression", now), 4)
+
+
+@query(
+    "model_report",
+    """SELECT 'info' AS section, count(*) AS n FROM part UNION ALL SELECT 'metrics', 7::BIGINT
+UNION ALL SELECT 'confusion', 9::BIGINT UNION ALL SELECT 'importance', 15::BIGINT
+UNION ALL SELECT 'history', count(DISTINCT (event_type, date_trunc('day', ts))) FROM events""",
+)
+def model_report(t):
+    """The rows of every section of a report over the given tables."""
+    from modelyard.operators.classification import classification_metrics, confusion_matrix
+    from modelyard.plans.queries_drift import daily_series
+    from modelyard.plans.queries_evaluation import flags
+
+    rows = flags(t)
+    report = V.model_report(
+        _models(t),
+        classification_metrics(rows, "label", "prediction"),
+        confusion_matrix(rows, "label", "prediction"),
+        top_features(t),
+        daily_series(t),
+    )
+    return report.groupBy("section").agg(F.count("*").alias("n"))
+
+
+@query(
+    "monitoring_report",
+    """SELECT 'alerts' AS section, count(*) AS n FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'performance', count(DISTINCT event_type) FROM events UNION ALL SELECT 'drift', count(DISTINCT (event_type, date_trunc('day', ts))) FROM events
+UNION ALL SELECT 'predictions', 1::BIGINT""",
+)
+def monitoring_report(t):
+    from modelyard.plans.queries_alerts import error_alerts
+    from modelyard.plans.queries_drift import daily_series, drift_table
+
+    history = daily_series(t)
+    latest = H.latest_per_key(history, ["timestamp"], ["model_id"]).select("model_id", "value")
+    report = V.monitoring_report(
+        error_alerts(t), P.check_performance(latest, history), drift_table(t), prediction_stats(t)
+    )
+    return report.groupBy("section").agg(F.count("*").alias("n"))
+
+
+@query(
+    "documentation",
+    """SELECT 'metric' AS section, 'mean' AS name, round(avg(o_totalprice), 2)::VARCHAR AS detail FROM orders
+UNION ALL SELECT 'target', 'o_totalprice', 'double' UNION ALL SELECT 'output', 'prediction', 'double'
+UNION ALL SELECT unnest(['feature', 'feature', 'feature', 'feature', 'input', 'input', 'input', 'input']),
+  unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority', 'o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority']),
+  unnest(['numeric bigint', 'numeric bigint', 'categorical string', 'categorical string', 'bigint', 'bigint', 'string', 'string'])""",
+)
+def documentation(t):
+    metrics = t.orders.agg(F.lit("mean").alias("metric"), F.round(F.avg("o_totalprice"), 2).alias("value"))
+    return V.documentation(t.orders, "o_totalprice", metrics)

@@ -15,7 +15,7 @@ from modelyard.operators.partitioning import dbscan, spectral
 from modelyard.operators.split import train_test_split
 from modelyard.plans.catalog import Tables, query, rounded
 from modelyard.plans.pipelines import evaluate
-from modelyard.session import shared_folder
+from modelyard.session import on_all_cores, shared_folder
 
 INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -86,8 +86,12 @@ SMALL = {
 def _register_training(name: str, task: str, source) -> None:
     @query(f"train_{task}_{name}")
     def train(t):
-        train_rows, test_rows = train_test_split(source(t), ["key"])
-        model = estimator(name, task, **SMALL.get(name, {})).fit(train_rows)
+        train_rows, test_rows = train_test_split(on_all_cores(source(t)), ["key"])
+        train_rows = train_rows.persist()
+        try:
+            model = estimator(name, task, **SMALL.get(name, {})).fit(train_rows)
+        finally:
+            train_rows.unpersist()
         return evaluate(model, test_rows, task)
 
 

@@ -171,15 +171,32 @@ def iterative_impute(t):
     return rounded(filled.select("l_orderkey", "l_linenumber", *columns))
 
 
-@query("knn_impute")
+KNN_FILL_SQL = """
+WITH p AS (
+  SELECT p_partkey AS k, CASE WHEN p_partkey % 9 <> 0 THEN p_size END::DOUBLE AS a,
+         CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice / 100 END AS b FROM part),
+near_a AS (
+  SELECT x.k, y.a, row_number() OVER (PARTITION BY x.k ORDER BY sqrt((y.b - x.b) * (y.b - x.b) * 2), y.k) AS r
+  FROM p x JOIN p y ON x.a IS NULL AND y.a IS NOT NULL AND x.b IS NOT NULL AND y.b IS NOT NULL),
+near_b AS (
+  SELECT x.k, y.b, row_number() OVER (PARTITION BY x.k ORDER BY sqrt((y.a - x.a) * (y.a - x.a) * 2), y.k) AS r
+  FROM p x JOIN p y ON x.b IS NULL AND y.b IS NOT NULL AND x.a IS NOT NULL AND y.a IS NOT NULL),
+fill_a AS (SELECT k, avg(a) AS v FROM near_a WHERE r <= 5 GROUP BY 1),
+fill_b AS (SELECT k, avg(b) AS v FROM near_b WHERE r <= 5 GROUP BY 1)
+SELECT p.k AS p_partkey, round(coalesce(a, fill_a.v, (SELECT avg(a) FROM p)), 4) AS p_size,
+       round(coalesce(b, fill_b.v, (SELECT avg(b) FROM p)), 4) AS p_retailprice
+FROM p LEFT JOIN fill_a ON fill_a.k = p.k LEFT JOIN fill_b ON fill_b.k = p.k"""
+
+
+@query("knn_impute", KNN_FILL_SQL)
 def knn_impute(t):
-    """Account balances of customers and of the suppliers' nations, with gaps by key."""
+    """Size and price of parts, with gaps by key."""
     df = t.part.select(
         "p_partkey",
         F.when(F.col("p_partkey") % 9 != 0, F.col("p_size")).cast("double").alias("p_size"),
         F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice") / 100).alias("p_retailprice"),
     )
-    return rounded(I.knn_impute(df, ["p_size", "p_retailprice"], "p_partkey"))
+    return rounded(I.knn_impute(df, ["p_size", "p_retailprice"], "p_partkey"), 4)
 
 
 @query(

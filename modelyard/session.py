@@ -52,3 +52,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write `df` to the shared checkpoint folder, so that lost executors do not restart an iteration."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def on_all_cores(df: DataFrame) -> DataFrame:
+    """Spread the rows when the input has fewer partitions than there are cores, as one small file has.
+
+    Meant before work that reads the rows many times or spends much on each; a large input is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
