@@ -46,14 +46,15 @@ def cooldown(
     time: str,
     tie: str,
     seconds: int = settings.ALERT_COOLDOWN_SECONDS,
-    span: int = 24,
+    span: int = 8,
 ) -> DataFrame:
     """Add `passed`: whether an alert gets through. The timer of a key restarts only when an alert passes.
 
     The rule is sequential per key, yet one key may hold a third of all alerts. So time is cut into pieces of `span`
     cooldowns. Per (key, piece) a first pass tells, for every moment the piece may be entered at (only the first
     cooldown of it matters), when the last alert of the piece would pass; runs of equal answers are one row. A walk
-    over these few rows per key fixes the entry moment of every piece, and a second pass marks the alerts.
+    over these few rows per key fixes the entry moment of every piece, and a second pass marks the alerts. Alerts of a
+    key at the same moment are merged first, so a task holds the distinct moments of one key in `span` cooldowns.
     """
     key = list(key)
     wait, width = int(seconds * 1_000_000), int(seconds * 1_000_000) * span
@@ -64,7 +65,7 @@ def cooldown(
 
     def entries(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         piece = names[-1]
-        times = np.unique(pdf["_ts"].to_numpy())
+        times = np.sort(pdf["_ts"].to_numpy())
         follow = np.searchsorted(times, times + wait, side="left")
         last = np.where(follow < len(times), np.minimum(follow, len(times) - 1), np.arange(len(times)))
         while True:
@@ -89,13 +90,14 @@ def cooldown(
         return pd.DataFrame(found, columns=[*key, "_piece", "_entry"])
 
     columns = [*key, "_piece"]
-    table = rows.select(*columns, "_ts").groupBy(*columns).applyInPandas(
+    moments = rows.groupBy(*columns, "_ts").agg(F.min(tie).alias("_tie"))
+    table = moments.groupBy(*columns).applyInPandas(
         entries, f"{key_schema}, _piece long, _upto long, _leave long"
     )
     starts = table.groupBy(*key).applyInPandas(walk, f"{key_schema}, _piece long, _entry long")
 
     def mark(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_ts", "_tie"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("_ts")
         times = pdf["_ts"].to_numpy()
         passed = np.zeros(len(pdf), dtype=bool)
         at = np.searchsorted(times, pdf["_entry"].iloc[0], side="left")
@@ -108,8 +110,7 @@ def cooldown(
 
     tie_type = alerts.schema[tie].dataType.simpleString()
     passing = (
-        rows.select(*columns, "_ts", F.col(tie).alias("_tie"))
-        .join(starts, columns)
+        moments.join(starts, columns)
         .groupBy(*columns)
         .applyInPandas(lambda names, pdf: mark(names[:-1], pdf), f"{key_schema}, _ts long, _tie {tie_type}")
     )

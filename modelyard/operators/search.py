@@ -15,7 +15,7 @@ from modelyard.operators.clustering import silhouette_squared
 from modelyard.operators.models import FACTORIES, estimator
 from modelyard.operators.ordered import running_max, trailing
 from modelyard.operators.split import hash_folds
-from modelyard.session import on_all_cores
+from modelyard.session import balanced
 
 # Parameter ranges. (low, high) whole numbers, ("float", low, high), ("log", low, high).
 FOREST = {"n_estimators": (50, 300), "max_depth": (3, 20), "min_samples_split": (2, 20), "min_samples_leaf": (1, 10)}
@@ -135,7 +135,7 @@ def search(
     trial list is short, so it stays on the driver; every fit and score is a distributed job.
     """
     rows = df if "fold" in df.columns else hash_folds(df, key, folds, seed)
-    rows = on_all_cores(rows).persist()
+    rows = balanced(rows).persist()
     trials, started = [], time.monotonic()
     try:
         for number, (name, params) in enumerate(draw_trials(task, n_trials, seed, names, ranges)):

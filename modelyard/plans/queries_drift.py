@@ -132,6 +132,28 @@ def line_report(t: Tables) -> DataFrame:
     return D.drift_report(*line_sides(t), numeric=LINE_COLUMNS, categorical=LINE_FLAGS)
 
 
+TESTS_SQL = KS_SQL + """, binned AS (
+  SELECT m.feature, n_ref, n_cur, least(29, greatest(0, floor((value - lo) / (hi - lo) * 30)::INT)) AS bin,
+         count(*) FILTER (NOT is_current)::DOUBLE AS r, count(*) FILTER (is_current)::DOUBLE AS c
+  FROM melted m JOIN sizes s USING (feature) GROUP BY ALL),
+shares AS (SELECT *, r / n_ref AS p, c / n_cur AS q, (r / n_ref + c / n_cur) / 2 AS m FROM binned),
+js AS (
+  SELECT feature, sum((CASE WHEN p > 0 THEN p * log2(p / m) ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / m) ELSE 0 END)) / 2 AS js,
+         sum((CASE WHEN r > 0 THEN r / (n_ref + n_cur) * ln(r * (n_ref + n_cur) / ((r + c) * n_ref)) ELSE 0 END)
+           + (CASE WHEN c > 0 THEN c / (n_ref + n_cur) * ln(c * (n_ref + n_cur) / ((r + c) * n_cur)) ELSE 0 END)) AS importance
+  FROM shares GROUP BY 1),
+tests AS (
+  SELECT feature, 'ks_test' AS test, statistic, p_value, p_value < 0.05 AS is_drift FROM tested
+  UNION ALL SELECT feature, 'js_divergence', js, NULL, js > 0.1 FROM js)
+SELECT feature, test, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, is_drift, round(importance, 6) AS importance,
+       bool_or(is_drift) OVER (PARTITION BY feature) AS drift_detected FROM tests JOIN js USING (feature)"""
+
+
+@query("drift_report_numeric", TESTS_SQL)
+def drift_report_numeric(t):
+    return rounded(D.drift_report(*line_sides(t), numeric=LINE_COLUMNS, categorical=[]))
+
+
 @query("drift_report")
 def drift_report(t):
     return line_report(t)
@@ -429,11 +451,11 @@ def model_health(t):
 @query(
     "health_list",
     HEALTH_SQL
-    + """SELECT * FROM (SELECT model_id, CASE WHEN degraded OR ratio > 0.5 THEN 'critical' WHEN ratio > 0.3 THEN 'warning' ELSE 'healthy' END AS health
-FROM whole_drift JOIN perf USING (model_id)) WHERE health = 'healthy' AND contains(model_id, 'i')""",
+    + """SELECT model_id, CASE WHEN degraded OR ratio > 0.5 THEN 'critical' WHEN ratio > 0.3 THEN 'warning' ELSE 'healthy' END AS health
+FROM whole_drift JOIN perf USING (model_id) WHERE contains(model_id, 'i')""",
 )
 def health_list(t):
-    return P.health_list(model_health(t), "healthy", "I")
+    return P.health_list(model_health(t), search="I")
 
 
 @query(

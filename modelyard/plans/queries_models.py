@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from modelyard.functions.vectors import as_vector, assemble
@@ -15,7 +15,7 @@ from modelyard.operators.partitioning import dbscan, spectral
 from modelyard.operators.split import train_test_split
 from modelyard.plans.catalog import Tables, query, rounded
 from modelyard.plans.pipelines import evaluate
-from modelyard.session import on_all_cores, shared_folder
+from modelyard.session import balanced, shared_folder
 
 INPUTS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -65,6 +65,140 @@ def ols_single(t):
     return t.spark.createDataFrame(found, "slope double, intercept double, r2 double")
 
 
+ONE_FEATURE_SQL = """
+WITH m AS (
+  SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_pop(l_quantity) AS vx,
+         covar_pop(l_quantity, l_extendedprice) AS c FROM lineitem)
+"""
+
+
+def _one_feature(name: str, slope: str, **params) -> None:
+    """A penalised fit on one feature has a closed form."""
+
+    @query(f"{name}_single", ONE_FEATURE_SQL + f"SELECT round({slope}, 4) AS slope, round(my - {slope} * mx, 4) AS intercept FROM m")
+    def fit(t):
+        rows = t.lineitem.select(assemble(["l_quantity"]).alias("features"), F.col("l_extendedprice").alias("label"))
+        model = estimator(name, "regression", **params).fit(rows)
+        found = [(float(model.coefficients[0]), float(model.intercept))]
+        return rounded(t.spark.createDataFrame(found, "slope double, intercept double"), 4)
+
+
+_one_feature("ridge", "(c / (vx + 100000.0 / n))", alpha=100000.0)
+_one_feature("lasso", "(sign(c) * greatest(0, abs(c) - 50.0) / vx)", alpha=50.0)
+_one_feature("elastic_net", "(sign(c) * greatest(0, abs(c) - 5.0) / (vx + 5.0))", alpha=10.0, l1_ratio=0.5)
+
+
+def line_flags(t: Tables) -> DataFrame:
+    """Three return flags from the quantity and a discount on the same scale."""
+    code = F.when(F.col("l_returnflag") == "A", 0.0).when(F.col("l_returnflag") == "N", 1.0).otherwise(2.0)
+    cells = F.array(F.col("l_quantity"), F.col("l_discount") * 100)
+    return t.lineitem.select(line_key(), "l_orderkey", "l_quantity", "l_discount", array_to_vector(cells).alias("features"), code.alias("label"))
+
+
+FLAG_SQL = """
+WITH d AS (
+  SELECT l_orderkey, l_quantity, l_discount, l_quantity AS x, l_discount * 100 AS z,
+         CASE l_returnflag WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 ELSE 2.0 END::DOUBLE AS y FROM lineitem),
+k AS (
+  SELECT y, count(*)::DOUBLE AS n, (sum(count(*)) OVER ())::DOUBLE AS total, avg(x) AS mx, avg(z) AS mz, var_pop(x) AS vx, var_pop(z) AS vz,
+         covar_pop(x, z) AS cxz, sum(x) AS sx, sum(z) AS sz FROM d GROUP BY 1),
+"""
+
+PICK_SQL = """
+SELECT l_quantity, l_discount, arg_max(y, s) AS prediction, count(*) // 3 AS n FROM s GROUP BY l_quantity, l_discount"""
+
+
+def _predictions(model, rows: DataFrame) -> DataFrame:
+    """The decision for every pair of inputs, with its rows."""
+    return model.transform(rows).groupBy("l_quantity", "l_discount", "prediction").agg(F.count("*").alias("n"))
+
+
+@query(
+    "gaussian_nb_predictions",
+    FLAG_SQL
+    + """e AS (SELECT 1e-9 * greatest(var_pop(x), var_pop(z)) AS e FROM d),
+s AS (
+  SELECT l_quantity, l_discount, k.y, ln(n / total) - 0.5 * (ln(2 * pi() * (vx + e)) + pow(x - mx, 2) / (vx + e) + ln(2 * pi() * (vz + e)) + pow(z - mz, 2) / (vz + e)) AS s
+  FROM d, k, e)"""
+    + PICK_SQL,
+)
+def gaussian_nb_predictions(t):
+    rows = line_flags(t)
+    return _predictions(estimator("gaussian_nb", "classification").fit(rows), rows)
+
+
+@query(
+    "multinomial_nb_predictions",
+    FLAG_SQL
+    + """s AS (
+  SELECT l_quantity, l_discount, k.y, ln(n / total) + x * ln((sx + 1) / (sx + sz + 2)) + z * ln((sz + 1) / (sx + sz + 2)) AS s FROM d, k)"""
+    + PICK_SQL,
+)
+def multinomial_nb_predictions(t):
+    rows = line_flags(t)
+    return _predictions(estimator("multinomial_nb", "classification").fit(rows), rows)
+
+
+@query(
+    "discriminant_predictions",
+    FLAG_SQL
+    + """w AS (SELECT sum(n * vx) / (sum(n) - count(*)) AS a, sum(n * cxz) / (sum(n) - count(*)) AS b, sum(n * vz) / (sum(n) - count(*)) AS c FROM k),
+g AS (SELECT y, n, total, mx, mz, (c * mx - b * mz) / (a * c - b * b) AS wx, (a * mz - b * mx) / (a * c - b * b) AS wz FROM k, w),
+s AS (SELECT l_quantity, l_discount, g.y, ln(n / total) + wx * x + wz * z - 0.5 * (wx * mx + wz * mz) AS s FROM d, g)"""
+    + PICK_SQL,
+)
+def discriminant_predictions(t):
+    rows = line_flags(t)
+    return _predictions(estimator("lda", "classification").fit(rows), rows)
+
+
+@query(
+    "discriminant_probabilities",
+    FLAG_SQL
+    + """w AS (SELECT sum(n * vx) / (sum(n) - count(*)) AS a, sum(n * cxz) / (sum(n) - count(*)) AS b, sum(n * vz) / (sum(n) - count(*)) AS c FROM k),
+g AS (SELECT y, n, total, mx, mz, (c * mx - b * mz) / (a * c - b * b) AS wx, (a * mz - b * mx) / (a * c - b * b) AS wz FROM k, w),
+s AS (SELECT l_quantity, l_discount, g.y, exp(ln(n / total) + wx * x + wz * z - 0.5 * (wx * mx + wz * mz)) AS s FROM (SELECT DISTINCT l_quantity, l_discount, x, z FROM d), g)
+SELECT l_quantity, l_discount, round(max(s) FILTER (y = 0) / sum(s), 6) AS p0, round(max(s) FILTER (y = 1) / sum(s), 6) AS p1,
+       round(max(s) FILTER (y = 2) / sum(s), 6) AS p2 FROM s GROUP BY ALL""",
+)
+def discriminant_probabilities(t):
+    rows = line_flags(t)
+    scored = estimator("lda", "classification").fit(rows).transform(rows)
+    x = vector_to_array("probability")
+    cells = scored.groupBy("l_quantity", "l_discount").agg(*[F.max(x[i]).alias(f"p{i}") for i in range(3)])
+    return rounded(cells)
+
+
+MOMENTS_SQL = """
+WITH d AS (SELECT l_quantity AS x, l_discount * 100 AS z FROM lineitem),
+m AS (SELECT {a} AS a, {b} AS b, {c} AS c FROM d),
+v AS (SELECT (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM m)
+"""
+
+
+@query(
+    "pca_spectrum",
+    MOMENTS_SQL.format(a="var_samp(x)", b="covar_samp(x, z)", c="var_samp(z)")
+    + "SELECT unnest([1, 2]) AS component, unnest([round(l1, 4), round(l2, 4)]) AS variance, unnest([round(l1 / (l1 + l2), 6), round(l2 / (l1 + l2), 6)]) AS ratio FROM v",
+)
+def pca_spectrum(t):
+    model = estimator("pca", "dimensionality_reduction").fit(line_flags(t))
+    found = [(i + 1, float(v), float(r)) for i, (v, r) in enumerate(zip(model.explained_variance, model.explained_ratio))]
+    table = t.spark.createDataFrame(found, "component int, variance double, ratio double")
+    return table.select("component", F.round("variance", 4).alias("variance"), F.round("ratio", 6).alias("ratio"))
+
+
+@query(
+    "svd_spectrum",
+    MOMENTS_SQL.format(a="sum(x * x)", b="sum(x * z)", c="sum(z * z)")
+    + "SELECT unnest([1, 2]) AS component, unnest([round(sqrt(l1), 4), round(sqrt(l2), 4)]) AS singular_value FROM v",
+)
+def svd_spectrum(t):
+    model = estimator("truncated_svd", "dimensionality_reduction").fit(line_flags(t))
+    found = [(i + 1, float(v)) for i, v in enumerate(model.singular_values)]
+    return rounded(t.spark.createDataFrame(found, "component int, singular_value double"), 4)
+
+
 # Small settings: the point of the queries is the whole table, not the best model.
 SMALL = {
     "random_forest": {"n_estimators": 10, "max_depth": 5},
@@ -86,8 +220,8 @@ SMALL = {
 def _register_training(name: str, task: str, source) -> None:
     @query(f"train_{task}_{name}")
     def train(t):
-        train_rows, test_rows = train_test_split(on_all_cores(source(t)), ["key"])
-        train_rows = train_rows.persist()
+        train_rows, test_rows = train_test_split(source(t), ["key"])
+        train_rows = balanced(train_rows).persist()
         try:
             model = estimator(name, task, **SMALL.get(name, {})).fit(train_rows)
         finally:

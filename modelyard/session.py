@@ -54,10 +54,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def on_all_cores(df: DataFrame) -> DataFrame:
-    """Spread the rows when the input has fewer partitions than there are cores, as one small file has.
+def balanced(df: DataFrame) -> DataFrame:
+    """Rows in even partitions of a sensible size, whatever the input files looked like.
 
-    Meant before work that reads the rows many times or spends much on each; a large input is left as it is.
+    Meant once before work that reads the rows many times, such as a fit. Adaptive execution picks the partition count
+    from the real size, and splits or merges as needed.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.hint("rebalance")
