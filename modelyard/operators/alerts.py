@@ -5,6 +5,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from modelyard import settings
 from modelyard.functions.values import sorted_json
@@ -58,14 +59,41 @@ def cooldown(
     """
     key = list(key)
     wait, width = int(seconds * 1_000_000), int(seconds * 1_000_000) * span
-    rows = alerts.withColumns({"_ts": F.unix_micros(time)}).withColumn(
+    rows = alerts.withColumn("_ts", F.unix_micros(time)).withColumn(
         "_piece", F.floor(F.col("_ts") / F.lit(width)).cast("long")
     )
-    key_schema = ", ".join(f"`{c}` {alerts.schema[c].dataType.simpleString()}" for c in key)
+    columns = [*key, "_piece"]
+    moments = rows.groupBy(*columns, "_ts").agg(F.min(tie).alias("_tie"))
+    pieces = moments.groupBy(*columns).agg(F.array_sort(F.collect_list(F.struct("_ts", "_tie"))).alias("_m"))
+    pieces = pieces.select(*columns, F.col("_m._ts").alias("_times"), F.col("_m._tie").alias("_ties"))
+
+    steps = _piece_steps(wait, width)(F.col("_piece"), F.col("_times"))
+    chains = (
+        pieces.select(*columns, steps.alias("_s"))
+        .groupBy(*key)
+        .agg(F.array_sort(F.collect_list(F.struct("_piece", "_s.upto", "_s.leave"))).alias("_c"))
+    )
+    entries = _walk(wait)(F.col("_c.upto"), F.col("_c.leave"))
+    starts = chains.select(*key, F.inline(F.arrays_zip(F.col("_c._piece").alias("_piece"), entries.alias("_entry"))))
+
+    places = _passing(wait)(F.col("_times"), F.col("_entry"))
+    passing = pieces.join(starts, columns).select(
+        *key, F.explode(F.transform(places, lambda i: F.struct(F.get("_times", i), F.get("_ties", i)))).alias("_p")
+    )
+    passing = passing.select(
+        *key, F.col("_p.col1").alias("_ts"), F.col("_p.col2").alias(tie), F.lit(True).alias("passed")
+    )
+    return (
+        rows.drop("_piece")
+        .join(passing, [*key, "_ts", tie], "left")
+        .select(*alerts.columns, F.coalesce("passed", F.lit(False)).alias("passed"))
+    )
+
 
-    def entries(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        piece = names[-1]
-        times = np.sort(pdf["_ts"].to_numpy())
+def _piece_steps(wait: int, width: int):
+    """For a piece: up to which entry moment (`upto`) the last alert to pass is which (`leave`)."""
+
+    def one(piece: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         follow = np.searchsorted(times, times + wait, side="left")
         last = np.where(follow < len(times), np.minimum(follow, len(times) - 1), np.arange(len(times)))
         while True:
@@ -76,50 +104,46 @@ def cooldown(
         reachable = np.r_[True, times[:-1] < piece * width + wait]
         times, leave = times[reachable], times[last][reachable]
         ends = np.r_[leave[1:] != leave[:-1], True]
-        out = pd.DataFrame([names[:-1]] * int(ends.sum()), columns=key)
-        return out.assign(_piece=piece, _upto=times[ends], _leave=leave[ends])
-
-    def walk(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        entry = np.iinfo(np.int64).min
-        found = []
-        for piece, part in pdf.sort_values(["_piece", "_upto"]).groupby("_piece", sort=True):
-            found.append((*names, piece, entry))
-            place = np.searchsorted(part["_upto"].to_numpy(), entry, side="left")
-            if place < len(part):
-                entry = part["_leave"].to_numpy()[place] + wait
-        return pd.DataFrame(found, columns=[*key, "_piece", "_entry"])
+        return times[ends], leave[ends]
 
-    columns = [*key, "_piece"]
-    moments = rows.groupBy(*columns, "_ts").agg(F.min(tie).alias("_tie"))
-    table = moments.groupBy(*columns).applyInPandas(
-        entries, f"{key_schema}, _piece long, _upto long, _leave long"
-    )
-    starts = table.groupBy(*key).applyInPandas(walk, f"{key_schema}, _piece long, _entry long")
+    def steps(piece: pd.Series, times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(p, np.asarray(t)) for p, t in zip(piece, times)], columns=["upto", "leave"])
 
-    def mark(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ts")
-        times = pdf["_ts"].to_numpy()
-        passed = np.zeros(len(pdf), dtype=bool)
-        at = np.searchsorted(times, pdf["_entry"].iloc[0], side="left")
+    return pandas_udf(steps, "upto array<long>, leave array<long>")
+
+
+def _walk(wait: int):
+    """The moment every piece of a key is entered at, pieces in order."""
+
+    def one(uptos, leaves) -> np.ndarray:
+        entry, found = np.iinfo(np.int64).min, []
+        for upto, leave in zip(uptos, leaves):
+            found.append(entry)
+            place = np.searchsorted(upto, entry, side="left")
+            if place < len(upto):
+                entry = int(leave[place]) + wait
+        return np.array(found, dtype=np.int64)
+
+    def walk(uptos: pd.Series, leaves: pd.Series) -> pd.Series:
+        return pd.Series([one(u, v) for u, v in zip(uptos, leaves)], dtype=object)
+
+    return pandas_udf(walk, "array<long>")
+
+
+def _passing(wait: int):
+    """Places of the moments of a piece that pass, given its entry moment."""
+
+    def one(times: np.ndarray, entry: int) -> np.ndarray:
+        found, at = [], int(np.searchsorted(times, entry, side="left"))
         while at < len(times):
-            passed[at] = True
-            at = np.searchsorted(times, times[at] + wait, side="left")
-        return pd.DataFrame({"_ts": times[passed], "_tie": pdf["_tie"].to_numpy()[passed]}).assign(
-            **dict(zip(key, names))
-        )[[*key, "_ts", "_tie"]]
-
-    tie_type = alerts.schema[tie].dataType.simpleString()
-    passing = (
-        moments.join(starts, columns)
-        .groupBy(*columns)
-        .applyInPandas(lambda names, pdf: mark(names[:-1], pdf), f"{key_schema}, _ts long, _tie {tie_type}")
-    )
-    passing = passing.select(*key, "_ts", F.col("_tie").alias(tie), F.lit(True).alias("passed"))
-    return (
-        rows.drop("_piece")
-        .join(passing, [*key, "_ts", tie], "left")
-        .select(*alerts.columns, F.coalesce("passed", F.lit(False)).alias("passed"))
-    )
+            found.append(at)
+            at = int(np.searchsorted(times, times[at] + wait, side="left"))
+        return np.array(found, dtype=np.int32)
+
+    def passing(times: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([one(np.asarray(t), e) for t, e in zip(times, entry)], dtype=object)
+
+    return pandas_udf(passing, "array<int>")
 
 
 def alert_totals(alerts: DataFrame) -> DataFrame:
