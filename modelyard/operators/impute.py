@@ -242,6 +242,8 @@ def knn_impute(df: DataFrame, columns: Sequence[str], key: str, k: int = 5, bloc
                 gap = np.where(width > 0, np.sqrt(square * p / width), np.nan)
             for c in np.flatnonzero(np.isnan(x[i])):
                 able = np.flatnonzero(~np.isnan(y[:, c]) & ~np.isnan(gap))
+                if len(able) > k:
+                    able = able[gap[able] <= np.partition(gap[able], k - 1)[k - 1]]
                 best = able[np.lexsort((donors[able], gap[able]))[:k]]
                 out += [(keys[i], c, gap[d], donors[d], y[d, c]) for d in best]
         return pd.DataFrame(out, columns=empty.columns) if out else empty

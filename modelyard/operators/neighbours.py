@@ -36,9 +36,18 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, skip_self: bool = Fal
             gaps = distances(x[start : start + step], y)
             if skip_self:
                 gaps[keys[start : start + step, None] == names[None, :]] = np.inf
-            picked = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(gaps)), picked.shape[1])
-            flat = picked.ravel()
+            if len(names) > k:
+                limit = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+                rows, flat = np.nonzero(gaps <= limit[:, None])
+                # The first k of every row by distance, then by donor; columns are in donor order.
+                order = np.lexsort((flat, gaps[rows, flat], rows))
+                rows, flat = rows[order], flat[order]
+                first = np.searchsorted(rows, rows, side="left")
+                kept = np.arange(len(rows)) - first < k
+                rows, flat = rows[kept], flat[kept]
+            else:
+                rows = np.repeat(np.arange(len(gaps)), len(names))
+                flat = np.tile(np.arange(len(names)), len(gaps))
             out.append(
                 pd.DataFrame({"key": keys[start + rows], "donor": names[flat], "gap": gaps[rows, flat], "label": labels[flat]})
             )
