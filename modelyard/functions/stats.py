@@ -24,7 +24,7 @@ def kolmogorov_p(statistic: Column, n: Column, m: Column, terms: int = 100) -> C
 
     2 * sum((-1)^(j-1) * exp(-2 j^2 L^2)) with L = D * sqrt(nm/(n+m)); 1 below L = 0.2, where the series is unstable.
     """
-    scale = n.cast("double") * m.cast("double") / (n.cast("double") + m.cast("double"))
+    scale = F.try_divide(n.cast("double") * m.cast("double"), n.cast("double") + m.cast("double"))
     x = statistic * F.sqrt(scale)
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(terms)),
@@ -32,7 +32,8 @@ def kolmogorov_p(statistic: Column, n: Column, m: Column, terms: int = 100) -> C
         lambda acc, j: acc
         + F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0)) * F.exp(F.lit(-2.0) * j * j * x * x),
     )
-    return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
+    p = F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
+    return F.when(statistic.isNotNull(), p)
 
 
 def _upper_gamma(a: float, x: float) -> float:

@@ -192,8 +192,8 @@ def roc_curve(df: DataFrame, positive: Column, score: Column, drop_intermediate:
         totals = totals.where(corner)
     points = totals.select(
         F.col("score").alias("threshold"),
-        (F.col("cum_neg") / whole.select("negatives").scalar()).alias("fpr"),
-        (F.col("cum_pos") / whole.select("positives").scalar()).alias("tpr"),
+        F.try_divide(F.col("cum_neg"), whole.select("negatives").scalar()).alias("fpr"),
+        F.try_divide(F.col("cum_pos"), whole.select("positives").scalar()).alias("tpr"),
     )
     start = whole.select(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(start)
@@ -206,7 +206,7 @@ def pr_curve(df: DataFrame, positive: Column, score: Column) -> DataFrame:
     points = totals.select(
         F.col("score").alias("threshold"),
         (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"),
-        (F.col("cum_pos") / whole.select("positives").scalar()).alias("recall"),
+        F.try_divide(F.col("cum_pos"), whole.select("positives").scalar()).alias("recall"),
     )
     end = whole.select(
         F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")

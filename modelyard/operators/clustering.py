@@ -72,7 +72,7 @@ def calinski_harabasz(df: DataFrame, features: str, cluster: str) -> DataFrame:
         (F.sum(size * mean * mean) - F.sum(size * mean) * F.sum(size * mean) / F.sum(size)).alias("between"),
     )
     k, n = F.max("k"), F.max("n")
-    value = (F.sum("between") / (k - 1)) / (F.sum("within") / (n - k))
+    value = F.try_divide(F.try_divide(F.sum("between"), k - 1), F.try_divide(F.sum("within"), n - k))
     return dims.agg(F.when(F.sum("within") > 0, value).otherwise(1.0).alias("calinski_harabasz"))
 
 
@@ -135,7 +135,7 @@ def silhouette(df: DataFrame, features: str, cluster: str, key: str, block_rows:
         F.max(F.when(is_own, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)))).alias("a"),
         F.min(F.when(~is_own, F.col("total") / F.col("n"))).alias("b"),
     )
-    value = (F.col("b") - F.col("a")) / F.greatest("a", "b")
+    value = F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b"))
     return scored.agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("silhouette"))
 
 

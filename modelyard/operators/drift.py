@@ -40,13 +40,16 @@ def _counts(melted: DataFrame, *keys) -> DataFrame:
 def ks_test(
     both: DataFrame, columns: Sequence[str], threshold: float = settings.DRIFT_P_VALUE, ranges: int | None = None
 ) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov test per numeric column: exact statistic, large-sample p-value."""
+    """Two-sample Kolmogorov-Smirnov test per numeric column: exact statistic, large-sample p-value.
+
+    A column without values on one side has neither, and no drift.
+    """
     melted = _melt(both, columns, "double")
     totals = running_totals(
         _counts(melted, "value"), "value", ["ref", "cur"], ["feature"], ranges=ranges, source=melted
     )
     sums = totals.groupBy("feature").agg(F.max("cum_ref").alias("n_ref"), F.max("cum_cur").alias("n_cur"))
-    gap = F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_cur") / F.col("n_cur"))
+    gap = F.abs(F.try_divide("cum_ref", "n_ref") - F.try_divide("cum_cur", "n_cur"))
     tested = totals.join(sums, "feature").groupBy("feature", "n_ref", "n_cur").agg(F.max(gap).alias("statistic"))
     tested = tested.withColumn("p_value", kolmogorov_p(F.col("statistic"), F.col("n_ref"), F.col("n_cur")))
     return tested.withColumn("is_drift", F.coalesce(F.col("p_value") < threshold, F.lit(False)))
@@ -79,7 +82,7 @@ def bin_number(value: Column, lo: float | None, hi: float | None, bins: int) ->
 def _with_shares(counts: DataFrame) -> DataFrame:
     sums = counts.groupBy("feature").agg(F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"))
     return counts.join(sums, "feature").withColumns(
-        {"p": F.col("ref") / F.col("n_ref"), "q": F.col("cur") / F.col("n_cur")}
+        {"p": F.try_divide("ref", "n_ref"), "q": F.try_divide("cur", "n_cur")}
     )
 
 

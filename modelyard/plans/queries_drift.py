@@ -478,7 +478,7 @@ w AS (SELECT event_type, value, r <= 500 AS cur FROM ranked WHERE r <= 500 + 100
 sizes AS (SELECT event_type, count(*) FILTER (NOT cur) AS n_ref, count(*) FILTER (cur) AS n_cur FROM w GROUP BY 1),
 counts AS (SELECT event_type, value, count(*) FILTER (NOT cur) AS r, count(*) FILTER (cur) AS c FROM w GROUP BY ALL),
 cdf AS (SELECT event_type, sum(r) OVER o AS cr, sum(c) OVER o AS cc FROM counts WINDOW o AS (PARTITION BY event_type ORDER BY value))
-SELECT event_type AS feature, n_ref, n_cur, round(max(abs(cr::DOUBLE / n_ref - cc::DOUBLE / n_cur)), 6) AS statistic
+SELECT event_type AS feature, n_ref, n_cur, round(max(abs(cr::DOUBLE / nullif(n_ref, 0) - cc::DOUBLE / nullif(n_cur, 0))), 6) AS statistic
 FROM cdf JOIN sizes USING (event_type) GROUP BY ALL""",
 )
 def latest_window_drift(t):

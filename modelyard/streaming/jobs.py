@@ -103,7 +103,7 @@ def check_windows(
     keys = ["window_start", "feature"]
     totals = running_totals(both, "value", ["ref", "cur"], keys)
     sizes = totals.groupBy(*keys).agg(F.max("cum_ref").alias("n_ref"), F.max("cum_cur").alias("n_cur"))
-    gap = F.abs(F.col("cum_ref") / F.col("n_ref") - F.col("cum_cur") / F.col("n_cur"))
+    gap = F.abs(F.try_divide("cum_ref", "n_ref") - F.try_divide("cum_cur", "n_cur"))
     tested = totals.join(sizes, keys).groupBy(*keys, "n_ref", "n_cur").agg(F.max(gap).alias("statistic"))
     ready = F.col("n_cur") >= min_rows
     p = kolmogorov_p(F.col("statistic"), F.col("n_ref"), F.col("n_cur"))

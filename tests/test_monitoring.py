@@ -164,3 +164,17 @@ def test_report_bundles(spark):
     perf = spark.createDataFrame([(0.85, 0.82)], "current double, baseline double")
     out = reports.monitoring_report(info, perf, metrics, metrics).where("section = 'performance'").first()["item"]
     assert '"change":0.03' in out
+
+
+def test_empty_side_and_single_class(spark):
+    from modelyard.operators.classification import roc_auc, roc_curve
+    from modelyard.operators.clustering import silhouette
+
+    full = spark.createDataFrame([(1.0, "a"), (2.0, "b")], "x double, c string")
+    report = drift.drift_report(full, full.limit(0)).collect()
+    assert len(report) == 3 and not any(r["drift_detected"] for r in report)
+    scores = spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, s double")
+    assert roc_auc(scores, F.col("y") == 1, F.col("s")).first()[0] is None
+    assert roc_curve(scores, F.col("y") == 1, F.col("s")).count() == 3
+    same = spark.createDataFrame([(i, [1.0], i % 2) for i in range(4)], "k long, v array<double>, c int")
+    assert silhouette(same, "v", "c", "k").first()[0] == 0.0
