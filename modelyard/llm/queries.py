@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from modelyard.llm import exact_dedup, licenses, lm_scoring, mixing, ngram_join, packing, quality, token_output, toxicity, url_filter
+from modelyard.llm import exact_dedup, licenses, lm_scoring, mixing, ngram_join, oracles, packing, quality, token_output, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,25 +29,25 @@ def n_tokens(text) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + 1
 
 
-@query()
+@query(oracles.quality_sql())
 def op2_quality_rules(spark, sf_dir):
     """Base counts and risk-controlled verdict of every document."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query()
+@query(oracles.packing_sql())
 def op4_length_buckets(spark, sf_dir):
     """Bucket, boundary and batch of every document."""
     return packing.pack(table(spark, sf_dir, "documents"), n_tokens(F.col("text")))
 
 
-@query()
+@query(oracles.DEDUP_SQL)
 def op6_grace_dedup(spark, sf_dir):
     """Which row stays for every document."""
     return exact_dedup.groups_of(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(oracles.mixing_sql())
 def op9_poisson_mixing(spark, sf_dir):
     """Every copy of every document, in global random order."""
     mixed = mixing.replicate(table(spark, sf_dir, "documents"))
@@ -60,7 +60,7 @@ def op8_deleted_interpolation(spark, sf_dir):
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(oracles.JOIN_SQL)
 def op10_ngram_jaccard(spark, sf_dir):
     """The group of every document under five-word shingles and a similarity of 0.75."""
     return ngram_join.components(table(spark, sf_dir, "documents"))
@@ -80,7 +80,7 @@ def op3_counterfactual_toxicity(spark, sf_dir):
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query()
+@query(oracles.licenses_sql())
 def op5_license_rules(spark, sf_dir):
     """Licence sentences and licences of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
