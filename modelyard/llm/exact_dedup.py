@@ -81,9 +81,11 @@ def best_rows(rows: pa.Table, identity: str, text: str) -> pa.Table:
             if rank[:2] < best[entry][0][:2] or rank[:2] == best[entry][0][:2] and own is not None and own < best[entry][0][2]:
                 best[entry] = (rank, row)
     kept = rows.take(pa.array([row for _, row in best], pa.int64()))
-    kept = kept.set_column(kept.schema.get_field_index("n"), "n", pa.array(counts, pa.int64()))
-    hashes = pa.array([h - (h >> 63 << 64) for h in table.hashes], pa.int64())
-    return kept.set_column(kept.schema.get_field_index("h"), "h", hashes)
+    # Batches of one input share a schema, so the fields stay as they came.
+    hashes = [h - (h >> 63 << 64) for h in table.hashes]
+    for name, values in (("n", counts), ("h", hashes)):
+        kept = kept.set_column(kept.schema.get_field_index(name), kept.schema.field(name), pa.array(values, pa.int64()))
+    return kept
 
 
 def _spread(batches: Iterable[pa.RecordBatch], identity: str, text: str, memory: int) -> Iterator[pa.RecordBatch]:
