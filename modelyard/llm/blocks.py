@@ -43,9 +43,17 @@ def sorted_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpacked(data, np.uint64, n), dtype=np.uint64)
 
 
+def row_numbers(block: int, rows: int) -> np.ndarray:
+    """A number for each row of a block that no other row has: 20 bits of partition, 21 of block and 22 of row."""
+    partition, made = divmod(block, 1 << 32)
+    if partition >= 1 << 20 or made >= 1 << 21 or rows > 1 << 22:
+        raise ValueError("more partitions or blocks than row numbers allow; use larger blocks or fewer partitions")
+    return (partition << 43 | made << 22) + np.arange(rows, dtype=np.int64)
+
+
 def table_bytes(rows: pa.Table) -> bytes:
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
         out.write_table(rows)
     return sink.getvalue()
 
@@ -60,10 +68,11 @@ def block_batch(number: int, part: int, rows: pa.Table) -> pa.RecordBatch:
     )
 
 
-def pack_blocks(docs: DataFrame, block_bytes: int = 8 << 20, name: str = "blocks") -> DataFrame:
+def pack_blocks(docs: DataFrame, block_bytes: int = 8 << 20, name: str = "blocks", once: str | None = None) -> DataFrame:
     """`docs` (any columns and `part` int) as rows `block, part, body`, written to the shared folder.
 
-    A block holds rows of one part and about `block_bytes` of them, or one row that is larger.
+    A block holds rows of one part and about `block_bytes` of them, or one row that is larger. Of rows of a partition with the
+    same value of the column `once`, the first is taken.
     """
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +80,12 @@ def pack_blocks(docs: DataFrame, block_bytes: int = 8 << 20, name: str = "blocks
         held: dict[int, list] = {}
         size: dict[int, int] = {}
         made = 0
+        seen: set = set()
         for batch in batches:
+            if once:
+                keys = batch.column(batch.schema.get_field_index(once)).to_pylist()
+                fresh = [i for i, key in enumerate(keys) if not (key in seen or seen.add(key))]
+                batch = batch.take(pa.array(fresh, pa.int64()))
             for piece in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
                 parts = piece.column(piece.schema.get_field_index("part")).to_numpy(zero_copy_only=False)
                 for part in np.unique(parts).tolist():
@@ -157,9 +171,9 @@ def summaries(answers: DataFrame, width: int) -> np.ndarray:
 
 
 def finish(
-    blocks: DataFrame, answers: DataFrame, columns: int, work: Callable[[pa.Table, int, np.ndarray], pa.Table], schema: str
+    blocks: DataFrame, answers: DataFrame, columns: int, work: Callable[[pa.Table, int, np.ndarray, int], pa.Table], schema: str
 ) -> DataFrame:
-    """`work(rows, part, totals)` for each block, with the totals of its keys in ascending order of the keys."""
+    """`work(rows, part, totals, block)` for each block, with the totals of its keys in ascending order of the keys."""
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
         if not block.num_rows:
@@ -172,7 +186,7 @@ def finish(
             n = len(raw) // (8 * columns)
             pieces.append(unpacked(data[i], np.uint64, columns * n).reshape(columns, n))
         totals = np.concatenate(pieces, axis=1) if pieces else np.zeros((columns, 0), np.uint64)
-        return work(table_of(block["body"][0].as_py()), block["part"][0].as_py(), totals)
+        return work(table_of(block["body"][0].as_py()), block["part"][0].as_py(), totals, block["block"][0].as_py())
 
     asked = answers.where("block >= 0")
     return blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)

@@ -1,9 +1,9 @@
 """What the operators share: the meaning of a word, seeded numbers, shared scratch tables, joins of a checked size."""
 
 import uuid
-from collections.abc import Sequence
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from modelyard.session import cut_lineage, shared_folder
@@ -11,8 +11,8 @@ from modelyard.session import cut_lineage, shared_folder
 # The white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A broadcast side is read once, counted, and must not have more rows than this.
-BROADCAST_ROWS = 20_000
+# A broadcast side of a few numbers per row is written, counted, and must not have more rows than this.
+BROADCAST_ROWS = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -93,5 +93,32 @@ def window_keys(ids: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-def column_names(wanted: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{c}`") for c in wanted]
+class _Hashes(dict):
+    """Numbers the distinct words it is asked for, and keeps their hashes in that order."""
+
+    def __init__(self):
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return number
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of all texts in a row, and the words per text."""
+    seen = _Hashes()
+    numbers, sizes = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = words_of(text)
+        numbers.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+        sizes[i] = len(words)
+    table = np.array(seen.hashes, np.uint64)
+    return (table[np.concatenate(numbers)] if len(table) else np.zeros(0, np.uint64)), sizes
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and how often each comes; by sorting, which is faster than numpy's hashing here."""
+    values = np.sort(values)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[starts], np.diff(starts, append=len(values))

@@ -15,11 +15,10 @@ that no deleted token fell into uses equal weights of the estimates that exist t
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from modelyard.llm import blocks
-from modelyard.llm.common import partitions, text_size, window_keys, words_of
+from modelyard.llm.common import distinct, hashed_words, partitions, text_size, window_keys
 
 TRAIN, DELETED, UNSEEN = 0, 1, 2
 DOUBLINGS, LEVELS = 48, 32
@@ -29,30 +28,31 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def token_ids(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each with its start marks before and its end mark after; tokens per text."""
-    seen: dict[bytes, int] = {}
-    pieces, sizes = [], []
-    for text in texts:
-        words = words_of(text)
-        for word in words:
-            if word not in seen:
-                seen[word] = xxhash.xxh64_intdigest(word)
-        ids = np.full(len(words) + order, END, np.uint64)
-        ids[: order - 1] = START
-        ids[order - 1 : -1] = [seen[w] for w in words]
-        pieces.append(ids)
-        sizes.append(len(words) + 1)
-    return (np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)), np.array(sizes, np.int64)
-
-
-def token_keys(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each order the key of the n-gram that ends at each token; the last two bits tell the order."""
+    words, sizes = hashed_words(texts)
+    sizes = sizes + 1
+    ids = np.full(int((sizes + order - 1).sum()), START, np.uint64)
+    ends = np.cumsum(sizes + order - 1) - 1
+    ids[ends] = END
+    # A word is moved by the start marks up to its own text's and by the end marks before it.
+    own = np.repeat(np.arange(len(sizes)), sizes - 1)
+    ids[np.arange(len(words)) + own * order + order - 1] = words
+    return ids, sizes
+
+
+def narrowed(keys: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """Keys of one order in `bits` bits, of which the last two tell the order."""
+    return keys >> np.uint64(64 - bits) & ~np.uint64(3) | np.uint64(order - 1)
+
+
+def token_keys(texts: list[str | None], order: int, bits: int = 64) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the key of the n-gram that ends at each token."""
     ids, sizes = token_ids(texts, order)
     ends = np.repeat(np.cumsum(sizes + order - 1), sizes)
     place = ends - np.repeat(np.cumsum(sizes), sizes) + np.arange(sizes.sum())
     keys = []
     for n in range(1, order + 1):
         made = window_keys(ids, n)[place - (n - 1)] if len(place) else np.zeros(0, np.uint64)
-        keys.append(made & ~np.uint64(3) | np.uint64(n - 1))
+        keys.append(narrowed(made, n, bits))
     return keys, sizes
 
 
@@ -123,16 +123,19 @@ def score(
     _, size = text_size(lean, "text")
     packed = blocks.pack_blocks(lean.withColumn("part", part), block_bytes, "lm-blocks")
     buckets = 2 * max(partitions(spark), -(-size // block_bytes))
+    # Wide enough that a pair of n-grams with the same key is unlikely in the whole corpus (about one in ten corpora at six
+    # bytes a token), until 64 bits are reached.
+    bits = max(16, min(64, 2 * (order * size // 6).bit_length() - 2))
 
     def keys_of(rows: pa.Table, part: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, _ = token_keys(rows["text"].to_pylist(), order)
-        distinct, n = np.unique(np.concatenate(keys), return_counts=True)
-        counts = np.zeros((2, len(distinct)), np.uint32)
+        keys, _ = token_keys(rows["text"].to_pylist(), order, bits)
+        asked, n = distinct(np.concatenate(keys))
+        counts = np.zeros((2, len(asked)), np.uint32)
         if part != UNSEEN:
             counts[part] = n
-        return distinct, counts
+        return asked, counts
 
-    end = int(window_keys(np.array([END]), 1)[0] & ~np.uint64(3))
+    end = narrowed(window_keys(np.array([END]), 1), 1, bits)[0]
 
     def summary(keys: np.ndarray, totals: np.ndarray) -> list[int]:
         single = keys & np.uint64(3) == 0
@@ -141,17 +144,17 @@ def score(
         documents = totals[:, keys == end].sum(axis=1)
         return [int(known), int(sums[0]), int(sums[1]), int(documents[0]), int(documents[1])]
 
-    answers = blocks.answer(blocks.ask(packed, keys_of, 2, buckets), 2, summary, "lm-answers")
+    answers = blocks.answer(blocks.ask(packed, keys_of, 2, buckets, bits), 2, summary, "lm-answers")
     words, *numbers = (int(x) for x in blocks.summaries(answers, 5))
     tokens, documents = np.array(numbers[:2]), np.array(numbers[2:])
     sets = 1 + (order - 1) * DOUBLINGS
 
     def placed(rows: pa.Table, totals: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        keys, sizes = token_keys(rows["text"].to_pylist(), order)
-        distinct = np.unique(np.concatenate(keys))
-        return [totals[np.searchsorted(distinct, k)].astype(np.float64) for k in keys], sizes
+        keys, sizes = token_keys(rows["text"].to_pylist(), order, bits)
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        return np.split(totals[place].astype(np.float64), order), sizes
 
-    def cells(rows: pa.Table, part: int, totals: np.ndarray) -> pa.Table:
+    def cells(rows: pa.Table, part: int, totals: np.ndarray, block: int) -> pa.Table:
         counts, sizes = placed(rows, totals[TRAIN])
         values, chosen = estimates(counts, sizes, tokens[TRAIN], documents[TRAIN], words)
         code, place = np.unique(cell_codes(values, chosen), return_inverse=True)
@@ -167,7 +170,7 @@ def score(
     weights = learned_weights(code // LEVELS**order, sizes, means, sets)
     total_tokens, total_documents = int(tokens.sum()), int(documents.sum())
 
-    def scored(rows: pa.Table, part: int, totals: np.ndarray) -> pa.Table:
+    def scored(rows: pa.Table, part: int, totals: np.ndarray, block: int) -> pa.Table:
         counts, sizes = placed(rows, totals.sum(axis=0))
         values, chosen = estimates(counts, sizes, total_tokens, total_documents, words)
         first = np.cumsum(sizes) - sizes

@@ -24,16 +24,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from modelyard.llm import blocks
-from modelyard.llm.common import mixed, partitions, renamed, text_size, window_keys, words_of, written
+from modelyard.llm.common import distinct, hashed_words, join_small, mixed, partitions, renamed, text_size, window_keys, words_of, written
 from modelyard.llm.components import merged
 from modelyard.session import cut_lineage
 
 ORDERS = 3
-SETS = "k binary, n long, weight double, tokens binary, p0 array<long>, p1 array<long>, p2 array<long>"
+# A set as a bitmap of so many 64-bit words: differing bits are differing tokens.
+BIT_WORDS = 16
+SETS = "k long, key binary, n long, shared long, weight double, first array<long>, tokens binary, places binary, bits array<long>"
 
 
 def sequence_key(text: str | None) -> tuple[bytes | None, int]:
@@ -42,14 +43,16 @@ def sequence_key(text: str | None) -> tuple[bytes | None, int]:
     return (hashlib.md5(b" ".join(words)).digest() if words else None), len(words)
 
 
-def shingles(text: str | None, n: int, seen: dict[bytes, int]) -> np.ndarray:
-    """The distinct keys of the runs of `n` words, ascending."""
-    words = words_of(text)
-    for word in words:
-        if word not in seen:
-            seen[word] = xxhash.xxh64_intdigest(word)
-    ids = np.array([seen[w] for w in words], np.uint64)
-    return np.unique(window_keys(ids, min(n, max(1, len(ids)))))
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """For each text the distinct keys of its runs of `n` words, ascending."""
+    ids, sizes = hashed_words(texts)
+    keys = window_keys(ids, n)
+    sets, start = [], 0
+    for size in sizes.tolist():
+        own = keys[start : start + size - n + 1] if size >= n else window_keys(ids[start : start + size], max(1, size))
+        sets.append(distinct(own)[0])
+        start += size
+    return sets
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -58,19 +61,19 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _sequence_rows(docs: DataFrame) -> DataFrame:
-    """`doc_id, k, words` of every row."""
+    """`doc_id, key, words` of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sequence_key(t) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([k for k, _ in found], pa.binary()), pa.array([w for _, w in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "words"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "words"])
 
-    return docs.mapInArrow(run, "doc_id long, k binary, words long")
+    return docs.mapInArrow(run, "doc_id long, key binary, words long")
 
 
 def _distinct_texts(docs: DataFrame) -> DataFrame:
-    """`k, text` with one row per word sequence: first within each partition, then among all with the same key."""
+    """`key, text` where a word sequence comes once from each partition of `docs`, and all its rows are in one partition."""
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -81,127 +84,163 @@ def _distinct_texts(docs: DataFrame) -> DataFrame:
                 if key is not None and key not in seen:
                     seen.add(key)
                     fresh.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[r] for r in fresh], pa.binary()), batch.column(0).take(pa.array(fresh, pa.int64()))], ["k", "text"])
+            columns = [pa.array([keys[r] for r in fresh], pa.binary()), batch.column(0).take(pa.array(fresh, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "text"])
 
-    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            fresh = []
-            for row, key in enumerate(batch.column(0).to_pylist()):
-                if key not in seen:
-                    seen.add(key)
-                    fresh.append(row)
-            yield batch.take(pa.array(fresh, pa.int64()))
-
-    spread = docs.select("text").mapInArrow(first, "k binary, text string")
-    return spread.repartition(partitions(docs.sparkSession), "k").mapInArrow(once, "k binary, text string")
+    return docs.select("text").mapInArrow(first, "key binary, text string").repartition(partitions(docs.sparkSession), "key")
 
 
 def indexed_sets(texts: DataFrame, n: int, percent: int, size: int, block_bytes: int) -> DataFrame:
     """Every distinct text with its set size; where a partner is possible, its shared tokens and its prefixes."""
     spark = texts.sparkSession
-    packed = blocks.pack_blocks(texts.withColumn("part", F.lit(0)), block_bytes, "join-blocks")
+    packed = blocks.pack_blocks(texts.withColumn("part", F.lit(0)), block_bytes, "join-blocks", once="key")
     # Wide enough that hardly two tokens share a cell; sharing one only makes a token look more frequent.
     bits = min(64, max(1, size).bit_length() + 7)
     shift = np.uint64(64 - bits)
     buckets = 2 * max(partitions(spark), -(-size // (2 * block_bytes)))
 
     def sets_of(rows: pa.Table) -> list[np.ndarray]:
-        seen: dict[bytes, int] = {}
-        return [shingles(t, n, seen) for t in rows["text"].to_pylist()]
+        return shingle_sets(rows["text"].to_pylist(), n)
 
     def keys_of(rows: pa.Table, part: int) -> tuple[np.ndarray, np.ndarray]:
-        cells, counts = np.unique(np.concatenate(sets_of(rows)) >> shift, return_counts=True)
+        cells, counts = distinct(np.concatenate(sets_of(rows)) >> shift)
         return cells, counts.astype(np.uint32)[None, :]
 
-    def index(rows: pa.Table, part: int, totals: np.ndarray) -> pa.Table:
+    def index(rows: pa.Table, part: int, totals: np.ndarray, block: int) -> pa.Table:
         sets = sets_of(rows)
-        cells = np.unique(np.concatenate(sets) >> shift)
-        out: dict[str, list] = {c: [] for c in ("n", "weight", "tokens", "p0", "p1", "p2")}
+        _, place = np.unique(np.concatenate(sets) >> shift, return_inverse=True)
+        documents, start = totals[0][place], 0
+        out: dict[str, list] = {c: [] for c in ("n", "shared", "weight", "first", "tokens", "places", "bits")}
         for tokens in sets:
-            found = totals[0][np.searchsorted(cells, tokens >> shift)]
+            found = documents[start : start + len(tokens)]
+            start += len(tokens)
             reach = prefix_size(len(tokens), percent)
-            prefixes = []
-            for j in range(ORDERS):
-                order = np.lexsort((mixed(tokens + np.uint64(j)), found))[:reach]
-                prefixes.append(tokens[order[found[order] > 1]].view(np.int64))
-            shared = all(len(p) for p in prefixes)
-            out["n"].append(len(tokens))
-            out["weight"].append(float(np.log2(found).mean()) if shared else None)
-            out["tokens"].append(blocks.sorted_bytes(tokens[found > 1]) + int((found > 1).sum()).to_bytes(8, "little") if shared else None)
-            for j in range(ORDERS):
-                out[f"p{j}"].append(prefixes[j] if shared else None)
-        kinds = [pa.int64(), pa.float64(), pa.binary()] + [pa.list_(pa.int64())] * ORDERS
-        return pa.table({"k": rows["k"].combine_chunks()} | {c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
+            shared = int((found > 1).sum())
+            row: list = [len(tokens), shared, None, None, None, None, None]
+            # Rare tokens come first: enough tokens of its own fill the prefix under every order.
+            if len(tokens) - shared < reach:
+                row[2] = float(np.log2(found).mean())
+                # Prefixes as places among the shared tokens, in ascending order.
+                rank = np.cumsum(found > 1) - 1
+                orders = [np.lexsort((mixed(tokens + np.uint64(j)), found))[:reach] for j in range(ORDERS)]
+                places = [np.sort(rank[o[found[o] > 1]]).astype(np.uint32) for o in orders]
+                common = tokens[found > 1]
+                row[3] = common[places[0]].view(np.int64)
+                row[4] = len(common).to_bytes(8, "little") + blocks.sorted_bytes(common)
+                row[5] = np.array([len(p) for p in places[1:]], np.uint32).tobytes() + np.concatenate(places[1:]).tobytes()
+                bits = np.zeros(64 * BIT_WORDS, np.uint8)
+                bits[mixed(tokens) % np.uint64(64 * BIT_WORDS)] = 1
+                row[6] = np.packbits(bits).view(np.int64)
+            for values, value in zip(out.values(), row):
+                values.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        own = {"k": blocks.row_numbers(block, len(sets)), "key": rows["key"].combine_chunks()}
+        return pa.table(own | {c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
     answers = blocks.answer(blocks.ask(packed, keys_of, 1, buckets, bits), 1, name="join-answers")
     return written(blocks.finish(packed, answers, 1, index, SETS), "join-sets")
 
 
+class _Set:
+    """What is compared of a document: its shared tokens, its prefixes under the orders after the first, its size."""
+
+    def __init__(self, n: int, tokens: bytes, places: bytes):
+        self.n = n
+        self.tokens = blocks.sorted_keys(tokens[8:], int.from_bytes(tokens[:8], "little"))
+        numbers = np.frombuffer(places, np.uint32)
+        ends = ORDERS - 1 + np.cumsum(numbers[: ORDERS - 1])
+        self.prefixes = [self.tokens[numbers[e - size : e]] for e, size in zip(ends, numbers)]
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many of two ascending lists of distinct tokens are in both."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of `pairs` (x, y) those that share a prefix token under every order and reach the similarity."""
-    short = lambda end: sets.select(F.col("k").alias(end), *[F.col(f"p{j}").alias(f"{end}{j}") for j in range(1, ORDERS)])
-    meets = [F.arrays_overlap(F.col(f"x{j}"), F.col(f"y{j}")) for j in range(1, ORDERS)]
-    passed = pairs.join(short("x"), "x").join(short("y"), "y")
-    for meet in meets:
-        passed = passed.where(meet)
-    whole = lambda end: sets.select(F.col("k").alias(end), F.col("n").alias(f"{end}n"), F.col("tokens").alias(f"{end}t"))
-    full = passed.select("x", "y").join(whole("x"), "x").join(whole("y"), "y").select("x", "y", "xn", "yn", "xt", "yt")
-
-    def tokens(data: bytes) -> np.ndarray:
-        return blocks.sorted_keys(data[:-8], int.from_bytes(data[-8:], "little"))
+    """Of `pairs` (x, y), found under the first order, those that also meet under the others and reach the similarity."""
+    side = lambda end: sets.select(F.col("k").alias(end), *[F.col(c).alias(end + c) for c in ("n", "tokens", "places")])
+    full = pairs.join(side("x"), "x").join(side("y"), "y")
+    full = full.select("x", "y", "xn", "xtokens", "xplaces", "yn", "ytokens", "yplaces")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y, xn, yn, xt, yt = [batch.column(i).to_pylist() for i in range(6)]
-            good, last, left = [], None, None
-            for row in range(batch.num_rows):
-                if x[row] != last:
-                    last, left = x[row], tokens(xt[row])
-                right = tokens(yt[row])
-                small, large = (left, right) if len(left) < len(right) else (right, left)
-                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                shared = int((large[place] == small).sum())
-                if 100 * shared >= percent * (xn[row] + yn[row] - shared):
-                    good.append(row)
+            good = []
+            for row, (xn, xt, xp, yn, yt, yp) in enumerate(zip(*[batch.column(i).to_pylist() for i in range(2, 8)])):
+                x, y = _Set(xn, xt, xp), _Set(yn, yt, yp)
+                if all(_shared(p, q) for p, q in zip(x.prefixes, y.prefixes)):
+                    both = _shared(x.tokens, y.tokens)
+                    if 100 * both >= percent * (x.n + y.n - both):
+                        good.append(row)
             picked = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(picked), batch.column(1).take(picked)], ["x", "y"])
 
-    return full.mapInArrow(run, "x binary, y binary")
+    return full.mapInArrow(run, "x long, y long")
+
+
+def _different_buckets(index: DataFrame) -> DataFrame:
+    """The index without buckets of one document, and with one of the buckets that hold the same documents.
+
+    Near copies share most of their prefix; the buckets of those tokens ask the same question. Buckets are told apart by
+    their size and 128 bits over their documents.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("k"))).alias(f"m{seed}") for seed in range(2)]
+    buckets = index.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *marks).where("m > 1")
+    chosen = buckets.groupBy("m", "m0", "m1").agg(F.min("token").alias("token")).select("token")
+    return index.join(chosen, "token", "left_semi")
 
 
 def linked(sets: DataFrame, percent: int, most_rounds: int = 64) -> DataFrame:
     """`k, comp` of every set that may have a partner: the smallest key it is connected with."""
-    index = sets.where("p0 IS NOT NULL").select(F.explode("p0").alias("token"), "k", "n", "weight")
-    index = written(index, "join-index")
-    labels = cut_lineage(sets.where("p0 IS NOT NULL").select("k", F.col("k").alias("comp")))
+    open_sets = sets.where("first IS NOT NULL")
+    labels = cut_lineage(open_sets.select("k", F.col("k").alias("comp")))
+    kept = [F.col(c).cast("int").alias(c) for c in ("n", "shared")] + [F.col("weight").cast("float").alias("weight")]
+    index = open_sets.select(F.explode("first").alias("token"), "k", *kept, F.col("k").alias("comp"), F.lit(1).cast("long").alias("members"))
+    index = _different_buckets(written(index, "join-index"))
+    bits: list[str] = []
     width = 1
     for _ in range(most_rounds):
+        index = written(index, "join-index")
+        # Lone documents first: in a bucket of connected documents they are the only open question.
+        best = F.struct(-F.col("members"), "weight", "k", "n", "shared", "comp", *bits).alias("best")
+        salt = F.pmod(F.xxhash64("k"), F.lit(width)).alias("salt")
+        tops = index.groupBy("token", salt).agg(F.max(best).alias("best"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+        tops = written(tops.select("token", "best.*", "a", "b"), "join-pivots")
         # Buckets with one component are settled.
-        now = index.join(labels, "k")
-        alive = now.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-        now = written(now.join(alive, "token", "left_semi"), "join-index")
-        if now.isEmpty():
+        alive = tops.groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("token")
+        pivots = tops.join(alive, "token", "left_semi").select(
+            "token", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "shared", "comp", *bits)]
+        )
+        members = index.select("token", *[F.col(c).alias(f"y_{c}") for c in ("k", "n", "shared", "comp", *bits)])
+        # Two sets can share no more than either shares with all others.
+        most = F.least("x_n", "y_n", "x_shared", "y_shared")
+        both = F.col("x_n") + F.col("y_n")
+        reachable = (most * 100 >= (both - most) * percent) & (F.col("x_comp") != F.col("y_comp"))
+        if bits:
+            apart = [F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits]
+            reachable = reachable & (sum(apart[1:], apart[0]) * (100 + percent) <= both * (100 - percent))
+        pairs = members.join(pivots, (members["token"] == pivots["token"]) & reachable)
+        pairs = written(pairs.select(F.least("x_k", "y_k").alias("x"), F.greatest("x_k", "y_k").alias("y")).distinct(), "join-pairs")
+        if pairs.isEmpty() and alive.isEmpty():
             return labels
-        # Lone documents first: in a bucket of connected documents they are the only open question.
+        needed = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
+        labels = merged(labels, cut_lineage(similar(pairs, join_small(open_sets, needed, "k", "left_semi"), percent)))
+        # Pivots have met all others of their buckets. What is left shrinks fast, and the sets with it.
         sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-        salt = F.pmod(F.xxhash64("k"), F.lit(width))
-        ranked = now.join(sizes, "comp").select("token", salt.alias("salt"), F.struct(-F.col("members"), "weight", "k", "n", "comp").alias("best"))
-        pivots = ranked.groupBy("token", "salt").agg(F.max("best").alias("best")).select("token", "best.k", "best.n", "best.comp")
-        pivots = written(pivots.select("token", F.col("k").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc")), "join-pivots")
-        members = now.select("token", F.col("k").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-        close = (F.col("xn") * 100 >= F.col("yn") * percent) & (F.col("yn") * 100 >= F.col("xn") * percent)
-        pairs = members.join(pivots, "token").where((F.col("xc") != F.col("yc")) & close)
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        labels = merged(labels, cut_lineage(similar(pairs, sets, percent)))
-        done = pivots.select("token", F.col("x").alias("k"))
-        index = now.join(done, ["token", "k"], "left_anti").select("token", "k", "n", "weight")
+        left = index.join(alive, "token", "left_semi").join(pivots.select("token", F.col("x_k").alias("k")), ["token", "k"], "left_anti")
+        left = left.select("token", "k", "n", "shared", "weight")
+        # From the second round on a bucket has many pivots, and bitmaps spare most comparisons.
+        bits = [f"b{i}" for i in range(BIT_WORDS)]
+        maps = open_sets.select("k", *[F.get("bits", i).alias(b) for i, b in enumerate(bits)])
+        named = labels.join(sizes, "comp").select("k", "comp", "members").join(maps, "k")
+        index = left.join(join_small(named, left.select("k").distinct(), "k", "left_semi"), "k")
         width *= 4
     raise RuntimeError("the join did not settle")
 
 
 def components(
-    docs: DataFrame, identity: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, block_bytes: int = 8 << 20
+    docs: DataFrame, identity: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, block_bytes: int = 4 << 20
 ) -> DataFrame:
     """One row per document: `doc_id`, `n_shingles`, `component_id` (the smallest id it is connected with)."""
     lean = docs.select(F.col(f"`{identity}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -209,12 +248,12 @@ def components(
     _, size = text_size(lean, "text")
     sets = indexed_sets(_distinct_texts(lean), n, percent, size, block_bytes)
     labels = linked(sets, percent)
-    groups = rows.where("k IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("least"))
-    groups = groups.join(sets.select("k", "n"), "k").join(labels, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
-    groups = cut_lineage(groups)
+    groups = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    groups = groups.join(sets.select("key", "k", "n"), "key").join(labels, "k", "left")
+    groups = cut_lineage(groups.select("key", "n", "least", F.coalesce("comp", "k").alias("comp")))
     least = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
-    groups = cut_lineage(groups.join(least, "comp").select("k", F.col("n").alias("n_shingles"), "component_id"))
-    out = rows.join(groups, "k", "left")
+    groups = cut_lineage(groups.join(least, "comp").select("key", F.col("n").alias("n_shingles"), "component_id"))
+    out = rows.join(groups, "key", "left")
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

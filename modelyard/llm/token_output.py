@@ -14,6 +14,7 @@ order of a hash of their texts. An empty table gives an empty folder. A text lon
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +26,10 @@ from modelyard.llm.common import join_small, partitions, scratch, text_size
 
 GROUP = 64
 BLOCKS = "shard int, block int, first long, n_ids long, bits int, doc_ids array<long>, lengths array<long>, payload binary"
-CACHED_PIECES = 400_000
+CACHED_PIECES = 450_000
 # White space in a row, in the widest sense; a text without it splits safely at single spaces.
+# A word and the marks behind it.
+MARKED = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
 DOUBLE_SPACE = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -66,11 +69,35 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
     return ids.reshape(-1)[first - start * GROUP : first - start * GROUP + count]
 
 
+class _Pieces(dict):
+    """The ids of pieces of text; a new piece is put together from its word and marks, or encoded by the library.
+
+    At most two generations of `CACHED_PIECES` pieces are remembered.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if marked := MARKED.fullmatch(piece):
+            return self[marked[1]] + self[marked[2]]
+        code = self.older.get(piece)
+        if code is None:
+            code = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(self) >= CACHED_PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = code
+        return code
+
+
 class Encoder:
     """Ids of texts, with the ids of recurring pieces remembered.
 
-    Byte-level vocabularies split a text before every single space that stands between two other characters, so such a text
-    can be encoded piece by piece. Texts with other white space in a row are encoded whole.
+    Byte-level vocabularies split a text before every single space that stands between two other characters, and between a
+    word and the marks behind it. So such a text is put together from pieces. Texts with other white space in a row are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -78,32 +105,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known = _Pieces(self.tokenizer)
         before = self.tokenizer.pre_tokenizer
         plain = self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel)
         self.by_piece = plain and before.use_regex and not before.add_prefix_space
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [self.pieces(t) for t in texts]
-        fresh = list({p for pieces in split if pieces for p in pieces if p not in self.known})
-        if len(self.known) + len(fresh) > CACHED_PIECES:
-            self.known = {}
-            fresh = list({p for pieces in split if pieces for p in pieces})
-        self.known.update(zip(fresh, self.whole(fresh)))
-        rest = iter(self.whole([t for t, pieces in zip(texts, split) if pieces is None]))
-        known = self.known
-        return [next(rest) if pieces is None else b"".join([known[p] for p in pieces]) for pieces in split]
-
-    def pieces(self, text: str) -> list[str] | None:
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Native 32-bit ids of a text."""
         if not self.by_piece or DOUBLE_SPACE.search(text):
-            return None
+            return self.whole(text)
         first, *others = text.split(" ")
-        return [first, *[" " + p for p in others]] if first else [" " + p for p in others]
+        pieces = [" " + p for p in others]
+        return b"".join(map(self.known.__getitem__, [first, *pieces] if first else pieces))
 
 
 def encoder(path: str) -> Encoder:
@@ -141,15 +157,15 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for piece in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                for number, encoded in zip(piece.column(0).to_pylist(), own.encode(piece.column(1).to_pylist())):
-                    ids.append(number)
-                    data.append(encoded + end)
-                    held += len(encoded) // 4 + 1
-                    if held >= block_ids:
-                        yield flush()
-                        block, first, held = block + 1, first + held, 0
-                        ids, data = [], []
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                encoded = own.encode(body.as_py())
+                ids.append(number)
+                data.append(encoded + end)
+                held += len(encoded) // 4 + 1
+                if held >= block_ids:
+                    yield flush()
+                    block, first, held = block + 1, first + held, 0
+                    ids, data = [], []
         if data:
             yield flush()
 
