@@ -26,7 +26,7 @@ from modelyard.llm.common import join_small, partitions, scratch, text_size
 
 GROUP = 64
 BLOCKS = "shard int, block int, first long, n_ids long, bits int, doc_ids array<long>, lengths array<long>, payload binary"
-CACHED_PIECES = 450_000
+CACHED_PIECES = 1_500_000
 # White space in a row, in the widest sense; a text without it splits safely at single spaces.
 # A word and the marks behind it.
 MARKED = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
@@ -70,34 +70,21 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
 
 
 class _Pieces(dict):
-    """The ids of pieces of text; a new piece is put together from its word and marks, or encoded by the library.
+    """The ids of words; what is not here is looked up among the pieces of the batch at hand."""
 
-    At most two generations of `CACHED_PIECES` pieces are remembered.
-    """
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-        self.older: dict[str, bytes] = {}
+    def __init__(self):
+        self.batch: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if marked := MARKED.fullmatch(piece):
-            return self[marked[1]] + self[marked[2]]
-        code = self.older.get(piece)
-        if code is None:
-            code = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
-        if len(self) >= CACHED_PIECES:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = code
-        return code
+        return self.batch[piece]
 
 
 class Encoder:
-    """Ids of texts, with the ids of recurring pieces remembered.
+    """Ids of texts, with the ids of recurring words remembered.
 
     Byte-level vocabularies split a text before every single space that stands between two other characters, and between a
-    word and the marks behind it. So such a text is put together from pieces. Texts with other white space in a row are
-    encoded whole.
+    word and the marks behind it. So such a text is put together from pieces, and the library encodes the new ones of a batch.
+    Texts with other white space in a row are encoded whole. After `CACHED_PIECES` words the memory starts anew.
     """
 
     def __init__(self, path: str):
@@ -105,21 +92,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = _Pieces(self.tokenizer)
+        self.known = _Pieces()
         before = self.tokenizer.pre_tokenizer
         plain = self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel)
         self.by_piece = plain and before.use_regex and not before.add_prefix_space
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Native 32-bit ids of a text."""
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Native 32-bit ids of each text, from the library."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The same, from pieces where that is safe."""
+        known = self.known
+        if len(known) > CACHED_PIECES:
+            known.clear()
+        split = [self.pieces(t) for t in texts]
+        new: set[str] = set()
+        for pieces in split:
+            if pieces:
+                new.update(set(pieces).difference(known))
+        ended = [(p, m[1], m[2]) for p in new if (m := MARKED.fullmatch(p))]
+        new.difference_update([p for p, _, _ in ended])
+        new.update([part for _, *parts in ended for part in parts if part not in known])
+        words = list(new)
+        known.update(zip(words, self.whole(words)))
+        known.batch = {p: known[word] + known[marks] for p, word, marks in ended}
+        rest = iter(self.whole([t for t, pieces in zip(texts, split) if pieces is None]))
+        return [next(rest) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+    def pieces(self, text: str) -> list[str] | None:
         if not self.by_piece or DOUBLE_SPACE.search(text):
-            return self.whole(text)
+            return None
         first, *others = text.split(" ")
-        pieces = [" " + p for p in others]
-        return b"".join(map(self.known.__getitem__, [first, *pieces] if first else pieces))
+        return [first, *[" " + p for p in others]] if first else [" " + p for p in others]
 
 
 def encoder(path: str) -> Encoder:
@@ -157,11 +162,11 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for number, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                encoded = own.encode(body.as_py())
+            encoded = (e for i in range(0, batch.num_rows, 500) for e in own.encode(batch.column(1)[i : i + 500].to_pylist()))
+            for number, body in zip(batch.column(0).to_pylist(), encoded):
                 ids.append(number)
-                data.append(encoded + end)
-                held += len(encoded) // 4 + 1
+                data.append(body + end)
+                held += len(body) // 4 + 1
                 if held >= block_ids:
                     yield flush()
                     block, first, held = block + 1, first + held, 0
