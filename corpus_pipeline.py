@@ -14,7 +14,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with the same content."""
-    return exact_dedup.dedup(docs).drop("dedup")
+    return exact_dedup.dedup(docs, added=None)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its source's rate asks for, in random order."""
-    return mixing.replicate(docs).drop("mix")
+    return mixing.replicate(docs, added=None)
 
 
 def length_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,9 +150,10 @@ def bucket_plan(keys: DataFrame, first: int, memory: int) -> DataFrame | None:
 
 
 def dedup(
-    docs: DataFrame, identity: str = "doc_id", text: str = "text", memory: int = 64 << 20, keys: DataFrame | None = None
-) -> DataFrame:
-    """The rows that stay, with all their columns, and `group_size`, `text_sha256` in a struct column `dedup`.
+    docs: DataFrame, identity: str = "doc_id", text: str = "text", memory: int = 64 << 20, keys: DataFrame | None = None,
+    added: str | None = "dedup",
+) -> DataFrame:
+    """The rows that stay, with all their columns, and `group_size`, `text_sha256` in a struct column `added` (None: without).
 
     `memory` is what the distinct contents of one bucket may weigh. `keys` may give (h, bytes) per row, if they are known.
     """
@@ -178,7 +179,7 @@ def dedup(
     placed = spread.repartition(parts, "bucket").sortWithinPartitions("bucket")
     settled = placed.mapInArrow(lambda it: _settle(it, own, body), placed.schema)
     found = F.struct(F.col("n").alias("group_size"), F.sha2(content(F.col(body)), 256).alias("text_sha256"))
-    return settled.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], found.alias("dedup"))
+    return settled.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *([found.alias(added)] if added else []))
 
 
 def groups_of(docs: DataFrame, identity: str = "doc_id", text: str = "text", memory: int = 64 << 20) -> DataFrame:

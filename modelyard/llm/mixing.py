@@ -64,8 +64,12 @@ def replicate(
     power: float = 0.5,
     epochs: float = 1.0,
     seed: int = 7,
+    added: str | None = "mix",
 ) -> DataFrame:
-    """Copies in global random order: the columns of `docs` and a struct `mix` (rate, copies, copy, shuffle_key)."""
+    """Copies in global random order: the columns of `docs` and a struct `added` (rate, copies, copy, shuffle_key).
+
+    Without `added` the columns are those of `docs` alone, also where one of them has the name of the struct.
+    """
     spark = docs.sparkSession
     rates = repetition_rates(docs, source, weights, power, epochs).select(F.col("source").alias("_mix_source"), "rate")
     rows, names = renamed(docs)
@@ -77,6 +81,5 @@ def replicate(
     rows = rows.withColumn("shuffle_key", seeded(seed + 1, own, F.col("copy")))
     # The key is uniform, so equal ranges of it are equal shares of the rows, whatever the sources are.
     rows = rows.repartitionByRange(partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
-    return rows.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.struct("rate", "copies", "copy", "shuffle_key").alias("mix")
-    )
+    drawn = [F.struct("rate", "copies", "copy", "shuffle_key").alias(added)] if added else []
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *drawn)

@@ -50,7 +50,7 @@ def op6_grace_dedup(spark, sf_dir):
 @query(oracles.mixing_sql())
 def op9_poisson_mixing(spark, sf_dir):
     """Every copy of every document, in global random order."""
-    mixed = mixing.replicate(table(spark, sf_dir, "documents"))
+    mixed = mixing.replicate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "source", "text", F.round("mix.rate", 9).alias("rate"), "mix.copies", "mix.copy", "mix.shuffle_key")
 
 
