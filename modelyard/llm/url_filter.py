@@ -134,7 +134,15 @@ def judge(
     spark = pages.sparkSession
     counts = word_counts(pages, html).persist()
     total = counts.agg(F.sum("n")).first()[0] or 0
-    known = {r["word"]: r["n"] for r in counts.orderBy(F.col("n").desc(), "word").limit(lexicon).collect()}
+    # Cells of like counts, a few hundred for any corpus, tell where the lexicon ends; words below take no part in the sort.
+    cell = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    reached, lowest = 0, 0
+    for level in counts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("cell").desc()).collect():
+        reached, lowest = reached + level["words"], level["cell"]
+        if reached >= lexicon:
+            break
+    frequent = counts.where(cell >= lowest).orderBy(F.col("n").desc(), "word").limit(lexicon)
+    known = {r["word"]: r["n"] for r in frequent.collect()}
     counts.unpersist()
     words = spark.sparkContext.broadcast((known, total))  # at most `lexicon` words
     book = Rules(rules)
