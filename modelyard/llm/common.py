@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from modelyard.session import cut_lineage, shared_folder
+from modelyard.session import shared_folder
 
 # The white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
@@ -52,9 +52,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def join_small(rows: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
     """Join with a table that is usually small: broadcast where its counted rows are few, else a shuffled join.
 
-    `small` is cut to the shared folder first, so that the count and the join see the same rows.
+    `small` is written to the shared folder first, so that the count and the join see the same rows.
     """
-    small = cut_lineage(small)
+    small = written(small, "small")
     return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 

@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, functions as F
 from modelyard.llm import blocks
 from modelyard.llm.common import distinct, hashed_words, join_small, mixed, partitions, renamed, text_size, window_keys, words_of, written
 from modelyard.llm.components import merged
-from modelyard.session import cut_lineage
 
 ORDERS = 3
 # A set as a bitmap of so many 64-bit words: differing bits are differing tokens.
@@ -194,7 +193,7 @@ def _different_buckets(index: DataFrame) -> DataFrame:
 def linked(sets: DataFrame, percent: int, most_rounds: int = 64) -> DataFrame:
     """`k, comp` of every set that may have a partner: the smallest key it is connected with."""
     open_sets = sets.where("first IS NOT NULL")
-    labels = cut_lineage(open_sets.select("k", F.col("k").alias("comp")))
+    labels = written(open_sets.select("k", F.col("k").alias("comp")), "join-labels")
     kept = [F.col(c).cast("int").alias(c) for c in ("n", "shared")] + [F.col("weight").cast("float").alias("weight")]
     index = open_sets.select(F.explode("first").alias("token"), "k", *kept, F.col("k").alias("comp"), F.lit(1).cast("long").alias("members"))
     index = _different_buckets(written(index, "join-index"))
@@ -225,7 +224,7 @@ def linked(sets: DataFrame, percent: int, most_rounds: int = 64) -> DataFrame:
         if pairs.isEmpty() and alive.isEmpty():
             return labels
         needed = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
-        labels = merged(labels, cut_lineage(similar(pairs, join_small(open_sets, needed, "k", "left_semi"), percent)))
+        labels = merged(labels, written(similar(pairs, join_small(open_sets, needed, "k", "left_semi"), percent), "join-links"))
         # Pivots have met all others of their buckets. What is left shrinks fast, and the sets with it.
         sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
         left = index.join(alive, "token", "left_semi").join(pivots.select("token", F.col("x_k").alias("k")), ["token", "k"], "left_anti")
@@ -250,9 +249,9 @@ def components(
     labels = linked(sets, percent)
     groups = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     groups = groups.join(sets.select("key", "k", "n"), "key").join(labels, "k", "left")
-    groups = cut_lineage(groups.select("key", "n", "least", F.coalesce("comp", "k").alias("comp")))
+    groups = written(groups.select("key", "n", "least", F.coalesce("comp", "k").alias("comp")), "join-groups")
     least = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
-    groups = cut_lineage(groups.join(least, "comp").select("key", F.col("n").alias("n_shingles"), "component_id"))
+    groups = written(groups.join(least, "comp").select("key", F.col("n").alias("n_shingles"), "component_id"), "join-groups")
     out = rows.join(groups, "key", "left")
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
