@@ -13,6 +13,8 @@ SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A broadcast side of a few numbers per row is written, counted, and must not have more rows than this.
 BROADCAST_ROWS = 100_000
+# Narrow rows that are worth a task of their own.
+ROWS_PER_TASK = 50_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,12 +51,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_small(rows: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most about `rows` narrow rows, in as many tasks as these deserve; without a shuffle of its own."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
+def join_small(rows: DataFrame, small: DataFrame, on, how: str = "left", most: int | None = None) -> DataFrame:
     """Join with a table that is usually small: broadcast where its counted rows are few, else a shuffled join.
 
     `small` is written to the shared folder first, so that the count and the join see the same rows.
+    `most` is how many narrow rows it can have, where that is known.
     """
-    small = written(small, "small")
+    small = written(few(small, most) if most is not None else small, "small")
     return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from modelyard.llm import blocks
-from modelyard.llm.common import distinct, hashed_words, join_small, mixed, partitions, renamed, text_size, window_keys, words_of, written
+from modelyard.llm.common import distinct, few, hashed_words, join_small, mixed, partitions, renamed, text_size, window_keys, words_of, written
 from modelyard.llm.components import merged
 
 ORDERS = 3
@@ -196,16 +196,19 @@ def linked(sets: DataFrame, percent: int, most_rounds: int = 64) -> DataFrame:
     labels = written(open_sets.select("k", F.col("k").alias("comp")), "join-labels")
     kept = [F.col(c).cast("int").alias(c) for c in ("n", "shared")] + [F.col("weight").cast("float").alias("weight")]
     index = open_sets.select(F.explode("first").alias("token"), "k", *kept, F.col("k").alias("comp"), F.lit(1).cast("long").alias("members"))
-    index = _different_buckets(written(index, "join-index"))
+    index = written(index, "join-index")
+    size = index.count()
+    index = _different_buckets(index)
     bits: list[str] = []
     width = 1
     for _ in range(most_rounds):
-        index = written(index, "join-index")
+        index = written(few(index, size), "join-index")
+        size = index.count()
         # Lone documents first: in a bucket of connected documents they are the only open question.
         best = F.struct(-F.col("members"), "weight", "k", "n", "shared", "comp", *bits).alias("best")
         salt = F.pmod(F.xxhash64("k"), F.lit(width)).alias("salt")
         tops = index.groupBy("token", salt).agg(F.max(best).alias("best"), F.min("comp").alias("a"), F.max("comp").alias("b"))
-        tops = written(tops.select("token", "best.*", "a", "b"), "join-pivots")
+        tops = written(few(tops.select("token", "best.*", "a", "b"), size), "join-pivots")
         # Buckets with one component are settled.
         alive = tops.groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("token")
         pivots = tops.join(alive, "token", "left_semi").select(
@@ -220,11 +223,13 @@ def linked(sets: DataFrame, percent: int, most_rounds: int = 64) -> DataFrame:
             apart = [F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits]
             reachable = reachable & (sum(apart[1:], apart[0]) * (100 + percent) <= both * (100 - percent))
         pairs = members.join(pivots, (members["token"] == pivots["token"]) & reachable)
-        pairs = written(pairs.select(F.least("x_k", "y_k").alias("x"), F.greatest("x_k", "y_k").alias("y")).distinct(), "join-pairs")
+        pairs = pairs.select(F.least("x_k", "y_k").alias("x"), F.greatest("x_k", "y_k").alias("y")).distinct()
+        # A member meets at most `width` pivots of its bucket.
+        pairs = written(few(pairs, width * size), "join-pairs")
         if pairs.isEmpty() and alive.isEmpty():
             return labels
         needed = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
-        labels = merged(labels, written(similar(pairs, join_small(open_sets, needed, "k", "left_semi"), percent), "join-links"))
+        labels = merged(labels, written(similar(pairs, join_small(open_sets, needed, "k", "left_semi", 2 * pairs.count()), percent), "join-links"))
         # Pivots have met all others of their buckets. What is left shrinks fast, and the sets with it.
         sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
         left = index.join(alive, "token", "left_semi").join(pivots.select("token", F.col("x_k").alias("k")), ["token", "k"], "left_anti")
@@ -233,7 +238,7 @@ def linked(sets: DataFrame, percent: int, most_rounds: int = 64) -> DataFrame:
         bits = [f"b{i}" for i in range(BIT_WORDS)]
         maps = open_sets.select("k", *[F.get("bits", i).alias(b) for i, b in enumerate(bits)])
         named = labels.join(sizes, "comp").select("k", "comp", "members").join(maps, "k")
-        index = left.join(join_small(named, left.select("k").distinct(), "k", "left_semi"), "k")
+        index = left.join(join_small(named, left.select("k").distinct(), "k", "left_semi", size), "k")
         width *= 4
     raise RuntimeError("the join did not settle")
 
