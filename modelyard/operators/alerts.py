@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from modelyard import settings
 from modelyard.functions.values import sorted_json
+from modelyard.operators.ordered import join_groups
 
 
 def alert_rows(
@@ -56,6 +57,7 @@ def cooldown(
     cooldown of it matters), when the last alert of the piece would pass; runs of equal answers are one row. A walk
     over these few rows per key fixes the entry moment of every piece, and a second pass marks the alerts. Alerts of a
     key at the same moment are merged first, so a task holds the distinct moments of one key in `span` cooldowns.
+    Alerts without a key share one timer.
     """
     key = list(key)
     wait, width = int(seconds * 1_000_000), int(seconds * 1_000_000) * span
@@ -77,17 +79,14 @@ def cooldown(
     starts = chains.select(*key, F.inline(F.arrays_zip(F.col("_c._piece").alias("_piece"), entries.alias("_entry"))))
 
     places = _passing(wait)(F.col("_times"), F.col("_entry"))
-    passing = pieces.join(starts, columns).select(
+    passing = join_groups(pieces, starts, columns).select(
         *key, F.explode(F.transform(places, lambda i: F.struct(F.get("_times", i), F.get("_ties", i)))).alias("_p")
     )
     passing = passing.select(
         *key, F.col("_p.col1").alias("_ts"), F.col("_p.col2").alias(tie), F.lit(True).alias("passed")
     )
-    return (
-        rows.drop("_piece")
-        .join(passing, [*key, "_ts", tie], "left")
-        .select(*alerts.columns, F.coalesce("passed", F.lit(False)).alias("passed"))
-    )
+    marked = join_groups(rows.drop("_piece"), passing, [*key, "_ts", tie], "left")
+    return marked.select(*alerts.columns, F.coalesce("passed", F.lit(False)).alias("passed"))
 
 
 def _piece_steps(wait: int, width: int):

@@ -12,6 +12,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table that has one row per group; NULL is a group like any other."""
+    named = groups.withColumnsRenamed({k: f"_own_{k}" for k in keys})
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_own_{k}`")) for k in keys]
+    return rows.join(named, same, how).drop(*[f"_own_{k}" for k in keys])
+
+
 def with_range(
     df: DataFrame, key: Column, ranges: int | None = None, name: str = "_range", source: DataFrame | None = None
 ) -> DataFrame:
@@ -77,7 +84,7 @@ def running_totals(
         *[F.sum(c).over(running).alias(f"_l_{c}") for c in sums],
         *([F.lead(F.struct(*sums)).over(inner).alias("_follow")] if look_ahead else []),
     )
-    joined = local.join(carried, [*group, "_range"])
+    joined = join_groups(local, carried, [*group, "_range"])
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
@@ -108,7 +115,7 @@ def with_previous(
     outer = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range")
     lasts = lasts.select(*group, "_range", F.lag("_last").over(outer).alias("_carry"))
     local = cut.withColumn("_before", F.lag(F.struct(*columns)).over(inner))
-    joined = local.join(lasts, [*group, "_range"])
+    joined = join_groups(local, lasts, [*group, "_range"])
     return joined.select(*df.columns, *[F.coalesce("_before", "_carry")[c].alias(f"prev_{c}") for c in columns])
 
 
@@ -239,7 +246,7 @@ def running_max(df: DataFrame, value: str, order: str, group: Sequence[str] = ()
     outer = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     tops = cut.groupBy(*group, "_range").agg(F.max(value).alias("_top"))
     tops = tops.select(*group, "_range", F.max("_top").over(outer).alias("_before"))
-    joined = cut.withColumn("_here", F.max(value).over(inner)).join(tops, [*group, "_range"])
+    joined = join_groups(cut.withColumn("_here", F.max(value).over(inner)), tops, [*group, "_range"])
     return joined.select(*df.columns, F.greatest("_here", "_before").alias("best"))
 
 

@@ -6,6 +6,7 @@ from math import log
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from modelyard.functions.values import nan_to_null
 from modelyard.operators.ordered import exact_percentiles
 
 
@@ -49,8 +50,10 @@ def fit_power(df: DataFrame, columns: Sequence[str], low: float = -2.0, high: fl
     """(lambda, mean, deviation) per column: lambda maximises the likelihood on a grid that is refined `rounds` times.
 
     Every round is one pass that evaluates the whole grid of all columns; the last grid step is (high - low) / 8 / 4^rounds.
+    NULL and NaN are left out; a column without values keeps lambda, mean 0 and deviation 1.
     """
     columns = list(columns)
+    df = nan_to_null(df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]))
     centre = {c: (low + high) / 2 for c in columns}
     half = (high - low) / 2
     for _ in range(rounds):
@@ -73,7 +76,7 @@ def fit_power(df: DataFrame, columns: Sequence[str], low: float = -2.0, high: fl
         y = yeo_johnson(F.col(f"`{c}`"), centre[c])
         cells += [F.avg(y).alias(f"m{i}"), F.stddev_pop(y).alias(f"d{i}")]
     row = df.agg(*cells).first()
-    return {c: (centre[c], row[f"m{i}"], row[f"d{i}"] or 1.0) for i, c in enumerate(columns)}
+    return {c: (centre[c], row[f"m{i}"] or 0.0, row[f"d{i}"] or 1.0) for i, c in enumerate(columns)}
 
 
 def apply_power(df: DataFrame, fitted: dict) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from modelyard import settings
 from modelyard.functions.stats import chi_square_tail, f_tail
+from modelyard.functions.values import nan_to_null
 from modelyard.operators.drift import bin_number
 from modelyard.operators.profile import column_roles
 
@@ -14,8 +15,10 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     """Mutual information (nats) of every feature with the label, from one contingency table in one melted pass.
 
     Numeric features with fractional types are cut into equal-width bins; whole numbers and text count as categories.
+    NULL and NaN are left out.
     """
     features = list(features)
+    df = nan_to_null(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*features, label])]))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     real = [c for c in features if kinds[c] in ("double", "float") or kinds[c].startswith("decimal")]
     edges = {}
@@ -25,7 +28,7 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
     entries = [
         F.struct(
             F.lit(c).alias("feature"),
-            (bin_number(F.col(c).cast("double"), *edges[c], bins) if c in edges else F.col(c)).cast("string").alias("x"),
+            F.when(F.col(c).isNotNull(), bin_number(F.col(c).cast("double"), *edges[c], bins) if c in edges else F.col(c)).cast("string").alias("x"),
         )
         for c in features
     ]
@@ -44,48 +47,68 @@ def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins:
 
 
 def _class_sums(df: DataFrame, features: Sequence[str], label: str) -> list:
-    """Count, sum and squared deviations of every feature per class: k rows."""
-    cells = [F.count("*").alias("n")]
+    """Count, sum and squared deviations of every feature per class: k rows. Missing values and labels are left out."""
+    cells = []
     for i, c in enumerate(features):
-        value = F.col(f"`{c}`").cast("double")
-        cells += [F.sum(value).alias(f"s{i}"), (F.var_pop(value) * F.count(value)).alias(f"q{i}")]
-    return df.groupBy(F.col(label).alias("y")).agg(*cells).collect()
+        value = _number(c)
+        squares = F.coalesce(F.var_pop(value) * F.count(value), F.lit(0.0))
+        cells += [F.count(value).alias(f"n{i}"), F.coalesce(F.sum(value), F.lit(0.0)).alias(f"s{i}"), squares.alias(f"q{i}")]
+    return df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("y")).agg(*cells).collect()
+
+
+def _number(name: str) -> Column:
+    """A column as a number, NULL for NaN."""
+    value = F.col(f"`{name}`").cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def chi2_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Chi-square of non-negative feature totals per class against the class shares, with k - 1 degrees of freedom."""
-    rows = _class_sums(df, features, label)
-    n = sum(r["n"] for r in rows)
+    classes = _class_sums(df, features, label)
     out = []
     for i, c in enumerate(features):
-        total = sum(r[f"s{i}"] for r in rows)
-        score = sum((r[f"s{i}"] - total * r["n"] / n) ** 2 / (total * r["n"] / n) for r in rows) if total else 0.0
-        out.append((c, float(score), chi_square_tail(score, len(rows) - 1)))
+        rows = [(r[f"n{i}"], r[f"s{i}"]) for r in classes if r[f"n{i}"]]
+        n, total = sum(m for m, _ in rows), sum(s for _, s in rows)
+        score = sum((s - total * m / n) ** 2 / (total * m / n) for m, s in rows) if total else 0.0
+        out.append((c, float(score), chi_square_tail(score, len(rows) - 1) if len(rows) > 1 else 1.0))
     return df.sparkSession.createDataFrame(out, "feature string, score double, p_value double")
 
 
 def anova_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """One-way ANOVA F of every feature between the classes."""
-    rows = _class_sums(df, features, label)
-    n, k = sum(r["n"] for r in rows), len(rows)
-    out = []
+    """One-way ANOVA F of every feature between the classes that have values; NULL where fewer than two have, or no spare row."""
+    classes = _class_sums(df, features, label)
+    out: list[tuple] = []
     for i, c in enumerate(features):
-        mean = sum(r[f"s{i}"] for r in rows) / n
-        between = sum(r["n"] * (r[f"s{i}"] / r["n"] - mean) ** 2 for r in rows) / (k - 1)
-        within = sum(r[f"q{i}"] for r in rows) / (n - k)
+        rows = [(r[f"n{i}"], r[f"s{i}"], r[f"q{i}"]) for r in classes if r[f"n{i}"]]
+        n, k = sum(m for m, _, _ in rows), len(rows)
+        if k < 2 or n <= k:
+            out.append((c, None, None))
+            continue
+        mean = sum(s for _, s, _ in rows) / n
+        between = sum(m * (s / m - mean) ** 2 for m, s, _ in rows) / (k - 1)
+        within = sum(q for _, _, q in rows) / (n - k)
         score = between / within if within else float("inf")
         out.append((c, float(score), f_tail(score, k - 1, n - k)))
     return df.sparkSession.createDataFrame(out, "feature string, score double, p_value double")
 
 
 def regression_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """F of the one-feature regression of the label, from the correlation."""
-    value = F.col(label).cast("double")
-    row = df.agg(F.count("*").alias("n"), *[F.corr(F.col(c).cast("double"), value).alias(f"r{i}") for i, c in enumerate(features)]).first()
-    free = row["n"] - 2
-    out = []
+    """F of the one-feature regression of the label, from the correlation over rows where both have a value.
+
+    NULL where fewer than three rows have both.
+    """
+    value = _number(label)
+    cells = []
+    for i, c in enumerate(features):
+        x, y = F.when(value.isNotNull(), _number(c)), F.when(_number(c).isNotNull(), value)
+        cells += [F.count(x).alias(f"n{i}"), F.corr(x, y).alias(f"r{i}")]
+    row = df.agg(*cells).first()
+    out: list[tuple] = []
     for i, c in enumerate(features):
-        r = row[f"r{i}"]
+        r, free = row[f"r{i}"], row[f"n{i}"] - 2
+        if free < 1:
+            out.append((c, None, None))
+            continue
         score = r * r / (1 - r * r) * free if r is not None and abs(r) < 1 else float("inf")
         out.append((c, float(score), f_tail(score, 1, free)))
     return df.sparkSession.createDataFrame(out, "feature string, score double, p_value double")

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from modelyard import settings
-from modelyard.operators.ordered import row_rank
+from modelyard.operators.ordered import join_groups, row_rank
 
 
 def draw(key: Sequence[str], seed: int = settings.RANDOM_STATE) -> Column:
@@ -31,12 +31,13 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Exactly round(n * test_size) rows of every class go to the test side, drawn by a hash of the unique key.
 
-    The rank inside a class comes from `row_rank`, so a class that holds most rows is not one task.
+    The rank inside a class comes from `row_rank`, so a class that holds most rows is not one task. Rows without a label
+    are a class of their own.
     """
     drawn = df.withColumn("_draw", draw([key], seed))
     ranked = row_rank(drawn, "_draw", [label])
     sizes = df.groupBy(label).agg(F.round(F.count("*") * test_size).cast("long").alias("_take"))
-    tagged = ranked.join(sizes, label).withColumn("_test", F.col("row_rank") <= F.col("_take"))
+    tagged = join_groups(ranked, sizes, [label]).withColumn("_test", F.col("row_rank") <= F.col("_take"))
     kept = tagged.select(*df.columns, "_test")
     return kept.where(~F.col("_test")).drop("_test"), kept.where("_test").drop("_test")
 
@@ -61,6 +62,7 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = settings.CV_F
     """Add `fold`: contiguous blocks by key inside every class, sized so that classes and folds both stay even.
 
     With the classes laid end to end, fold i gets as many rows of a class as the class interval has positions = i mod k.
+    Rows without a label are a class of their own, the first.
     """
     counts = df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).collect()
     start, limits = 0, []
@@ -73,14 +75,14 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = settings.CV_F
     table = df.sparkSession.createDataFrame(
         limits, f"`{label}` {df.schema[label].dataType.simpleString()}, _ends array<long>"
     )
-    ranked = row_rank(df, key, [label]).join(F.broadcast(table), label)
+    ranked = join_groups(row_rank(df, key, [label]), table, [label])
     fold = F.size(F.filter("_ends", lambda end: end < F.col("row_rank")))
     return ranked.select(*df.columns, fold.cast("int").alias("fold"))
 
 
 def balanced_weights(df: DataFrame, label: str, weight: str = "weight") -> DataFrame:
-    """Add the weight n / (classes * rows of the class)."""
+    """Add the weight n / (classes * rows of the class); rows without a label are a class of their own."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     whole = counts.agg((F.sum("_n") / F.count("*")).alias("share")).scalar()
     table = counts.select(label, (whole / F.col("_n")).alias(weight))
-    return df.join(table, label)
+    return join_groups(df, table, [label]).select(*df.columns, weight)

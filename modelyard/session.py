@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime SQL settings the operators like. They are applied only where the session has left the default.
+# Runtime SQL settings the operators need. They are set on every session that is used, whatever it had before.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
