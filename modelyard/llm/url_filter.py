@@ -5,8 +5,9 @@ host and the path. Host labels are often names run together ("tionsh"), so each
 with the largest product of word probabilities, with counts from the visible text of all pages. The Bayes counts come from
 all URLs that a rule decides.
 
-Bayes tokens are hashed to `bins` places, so the model has one size whatever the data are; the lexicon keeps the `lexicon` most
-frequent words, and other strings cost what an unknown word of their length costs.
+Nothing is cut from the counts: each distinct host label is joined with the counts of exactly those of its pieces that are words,
+and each distinct sequence of tokens with the exact weights of its tokens. The tables made of words, labels, hosts and tokens stay in
+Spark. Laplace's rule is taken over `vocabulary` tokens.
 
 Defined results: a URL that is NULL or has no `://` has an empty host and path and no rule. If rules decide nothing, or only one way,
 the prior decides (allow when nothing is known). Rows that repeat an id are judged each. NULL pages add no words. An empty
@@ -15,20 +16,20 @@ table gives an empty result.
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from modelyard.llm.common import join_small, written
 
 UPPER_TO_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
 LETTERS = re.compile(r"[a-z]{1,20}(?![a-z])")
 TOKEN = re.compile(r"[a-z]+|[0-9]+")
 LONGEST = 20
-RESULT = "page_id long, host string, path string, rule string, verdict string, block_score double, host_words string"
+PARSED = "page_id long, host string, path string, rule string, decided string, parts string"
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -96,15 +97,9 @@ class Segmenter:
         return words[::-1]
 
 
-def url_tokens(host: str, path: str, segmenter: Segmenter) -> tuple[list[str], list[str]]:
-    """Words of the host, and tokens of the path with numbers as one token."""
-    names = [w for run in TOKEN.findall(host) for w in (segmenter.split(run) if run.isalpha() else ["#"])]
-    parts = ["#" if t[0].isdigit() else t for t in TOKEN.findall(path.translate(UPPER_TO_LOWER))]
-    return names, parts
-
-
-def bin_of(token: str, bins: int) -> int:
-    return zlib.crc32(token.encode()) % bins
+def path_tokens(path: str) -> list[str]:
+    """Tokens of the path, with numbers as one token."""
+    return ["#" if t[0].isdigit() else t for t in TOKEN.findall(path.translate(UPPER_TO_LOWER))]
 
 
 def word_counts(pages: DataFrame, html: str) -> DataFrame:
@@ -123,68 +118,94 @@ def word_counts(pages: DataFrame, html: str) -> DataFrame:
     return pages.select(F.col(f"`{html}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def segmented(labels: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """`run, words`: each label of `run` split into words, from the counts of exactly its own pieces."""
+    # Pieces carry a number and not the label, so that a long label is not repeated for each of them.
+    labels = written(labels.withColumn("_label", F.monotonically_increasing_id()), "url-labels")
+    starts = labels.select("_label", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
+    ahead = starts.select("_label", F.expr(f"substring(run, start, {LONGEST})").alias("ahead"))
+    pieces = ahead.select("_label", F.explode(F.transform(F.sequence(F.lit(1), F.length("ahead")), lambda k: F.left("ahead", k))).alias("word"))
+    known = pieces.join(counts, "word").groupBy("_label").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            own = [{e["word"]: e["n"] for e in known or ()} for known in batch.column(1).to_pylist()]
+            split = [" ".join(Segmenter(k, total).split(name)) for name, k in zip(names, own)]
+            yield pa.RecordBatch.from_pydict({"run": batch.column(0), "words": pa.array(split, pa.string())})
+
+    return labels.join(known, "_label", "left").select("run", "known").mapInArrow(run, "run string, words string")
+
+
+def tokens_of(kind: str, sequence: Column) -> Column:
+    """The tokens of a sequence written with spaces, each with the kind before it."""
+    return F.transform(F.filter(F.split(sequence, " "), lambda t: t != ""), lambda t: F.concat(F.lit(kind), t))
+
+
+def token_weights(rows: DataFrame, vocabulary: int) -> tuple[DataFrame, float, float]:
+    """`token, weight` from the URLs that a rule decides, the weight of a token that none of them has, and the prior."""
+    ruled = rows.where("decided IS NOT NULL").select((F.col("decided") == "block").cast("long").alias("block"), "names", "parts")
+    tokens = ruled.select("block", F.explode(F.concat(tokens_of("h", F.col("names")), tokens_of("p", F.col("parts")))).alias("token"))
+    counts = written(tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum(1 - F.col("block")).alias("allow")), "url-tokens")
+    urls = ruled.agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("block")).first()
+    block = urls["block"] or 0
+    sums = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")).first()
+    over, under = math.log((sums["block"] or 0) + vocabulary), math.log((sums["allow"] or 0) + vocabulary)
+    weight = (F.log(F.col("block") + 1) - over) - (F.log(F.col("allow") + 1) - under)
+    return counts.select("token", weight.alias("weight")), under - over, math.log((block + 0.5) / (urls["n"] - block + 1.0))
+
+
+def sequence_scores(rows: DataFrame, weights: DataFrame, unseen: float) -> DataFrame:
+    """`sequence, score` of all distinct sequences of tokens that are not empty; the sum goes from first to last."""
+    kinds = [rows.select(F.lit(kind).alias("kind"), F.col(name).alias("sequence")) for kind, name in (("h", "names"), ("p", "parts"))]
+    found = kinds[0].unionByName(kinds[1]).where("sequence <> ''").distinct()
+    found = written(found.withColumn("_sequence", F.monotonically_increasing_id()), "url-sequences")
+    tokens = F.when(F.col("kind") == "h", tokens_of("h", F.col("sequence"))).otherwise(tokens_of("p", F.col("sequence")))
+    placed = found.select("_sequence", F.posexplode(tokens).alias("at", "token"))
+    weighed = join_small(placed, weights, "token").select("_sequence", F.struct("at", F.coalesce("weight", F.lit(unseen)).alias("weight")).alias("w"))
+    add = F.aggregate(F.array_sort(F.collect_list("w")), F.lit(0.0), lambda a, w: a + w["weight"])
+    return found.join(weighed.groupBy("_sequence").agg(add.alias("score")), "_sequence").select("kind", "sequence", "score")
+
+
 def judge(
     pages: DataFrame, rules: list[tuple[str, str]], identity: str = "page_id", url: str = "url", html: str = "html",
-    lexicon: int = 50_000, bins: int = 1 << 16,
+    vocabulary: int = 1 << 16,
 ) -> DataFrame:
     """One row per page: `page_id`, `host`, `path`, `rule`, `verdict`, `block_score`, `host_words`.
 
     `rules` are (allow or block, text) with texts like `example.com/en/`.
     """
-    spark = pages.sparkSession
-    counts = word_counts(pages, html).persist()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # Cells of like counts, a few hundred for any corpus, tell where the lexicon ends; words below take no part in the sort.
-    cell = F.floor(F.log2(F.col("n").cast("double")) * 8)
-    reached, lowest = 0, 0
-    for level in counts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("cell").desc()).collect():
-        reached, lowest = reached + level["words"], level["cell"]
-        if reached >= lexicon:
-            break
-    frequent = counts.where(cell >= lowest).orderBy(F.col("n").desc(), "word").limit(lexicon)
-    known = {r["word"]: r["n"] for r in frequent.collect()}
-    counts.unpersist()
-    words = spark.sparkContext.broadcast((known, total))  # at most `lexicon` words
     book = Rules(rules)
-    lean = pages.select(F.col(f"`{identity}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"))
 
-    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(*words.value)
-        counts = np.zeros((2, bins + 1), np.int64)  # the last place counts URLs
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                host, path = split_url(text)
-                verdict = book.find(host, path)[1]
-                if verdict:
-                    side = counts[int(verdict == "block")]
-                    side[bins] += 1
-                    for kind, tokens in zip("hp", url_tokens(host, path, segmenter)):
-                        for token in tokens:
-                            side[bin_of(kind + token, bins)] += 1
-        place = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_pydict({"place": place, "allow": counts[0][place], "block": counts[1][place]})
-
-    tallied = lean.mapInArrow(tally, "place long, allow long, block long").groupBy("place")
-    counts = np.zeros((2, bins + 1))
-    for row in tallied.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).collect():
-        counts[:, row["place"]] = row["allow"], row["block"]
-    prior = math.log((counts[1][bins] + 0.5) / (counts[0][bins] + 1.0))
-    smoothed = np.log(counts[:, :bins] + 1) - np.log(counts[:, :bins].sum(axis=1, keepdims=True) + bins)
-    model = spark.sparkContext.broadcast((smoothed[1] - smoothed[0]).tolist())  # `bins` numbers
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, weights = Segmenter(*words.value), model.value
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
                 host, path = split_url(text)
-                rule, verdict = book.find(host, path)
-                names, parts = url_tokens(host, path, segmenter)
-                score = prior + sum(weights[bin_of("h" + t, bins)] for t in names) + sum(weights[bin_of("p" + t, bins)] for t in parts)
-                out.append((host, path, rule, verdict or ("block" if score > 0 else "allow"), score, " ".join(names)))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.string()] * 4 + [pa.float64(), pa.string()]
-            names = ["page_id", "host", "path", "rule", "verdict", "block_score", "host_words"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], names)
-
-    return lean.mapInArrow(run, RESULT)
+                out.append((host, path, *book.find(host, path), " ".join(path_tokens(path))))
+            columns = list(zip(*out)) or [()] * 5
+            names = ["page_id", "host", "path", "rule", "decided", "parts"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string()) for c in columns]], names)
+
+    lean = pages.select(F.col(f"`{identity}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"))
+    parsed = written(lean.mapInArrow(parse, PARSED), "url-parsed")
+    counts = written(word_counts(pages, html), "url-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+
+    runs = parsed.select("host").distinct().select("host", F.posexplode(F.regexp_extract_all("host", F.lit(TOKEN.pattern), F.lit(0))).alias("at", "run"))
+    runs = written(runs, "url-runs")
+    words = segmented(runs.where(F.col("run").rlike("^[a-z]")).select("run").distinct(), counts, total)
+    pieces = join_small(runs, words, "run").select("host", F.struct("at", F.coalesce("words", F.lit("#")).alias("words")).alias("piece"))
+    in_order = F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["words"])
+    hosts = pieces.groupBy("host").agg(F.array_join(in_order, " ").alias("names"))
+    rows = written(join_small(parsed, hosts, "host").withColumn("names", F.coalesce("names", F.lit(""))), "url-named")
+
+    weights, unseen, prior = token_weights(rows, vocabulary)
+    scores = written(sequence_scores(rows, weights, unseen), "url-scores")
+    of_kind = lambda kind, name, score: scores.where(F.col("kind") == kind).select(F.col("sequence").alias(name), F.col("score").alias(score))
+    rows = join_small(rows, of_kind("h", "names", "_host_score"), "names")
+    rows = join_small(rows, of_kind("p", "parts", "_path_score"), "parts")
+    score = F.lit(prior) + F.coalesce("_host_score", F.lit(0.0)) + F.coalesce("_path_score", F.lit(0.0))
+    rows = rows.withColumn("block_score", score)
+    verdict = F.coalesce("decided", F.when(F.col("block_score") > 0, F.lit("block")).otherwise(F.lit("allow")))
+    return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score", F.col("names").alias("host_words"))

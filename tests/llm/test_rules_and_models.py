@@ -162,6 +162,29 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_rare_words_split_hosts(spark):
+    letters = "abcdefghijklmnopqrst"
+    common = ["x" + "".join(letters[i // 20**k % 20] for k in range(4)) for i in range(60_000)]
+    rows = [(1, "x://quokkawombat.org/", " ".join(common + common)), (2, None, "quokka wombat")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["host_words"] for r in url_filter.judge(pages, URL_RULES).collect()}
+    assert found == {1: "quokka wombat org", 2: ""}
+
+
+def test_tokens_are_counted_apart(spark):
+    place = {}
+    for i in range(100_000):
+        name = "".join(chr(97 + int(d)) for d in str(i))
+        other = place.setdefault(zlib.crc32(f"p{name}".encode()) % (1 << 16), name)
+        if other != name:
+            break
+    urls = [f"http://net/es/{other}"] * 30 + [f"http://com/{name}"] * 30 + [f"http://a/{other}", f"http://a/{name}"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in url_filter.judge(pages, URL_RULES).collect()}
+    assert found[60]["block_score"] - found[61]["block_score"] == pytest.approx(2 * math.log(31))
+    assert (found[60]["verdict"], found[61]["verdict"]) == ("block", "allow")
+
+
 def test_segmentation_finds_the_likeliest_split():
     counts = {"a": 5, "ab": 3, "b": 4, "ba": 2, "bab": 6}
     segmenter = url_filter.Segmenter(counts, 100)
