@@ -5,7 +5,9 @@ licence sentences. What is left is a short sequence of sentence numbers, and ord
 the first rule takes its runs out, then the next, so that a whole licence is not also reported as its parts.
 
 Everything is an expression over one row: no text crosses the network. Lines that are wrapped within a sentence are joined
-first (next line in lower case, or both sides in capitals).
+first (next line in lower case, or both sides in capitals). Any other line end without the end of a sentence before it may
+lie within a sentence or between two: a known sentence is found across it as well as up to it, the longest first. Indentation and
+comment marks at the start of a line count for nothing. No sentence goes over an empty line.
 
 Defined results: a NULL or empty text has no sentences and no licence. Known sentences in an order that no rule has are kept in
 `unmatched`. A sentence that is repeated counts each time, a licence once. Rows that repeat an id are judged each. An empty
@@ -73,11 +75,14 @@ RULES = (
     ("Unlicense", (51,)),
     ("Proprietary", (5,)),
 )
-# Every known sentence has one of these, so a text without any needs no cutting.
+# Every known sentence has one of these, so a text without any needs no cutting; single words, as spaces between words vary.
+CUE_WORDS = ("licen", "permission", "copyright", "reserved", "warrant", "redistribut", "domain", "conditions", "liab")
+# The cues of the query's SQL.
 CUES = ("licen", "permission", "copyright", "rights reserved", "warrant", "redistribut", "public domain", "conditions", "liab")
 SENTENCE_END = r"([.!?;])[\x20\x09-\x0D]+"
+EMPTY_LINE = r"\n[^A-Za-z0-9\n]+(?=\n)"
+LINE_START = r"(^|\n)[^a-z0-9\n]+"
 WRAPPED = (r"([^.!?;:\n])\n([a-z])", r"([A-Z,])\n([A-Z][A-Z])")
-OTHER = "[^a-z0-9]+"
 
 
 def normalised(sentence: str) -> str:
@@ -90,18 +95,26 @@ def known_sentences() -> dict[str, int]:
     return {normalised(text): number for number, text in SENTENCES.items()}
 
 
+def sentence_pattern() -> str:
+    """Any known sentence between two line ends, with a space or a single line end between its words; the longest first."""
+    known = sorted(known_sentences(), key=lambda s: (-len(s), s))
+    return r"(?<![^\n])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in known) + r")(?![^\n])"
+
+
 def sentence_numbers(text: Column) -> Column:
     """The known sentences of a text in order, written <1><5>."""
-    joined = F.coalesce(text, F.lit(""))
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), EMPTY_LINE, "\n")
     for pattern in WRAPPED:
         joined = F.regexp_replace(joined, pattern, "$1 $2")
-    parts = F.split(F.regexp_replace(joined, SENTENCE_END, "$1\n"), "\n")
+    # A line end that stays may lie within a sentence, an empty line ends one.
+    lines = F.regexp_replace(F.regexp_replace(F.lower(joined), LINE_START, "$1"), SENTENCE_END, "\n\n")
+    plain = F.regexp_replace(F.regexp_replace(lines, r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
     lookup = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in (pair[0], f"<{pair[1]}>")])
-    number = lambda s: F.try_element_at(lookup, F.trim(F.regexp_replace(F.lower(s), OTHER, " ")))
-    found = F.array_join(F.transform(parts, number), "")
-    low = F.lower(joined)
+    number = lambda s: F.try_element_at(lookup, F.translate(s, "\n", " "))
+    found = F.array_join(F.transform(F.regexp_extract_all(F.trim(plain), F.lit(sentence_pattern()), F.lit(0)), number), "")
+    low = F.lower(F.coalesce(text, F.lit("")))
     cue = F.lit(False)
-    for word in CUES:
+    for word in CUE_WORDS:
         cue = cue | F.contains(low, F.lit(word))
     return F.when(cue, found).otherwise("")
 

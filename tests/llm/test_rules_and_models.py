@@ -96,6 +96,46 @@ def test_licences(spark):
     assert licenses.scan(documents(spark)).count() == documents(spark).count()
 
 
+BSD = """Copyright 2020 Somebody
+All  rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by the
+Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+@pytest.mark.parametrize("prefix", ["", "    ", "# ", " * ", "// ", ";; ", "-- ", "\t"])
+def test_licences_in_indented_and_commented_lines(spark, prefix):
+    old_gpl = GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+    mit = "The MIT License\n" + "\n\n".join(licenses.SENTENCES[i].replace(", ", ",\n") for i in (10, 11, 12))
+    cases = {1: (BSD, "BSD-2-Clause;Proprietary"), 2: (GPL, "GPL-3.0-or-later"), 3: (old_gpl, "GPL-2.0-or-later"), 4: (mit, "MIT")}
+    cases |= {5: ("All rights  reserved.", "Proprietary"), 6: ("released into the public\tdomain.", ""), 7: ("Title\nLicensed under\n\nthe MIT License.", "")}
+    lined = {i: "\r\n".join((prefix + line).rstrip() if i % 2 else prefix + line for line in text.split("\n")) for i, (text, _) in cases.items()}
+    for ends in ("\n", "\r\n"):
+        docs = documents(spark, [row(i, text.replace("\r\n", ends)) for i, text in lined.items()])
+        found = {r["doc_id"]: (r["licences"], r["unmatched"]) for r in licenses.scan(docs).collect()}
+        assert found == {i: (names, "") for i, (_, names) in cases.items()}
+
+
+def test_every_known_sentence_has_a_cue():
+    assert all(any(c in s for c in licenses.CUE_WORDS) for s in licenses.known_sentences())
+
+
 def test_toxicity_on_held_out_labels(spark):
     labels = table(spark, SMALL, "labels")
     scored = toxicity.score(table(spark, SMALL, "documents"), labels)
