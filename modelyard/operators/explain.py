@@ -53,26 +53,31 @@ def linear_shapley(df: DataFrame, key: str, weights: Sequence[float], names: Seq
     return rows.select(key, F.inline(F.array(*cells)))
 
 
+# Fixed value: rows that the permutations draw their background from.
+BACKGROUND_ROWS = 100
+
+
 def sampled_shapley(
     df: DataFrame,
     key: str,
     model,
     names: Sequence[str],
-    sample_rows: int = 100,
+    sample_rows: int | None = None,
     permutations: int = 20,
     seed: int = settings.RANDOM_STATE,
     output: Callable[[DataFrame], object] | None = None,
 ) -> DataFrame:
-    """(key, feature, value) for a sample of rows, any model.
+    """(key, feature, value) for all given rows, or for `sample_rows` of them, any model.
 
     Every (row, permutation) switches from a background row to the row one feature at a time; all mixtures are scored
-    in one `transform`, and the change at each step belongs to the feature switched. The sample and the background are
-    `sample_rows` rows each, drawn by hash.
+    in one `transform`, and the change at each step belongs to the feature switched. Background rows
+    come from `sample_rows` rows drawn by hash, or from `BACKGROUND_ROWS` where all rows are explained.
     """
     p = len(names)
     rows = df.select(F.col(key).alias("key"), as_array(df, "features").alias("x"))
-    sample = rows.orderBy(draw(["key"], seed)).limit(sample_rows)
-    background = [r["x"] for r in rows.orderBy(draw(["key"], seed + 1)).limit(sample_rows).collect()]
+    sample = rows if sample_rows is None else rows.orderBy(draw(["key"], seed)).limit(sample_rows)
+    drawn = BACKGROUND_ROWS if sample_rows is None else sample_rows
+    background = [r["x"] for r in rows.orderBy(draw(["key"], seed + 1)).limit(drawn).collect()]
     rng = random.Random(seed)
     plans = []
     for j in range(permutations):

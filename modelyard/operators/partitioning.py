@@ -16,7 +16,7 @@ from modelyard.session import cut_lineage
 
 
 class MiniBatchCentres(PlainModel):
-    """Centres that move by a running mean over small samples; `update` also takes a micro-batch of a stream."""
+    """Centres that move by a running mean over batches; `update` also takes a micro-batch of a stream."""
 
     state_names = ("centres", "counts")
 
@@ -24,17 +24,22 @@ class MiniBatchCentres(PlainModel):
         self.n_clusters, self.batch_rows, self.rounds, self.seed = n_clusters, batch_rows, rounds, seed
 
     def fit(self, df: DataFrame) -> "MiniBatchCentres":
-        """Every round draws its own rows by a hash of the vector: about `batch_rows`, whatever the table size."""
+        """Every row moves a centre: a hash of the vector deals the table into batches, and each round takes the next one.
+
+        A batch has about `batch_rows` rows, or more where `rounds` such batches are not the whole table. What rounds are
+        left after all batches go over the table again, dealt anew.
+        """
         x = as_array(df, "features")
         rows = df.select(x.alias("features"), F.xxhash64(x).alias("h"))
         n = rows.count()
         start = rows.orderBy(draw(["h"], self.seed)).limit(self.n_clusters).collect()
         self.centres = np.array([r["features"] for r in start])
         self.counts = np.zeros(len(self.centres))
-        share = min(1.0, self.batch_rows / max(1, n))
+        batches = max(1, min(self.rounds, -(-n // self.batch_rows)))
         for r in range(self.rounds):
-            self.update(rows.where(draw(["h"], self.seed + 1 + r) < share))
-            if share >= 1.0 and r:
+            epoch, batch = divmod(r, batches)
+            self.update(rows.where(F.floor(draw(["h"], self.seed + 1 + epoch) * batches) == batch))
+            if batches == 1 and r:
                 break
         return self
 

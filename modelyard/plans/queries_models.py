@@ -440,7 +440,7 @@ def linear_shapley(t):
 def sampled_shapley(t):
     rows = line_classes(t)
     model = estimator("decision_tree", "classification", max_depth=4).fit(rows)
-    return X.sampled_shapley(rows, "key", model, INPUTS, sample_rows=100, permutations=4)
+    return X.sampled_shapley(rows, "key", model, INPUTS, permutations=4)
 
 
 @query("learning_curve")

@@ -1,6 +1,6 @@
 """Reading tables: formats by extension, CSV encoding and delimiter, size guard."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from modelyard import settings
 from modelyard.functions.values import nan_to_null
@@ -16,7 +16,6 @@ ENCODINGS = {
 
 DELIMITERS = [",", ";", "\t", "|"]
 READABLE = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json"}
-HEAD_LINES = 50
 
 
 def file_format(path: str) -> str:
@@ -48,29 +47,28 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 
 def detect_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
-    """The delimiter with the steadiest field count over the first lines; the fuller one on a tie."""
-    reader = spark.read.option("encoding", ENCODINGS[encoding])
-    lines = [r["value"] for r in reader.text(path).limit(HEAD_LINES).collect() if r["value"]]
-    best, best_score = ",", (-1.0, 0)
-    for mark in DELIMITERS:
-        counts = [_fields(line, mark) for line in lines]
-        if not counts or counts[0] < 2:
-            continue
-        steady = sum(c == counts[0] for c in counts) / len(counts)
-        if (steady, counts[0]) > best_score:
-            best, best_score = mark, (steady, counts[0])
+    """The delimiter with which most lines have as many fields as the first one; the fuller one on a tie.
+
+    All lines are counted, in one distributed aggregate.
+    """
+    lines = spark.read.option("encoding", ENCODINGS[encoding]).text(path).where("value <> ''")
+    counts = lines.select(*[_fields(F.col("value"), mark).alias(f"f{i}") for i, mark in enumerate(DELIMITERS)])
+    first = counts.first()
+    if first is None:
+        return ","
+    same = counts.agg(*[F.sum((F.col(f"f{i}") == n).cast("long")) for i, n in enumerate(first)]).first()
+    # Every mark is judged on the same lines, so numbers of lines compare as their shares do.
+    best, best_score = ",", (-1, 0)
+    for mark, steady, fields in zip(DELIMITERS, same, first):
+        if fields >= 2 and (steady, fields) > best_score:
+            best, best_score = mark, (steady, fields)
     return best
 
 
-def _fields(line: str, mark: str) -> int:
+def _fields(line: Column, mark: str) -> Column:
     """Fields of a line; a mark inside quotes does not count."""
-    quoted, n = False, 1
-    for c in line:
-        if c == '"':
-            quoted = not quoted
-        elif c == mark and not quoted:
-            n += 1
-    return n
+    bare = F.regexp_replace(line, '"[^"]*"?', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit(""))) + 1
 
 
 def read_csv(

@@ -176,6 +176,20 @@ def test_clusterers(spark, name):
     assert metrics["silhouette"] > 0.2 and metrics["calinski_harabasz"] > 50
 
 
+def test_every_row_moves_a_centre(spark):
+    rows = [([float(v) for v in r],) for r in np.random.default_rng(1).normal(size=(3000, 2))]
+    df = spark.createDataFrame(rows, "features array<double>")
+    for batch_rows, rounds, seen in ((100, 5, 3000), (1000, 3, 3000), (1000, 6, 6000)):
+        model = estimator("minibatch_kmeans", "clustering", n_clusters=3, batch_rows=batch_rows, rounds=rounds).fit(df)
+        assert model.counts.sum() == seen
+
+
+def test_every_row_is_explained(spark):
+    model = estimator("linear_regression", "regression").fit(table(spark, LINE))
+    found = explain.sampled_shapley(table(spark, LINE), "key", model, ["a", "b", "c", "d"], permutations=2)
+    assert N > 100 and found.count() == 4 * N and found.select("key").distinct().count() == N
+
+
 def test_spectral(spark):
     df = table(spark, CLASS)
     got = partitioning.spectral(df, "key", 3).join(df.select("key", "label"), "key")

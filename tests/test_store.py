@@ -179,6 +179,14 @@ def test_stream_cooldown_over_batches(spark, tmp_path):
     assert got == want
 
 
+def test_delimiter_of_all_lines(spark, tmp_path):
+    lines = ["x,y;z"] + ["1,2;3"] * 60 + ['"a;b";3', "", '4;"c,d']  * 100
+    (tmp_path / "late.csv").write_text("\n".join(lines))
+    (tmp_path / "none.csv").write_text("")
+    assert readers.detect_delimiter(spark, str(tmp_path / "late.csv")) == ";"
+    assert readers.detect_delimiter(spark, str(tmp_path / "none.csv")) == ","
+
+
 def test_streaming_centres(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [([float(v) for v in rng.normal(size=2) + 6 * (i % 2)],) for i in range(200)]
