@@ -152,14 +152,13 @@ def silhouette_squared(df: DataFrame, features: str, cluster: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(value,)], "silhouette_squared double")
 
 
-def evaluate_clustering(df: DataFrame, features: str, cluster: str, key: str, exact_rows: int = 50_000) -> DataFrame:
-    """Silhouette (exact up to `exact_rows`, squared beyond, each under its own name) and both dispersion scores."""
-    if df.count() <= exact_rows:
-        shape = silhouette(df, features, cluster, key)
-    else:
-        shape = silhouette_squared(df, features, cluster)
+def evaluate_clustering(df: DataFrame, features: str, cluster: str, key: str, shape: str = "silhouette") -> DataFrame:
+    """The named silhouette and both dispersion scores; `shape` is `silhouette` (quadratic work) or `silhouette_squared` (linear)."""
+    if shape not in ("silhouette", "silhouette_squared"):
+        raise ValueError(f"unknown silhouette: {shape}")
+    first = silhouette(df, features, cluster, key) if shape == "silhouette" else silhouette_squared(df, features, cluster)
     out = None
-    for table in (shape, calinski_harabasz(df, features, cluster), davies_bouldin(df, features, cluster)):
+    for table in (first, calinski_harabasz(df, features, cluster), davies_bouldin(df, features, cluster)):
         name = table.columns[0]
         part = table.select(F.lit(name).alias("metric"), F.col(name).alias("value"))
         out = part if out is None else out.unionByName(part)

@@ -21,8 +21,8 @@ from modelyard.operators.split import train_test_split
 from modelyard.sources.store import Store, prediction_log
 
 
-def evaluate(model, df: DataFrame, task: str, key: str | None = None) -> DataFrame:
-    """(metric, value) rows of a model on a prepared table. An unknown task is an error."""
+def evaluate(model, df: DataFrame, task: str, key: str | None = None, shape: str = "silhouette") -> DataFrame:
+    """(metric, value) rows of a model on a prepared table; `shape` names the silhouette of clusters. An unknown task is an error."""
     if task not in settings.TASKS:
         raise ValueError(f"unknown task {task}")
     if task == "dimensionality_reduction":
@@ -36,7 +36,7 @@ def evaluate(model, df: DataFrame, task: str, key: str | None = None) -> DataFra
     # The rows are scored once; the metrics are a handful of numbers.
     scored = scored.select(*wanted).persist()
     try:
-        metrics = _metrics(scored, task, key)
+        metrics = _metrics(scored, task, key, shape)
         return df.sparkSession.createDataFrame([tuple(r) for r in metrics.collect()], metrics.schema)
     finally:
         scored.unpersist()
@@ -54,11 +54,11 @@ def envelope(metrics: DataFrame, rows: DataFrame, features: Sequence[str], task:
     )
 
 
-def _metrics(scored: DataFrame, task: str, key: str | None) -> DataFrame:
+def _metrics(scored: DataFrame, task: str, key: str | None, shape: str) -> DataFrame:
     if task == "regression":
         return evaluate_regression(scored, "label", "prediction")
     if task == "clustering":
-        return evaluate_clustering(scored, "features", "prediction", key)
+        return evaluate_clustering(scored, "features", "prediction", key, shape)
     metrics = classification_metrics(scored, "label", "prediction")
     if "probability" in scored.columns and scored.agg(F.max("label")).first()[0] == 1.0:
         area = roc_auc(scored, F.col("label") == 1, vector_to_array("probability")[1])

@@ -190,6 +190,15 @@ def test_every_row_is_explained(spark):
     assert N > 100 and found.count() == 4 * N and found.select("key").distinct().count() == N
 
 
+def test_clustering_metrics_have_one_name_at_all_sizes(spark, monkeypatch):
+    for name in ("silhouette", "silhouette_squared", "calinski_harabasz", "davies_bouldin"):
+        monkeypatch.setattr(clustering, name, lambda *_, name=name: spark.range(1).select(F.lit(0.5).alias(name)))
+    df = spark.range(50_001)
+    named = lambda **options: {r["metric"] for r in clustering.evaluate_clustering(df, "f", "c", "id", **options).collect()}
+    assert named() == {"silhouette", "calinski_harabasz", "davies_bouldin"}
+    assert named(shape="silhouette_squared") == {"silhouette_squared", "calinski_harabasz", "davies_bouldin"}
+
+
 def test_spectral(spark):
     df = table(spark, CLASS)
     got = partitioning.spectral(df, "key", 3).join(df.select("key", "label"), "key")

@@ -196,6 +196,19 @@ def test_splits(spark):
     assert train.join(test, "id").isEmpty()
 
 
+def test_trees_draw_by_themselves_from_many_rows(spark):
+    trees, sample, seed = 5, 8, 3
+    x = np.random.default_rng(0).normal(size=(3000, 2))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    fitted = outliers.fit_isolation_trees(df, "features", "id", trees=trees, sample=sample, seed=seed)
+    drawn = df.select(F.col("id").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    found = drawn.select("key", "tree", split.draw(["key", "tree"], seed).alias("u")).toPandas()
+    for tree in range(trees):
+        rows = found[found["tree"] == tree].nsmallest(sample, "u")["key"].to_numpy()
+        nodes = outliers._grow(x[rows], np.random.default_rng([seed, tree]), 3)
+        assert np.allclose(fitted["forest"][tree]["cut"], [n[1] for n in nodes])
+
+
 def test_outliers(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 2))
