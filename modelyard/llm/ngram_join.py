@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from modelyard.llm import blocks
-from modelyard.llm.common import distinct, few, hashed_words, join_small, mixed, partitions, renamed, text_size, window_keys, words_of, written
+from modelyard.llm.common import (
+    LOWER, UPPER, distinct, few, hashed_words, join_small, let, mixed, partitions, renamed, text_size, window_keys, word_array, words_of, written,
+)
 from modelyard.llm.components import merged
 
 ORDERS = 3
@@ -243,10 +245,8 @@ def linked(sets: DataFrame, percent: int, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("the join did not settle")
 
 
-def components(
-    docs: DataFrame, identity: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, block_bytes: int = 4 << 20
-) -> DataFrame:
-    """One row per document: `doc_id`, `n_shingles`, `component_id` (the smallest id it is connected with)."""
+def _grouped(docs: DataFrame, identity: str, text: str, n: int, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """`doc_id, key, words` of every row, and `key, n_shingles, comp, component_id` of every word sequence."""
     lean = docs.select(F.col(f"`{identity}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = written(_sequence_rows(lean), "join-rows")
     _, size = text_size(lean, "text")
@@ -256,14 +256,41 @@ def components(
     groups = groups.join(sets.select("key", "k", "n"), "key").join(labels, "k", "left")
     groups = written(groups.select("key", "n", "least", F.coalesce("comp", "k").alias("comp")), "join-groups")
     least = groups.groupBy("comp").agg(F.min("least").alias("component_id"))
-    groups = written(groups.join(least, "comp").select("key", F.col("n").alias("n_shingles"), "component_id"), "join-groups")
+    return rows, written(groups.join(least, "comp").select("key", F.col("n").alias("n_shingles"), "comp", "component_id"), "join-groups")
+
+
+def components(
+    docs: DataFrame, identity: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, block_bytes: int = 4 << 20
+) -> DataFrame:
+    """One row per document: `doc_id`, `n_shingles`, `component_id` (the smallest id it is connected with)."""
+    rows, groups = _grouped(docs, identity, text, n, percent, block_bytes)
     out = rows.join(groups, "key", "left")
     return out.select("doc_id", F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, identity: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """The documents whose id is the smallest of their group, with all their columns."""
-    away = components(docs, identity, text, n, percent).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    """One row of each group, with all its columns, and every row without words.
+
+    The row with the smallest id stays, a NULL id last; ids may repeat. Of rows with the same id and word sequence the one with the
+    smallest text stays.
+    """
+    numbered, groups = _grouped(docs, identity, text, n, percent, 4 << 20)
+    cells = numbered.where("key IS NOT NULL").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    cells = written(cells.join(groups.select("key", "comp"), "key"), "join-cells")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    heads = cells.groupBy("comp").agg(F.min(place).alias("head"))
+    judged = cells.join(heads, "comp").select(F.col("doc_id").alias("_id"), F.col("key").alias("_of"), "rows", (place == F.col("head")).alias("is_head"))
+    judged = written(judged.where("rows > 1 OR NOT is_head"), "join-judged")
+    again = judged.where("is_head")
+
     rows, names = renamed(docs)
-    out = rows.join(away, rows[f"c{docs.columns.index(identity)}"] == away["doc_id"], "left_anti")
+    at = {c: f"c{docs.columns.index(c)}" for c in (identity, text)}
+    words = word_array(F.translate(F.col(at[text]), UPPER, LOWER))
+    # The same bytes as those of `sequence_key`.
+    keyed = rows.withColumn("_key", let(words, lambda w: F.when(F.size(w) > 0, F.unhex(F.md5(F.array_join(w, " "))))))
+    same = (F.col("_key") == F.col("_of")) & F.col(at[identity]).cast("long").eqNullSafe(F.col("_id"))
+    out = keyed.join(judged, same, "left_anti").select(*rows.columns)
+    if not again.isEmpty():
+        alike = keyed.join(again, same, "left_semi").groupBy(F.col(at[identity]).cast("long").alias("_id"), "_key")
+        out = out.unionByName(alike.agg(F.min_by(F.struct(*rows.columns), at[text]).alias("_row")).select("_row.*"))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -98,6 +98,15 @@ def test_awkward_texts_in_the_join(spark):
     assert {i for i in ids if i is not None} == set(want.values())
 
 
+def test_one_row_of_each_group_with_repeated_and_missing_ids(spark):
+    one, two, three, four = ("%s b c d e f g" % w for w in ("one", "two", "three", "four"))
+    rows = [row(1, one), row(2, one), row(2, two), row(3, two), row(None, three), row(None, three.upper()), row(4, four), row(4, four), row(None, four)]
+    rows += [row(5, ""), row(5, None), row(None, None)]
+    kept = ngram_join.one_per_group(documents(spark, rows))
+    found = Counter((r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect())
+    assert found == Counter([(1, one), (2, two), (None, three.upper()), (4, four), (5, ""), (5, None), (None, None)])
+
+
 def test_a_link_at_exactly_the_threshold(spark):
     # 3 of 4 shingles: 7 words make 3, 8 words make 4.
     docs = spark.createDataFrame([row(2, "a b c d e f g"), row(1, "a b c d e f g h"), row(3, "a b c d e f")], documents(spark, []).schema)
