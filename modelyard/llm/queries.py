@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from modelyard.llm import exact_dedup, licenses, lm_scoring, mixing, ngram_join, oracles, packing, quality, token_output, toxicity, url_filter
+from modelyard.llm import (
+    exact_dedup, licenses, lm_scoring, merkle, mixing, ngram_join, oracles, packing, quality, token_output, toxicity, url_filter, warc, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +102,21 @@ URL_RULES = [
 def op7_segmented_urls(spark, sf_dir):
     """Rule and verdict of every page's URL."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query(oracles.WARC_SQL)
+def op11_warc_revisits(spark, sf_dir):
+    """Record of every page, read back from deduplicated archives."""
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op12_jacobi_whitening(spark, sf_dir):
+    """Whitened components of every usable vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(oracles.merkle_sql())
+def op13_octopus_manifest(spark, sf_dir):
+    """Leaf, roots and proof of every document, and whether a partly tampered table still proves its root."""
+    return merkle.audit(table(spark, sf_dir, "documents"))
