@@ -113,7 +113,7 @@ def jacobi(factor: np.ndarray, most_sweeps: int = 60) -> tuple[np.ndarray, np.nd
         worst = 0.0
         for _ in range(len(players) - 1):
             half = len(players) // 2
-            pairs = np.array([p for p in zip(players[:half], players[:half-1:-1]) if -1 not in p]).reshape(-1, 2)
+            pairs = np.array([p for p in zip(players[:half], players[: half - 1 : -1]) if -1 not in p], int).reshape(-1, 2)
             # One round of a tournament: every pair meets once a sweep.
             players = [players[0], players[-1], *players[1:-1]]
             x, y = w[pairs[:, 0]], w[pairs[:, 1]]
