@@ -19,16 +19,24 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from modelyard.llm.common import join_small, partitions, scratch, text_size
 
 GROUP = 64
+# Texts that are cut and put together at a time.
+ROWS = 2000
 BLOCKS = "shard int, block int, first long, n_ids long, bits int, doc_ids array<long>, lengths array<long>, payload binary"
-CACHED_PIECES = 1_500_000
-# A word and the marks behind it.
-MARKED = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
+CACHED_PARTS = 500_000
+# The parts of byte-level vocabularies, for visible ASCII, Latin letters, and single spaces and line ends.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN = re.compile(rf"[ \t\n\r!-~{LETTERS}]*[\t\n\r!-~{LETTERS}]")
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s")
+# Bytes that are no visible Latin-1 character are named, in their order, from 256 on.
+HIDDEN = [*range(33), *range(127, 161), 173]
+BYTE_NAMES = {byte: 256 + i for i, byte in enumerate(HIDDEN)}
 # White space in a row, in the widest sense; a text without it splits safely at single spaces.
 DOUBLE_SPACE = re.compile(r"\s\s")
 _encoders: dict[str, "Encoder"] = {}
@@ -69,30 +77,24 @@ def unpack(payload: bytes, bits: int, first: int, count: int) -> np.ndarray:
     return ids.reshape(-1)[first - start * GROUP : first - start * GROUP + count]
 
 
-class _Pieces(dict):
-    """The ids of words; what is not here is looked up among the pieces of the batch at hand."""
-
-    def __init__(self):
-        self.batch: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.batch[piece]
-
-
 class Encoder:
     """Ids of texts, with the ids of recurring words remembered.
 
-    Byte-level vocabularies split a text before every single space that stands between two other characters, and between a
-    word and the marks behind it. So such a text is put together from pieces, and the library encodes the new ones of a batch.
-    Texts with other white space in a row are encoded whole. After `CACHED_PIECES` words the memory starts anew.
+    Byte-level vocabularies split a text before every single space that stands between two other characters. So a batch of such texts is
+    cut at its spaces, every word of the batch is looked at once, and the ids are put together by place. An ASCII word is cut further,
+    by the rule that all byte-level vocabularies share, into parts that the model itself encodes; the parts are remembered, and
+    after `CACHED_PARTS` of them the memory starts anew, which changes no id. Other words, and texts with other white space in a
+    row or with a literal mark of the vocabulary, are encoded whole by the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known = _Pieces()
+        marks = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(marks)) if marks else None
+        self.known: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
         before = self.tokenizer.pre_tokenizer
         plain = self.tokenizer.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel)
         self.by_piece = plain and before.use_regex and not before.add_prefix_space
@@ -103,28 +105,64 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The same, from pieces where that is safe."""
-        known = self.known
-        if len(known) > CACHED_PIECES:
-            known.clear()
-        split = [self.pieces(t) for t in texts]
-        new: set[str] = set()
-        for pieces in split:
-            if pieces:
-                new.update(set(pieces).difference(known))
-        ended = [(p, m[1], m[2]) for p in new if (m := MARKED.fullmatch(p))]
-        new.difference_update([p for p, _, _ in ended])
-        new.update([part for _, *parts in ended for part in parts if part not in known])
-        words = list(new)
-        known.update(zip(words, self.whole(words)))
-        known.batch = {p: known[word] + known[marks] for p, word, marks in ended}
-        rest = iter(self.whole([t for t, pieces in zip(texts, split) if pieces is None]))
-        return [next(rest) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in split]
-
-    def pieces(self, text: str) -> list[str] | None:
-        if not self.by_piece or DOUBLE_SPACE.search(text):
-            return None
-        first, *others = text.split(" ")
-        return [first, *[" " + p for p in others]] if first else [" " + p for p in others]
+        if len(self.known) > CACHED_PARTS:
+            self.known.clear()
+        safe = [i for i, t in enumerate(texts) if self.splits(t)]
+        out: list[bytes] = [b""] * len(texts)
+        others = sorted(set(range(len(texts))).difference(safe))
+        for i, ids in zip(others, self.whole([texts[i] for i in others])):
+            out[i] = ids
+        if not safe:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in safe], pa.large_string()), " ")
+        starts = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        place = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # A text's first word has no space before it: words of its own, behind the others.
+        firsts = [w.as_py() for w in words.take(pa.array(starts[:-1]))]
+        place[starts[:-1]] = len(words.dictionary) + np.arange(len(firsts))
+        found = self.words([" " + w for w in words.dictionary.to_pylist()] + firsts)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes
+        counts = sizes[place]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat(begin[place] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = 4 * np.append(0, ends)[starts]
+        for i, a, b in zip(safe, cuts[:-1].tolist(), cuts[1:].tolist()):
+            out[i] = ids[a:b]
+        return out
+
+    def splits(self, text: str) -> bool:
+        """Whether the ids of a text are those of its pieces."""
+        return self.by_piece and not DOUBLE_SPACE.search(text) and not (self.added and self.added.search(text))
+
+    def words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece: a word with the space before it, if it has one."""
+        known, part, parts, plain = self.known, self.part, PARTS.findall, PLAIN.fullmatch
+        out = list(map(known.get, pieces))
+        whole = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                piece = pieces[i]
+                if plain(piece):
+                    cut = parts(piece)
+                    out[i] = part(piece) if len(cut) == 1 else b"".join([known.get(p) or part(p) for p in cut])
+                else:
+                    whole.append(i)
+        for i, ids in zip(whole, self.whole([pieces[i] for i in whole])):
+            out[i] = known[pieces[i]] = ids
+        return out
+
+    def part(self, part: str) -> bytes:
+        """The ids of a part that no byte-level vocabulary cuts before its own merges."""
+        if not part.isascii():
+            name = part.encode().decode("latin-1").translate(BYTE_NAMES)
+        elif part[0] == " ":
+            name = "\u0120" + part[1:]
+        else:
+            name = part.translate(BYTE_NAMES)
+        ids = self.known[part] = array("I", [t.id for t in self.tokenize(name)]).tobytes()
+        return ids
 
 
 def encoder(path: str) -> Encoder:
@@ -162,7 +200,7 @@ def write_ids(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            encoded = (e for i in range(0, batch.num_rows, 500) for e in own.encode(batch.column(1)[i : i + 500].to_pylist()))
+            encoded = (e for i in range(0, batch.num_rows, ROWS) for e in own.encode(batch.column(1)[i : i + ROWS].to_pylist()))
             for number, body in zip(batch.column(0).to_pylist(), encoded):
                 ids.append(number)
                 data.append(body + end)

@@ -39,7 +39,6 @@ def test_pieces_give_the_ids_of_the_whole_text(texts):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     found = token_output.encoder(tokenizer_path()).encode(texts)
     assert [np.frombuffer(f, np.uint32).tolist() for f in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
@@ -48,7 +47,6 @@ def test_token_file_equals_the_library(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
-    plain.encode_special_tokens = True
     docs = documents(spark)
     path = token_output.scratch(spark, "tokens")
     token_output.write_ids(docs, tokenizer_path(), path, 2, block_ids=500)
@@ -67,6 +65,30 @@ def test_token_file_equals_the_library(spark):
     assert zlib.crc32(np.array([r["id"] for r in part], "<u4").tobytes()) == some["ids_crc32"]
 
 
+def test_a_literal_mark_is_the_librarys_own_id():
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|> there", "<|endoftext|>", "a <|endoftext|>", "plain words", "< |endoftext|>"]
+    plain = Tokenizer.from_file(tokenizer_path())
+    found = [np.frombuffer(f, np.uint32).tolist() for f in token_output.encoder(tokenizer_path()).encode(texts)]
+    assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in found[0] and len(found[0]) == 4
+
+
+def test_time_does_not_depend_on_the_words_seen():
+    import time
+
+    own = token_output.Encoder(tokenizer_path())
+    word = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    texts = [[f"{word(7000 * i + j)}x and y{word(7000 * j + i)}, words." for i in range(500)] for j in range(40)]
+    times = []
+    for batch in texts:
+        began = time.perf_counter()
+        own.encode(batch)
+        times.append(time.perf_counter() - began)
+    assert len(own.known) > 30_000 and sum(times[-10:]) < 4 * sum(times[1:11])
+
+
 def test_token_file_of_nothing(spark):
     assert token_output.encode_and_read(documents(spark, []), tokenizer_path(), 2).count() == 0
 
