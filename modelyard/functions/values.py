@@ -53,7 +53,8 @@ def fingerprint(columns: Sequence[str]) -> Column:
 
 def table_digest(df: DataFrame) -> DataFrame:
     """One row that changes with the content of a table but not with its row order."""
-    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    # A hash skips NULLs, so whether each value is one is hashed as well.
+    columns = [part for c in sorted(df.columns) for part in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     return df.select(F.xxhash64(*columns).alias("h")).agg(
         F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("digest")
     )

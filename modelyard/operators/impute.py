@@ -8,9 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from modelyard.functions.values import is_missing
 from modelyard.functions.vectors import pack_sums
+from modelyard.operators import metric_index
+from modelyard.operators.metric_index import BLOCK_ROWS, CELL_ROWS
+from modelyard.operators.neighbours import first_k
 from modelyard.operators.ordered import exact_percentiles
-from modelyard.operators.pairs import BLOCK_ROWS, block_count, grid
+from modelyard.session import cut_lineage
 
 
 def fit_simple(df: DataFrame, columns: Sequence[str], strategy: str = "mean", value=None) -> dict:
@@ -26,7 +30,7 @@ def fit_simple(df: DataFrame, columns: Sequence[str], strategy: str = "mean", va
     if strategy == "most_frequent":
         out = {}
         for c in columns:
-            counts = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n"))
+            counts = df.where(~is_missing(df, c)).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n"))
             best = counts.orderBy(F.col("n").desc(), "v").first()
             out[c] = best["v"] if best else None
         return out
@@ -34,7 +38,9 @@ def fit_simple(df: DataFrame, columns: Sequence[str], strategy: str = "mean", va
 
 
 def apply_simple(df: DataFrame, fitted: dict) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in fitted.items() if v is not None})
+    """Fill what is NULL or NaN; a column without a fill value stays as it is."""
+    filled = {c: F.coalesce(F.when(~is_missing(df, c), F.col(f"`{c}`")), F.lit(v)) for c, v in fitted.items() if v is not None}
+    return df.withColumns(filled)
 
 
 @dataclass
@@ -208,66 +214,157 @@ def _bayesian_ridge(n: float, s: np.ndarray, c: np.ndarray, others: list[int], j
     return beta, float(mean[j] - mean[others] @ beta)
 
 
-def knn_impute(df: DataFrame, columns: Sequence[str], key: str, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+# Cells of a gap pattern, and patterns that have boxes of their own; what is rarer shares boxes.
+BOX_CELLS, PATTERNS = 256, 255
+
+
+@dataclass(frozen=True)
+class Boxes:
+    """Per box its rows, each column's rows with a value, least and largest value; in an `exact` box all rows have the same gaps."""
+
+    rows: np.ndarray
+    filled: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    exact: np.ndarray
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row and box the least and the largest distance that a row of the box can have."""
+        p = x.shape[1]
+        near, far = np.empty((len(x), len(self.rows))), np.empty((len(x), len(self.rows)))
+        for start in range(0, len(x), step := max(1, 2_000_000 // max(1, self.low.size))):
+            own = x[start : start + step, None, :]
+            inside = np.maximum(np.maximum(self.low - own, own - self.high), 0.0) ** 2
+            across = np.maximum(np.abs(own - self.low), np.abs(own - self.high)) ** 2
+            shared = ~np.isnan(inside)
+            width = shared.sum(axis=2)
+            scale = p / np.maximum(width, 1)
+            # Rows with more gaps than their box may share any of its columns, but the mean over some is no less than the least.
+            loose = p * np.where(shared, inside, np.inf).min(axis=2, initial=np.inf)
+            least = np.where(self.exact, scale * np.where(shared, inside, 0.0).sum(axis=2), loose)
+            most = np.where(self.exact, scale * np.where(shared, across, 0.0).sum(axis=2), np.inf)
+            near[start : start + step] = np.where(width > 0, np.sqrt(least) * (1 - 1e-12), np.inf)
+            far[start : start + step] = np.where(width > 0, np.sqrt(most) * (1 + 1e-12), np.inf)
+        return near, far
+
+    def home(self, x: np.ndarray, k: int) -> np.ndarray:
+        """Boxes that surely hold `k` comparable rows near each row, for each column that it lacks."""
+        far = self.bounds(x)[1]
+        order = np.argsort(far, axis=1, kind="stable")
+        mask = np.zeros(far.shape, bool)
+        for c in range(x.shape[1]):
+            rows = np.flatnonzero(np.isnan(x[:, c]))
+            able = np.where(np.isfinite(far[rows]), self.filled[:, c], 0)
+            able = np.take_along_axis(able, order[rows], axis=1)
+            wanted = (np.cumsum(able, axis=1) - able < k) & (able > 0)
+            row, place = np.nonzero(wanted)
+            mask[rows[row], order[rows[row], place]] = True
+        return mask
+
+    def within(self, x: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Boxes that can hold a row as near as `reach` (rows x columns) that has a column which the row lacks."""
+        near = self.bounds(x)[0]
+        mask = np.zeros(near.shape, bool)
+        for c in range(x.shape[1]):
+            lacking = np.isnan(x[:, c])[:, None]
+            mask |= lacking & (self.filled[:, c] > 0) & np.isfinite(near) & (near <= reach[:, c : c + 1])
+        return mask
+
+
+def _boxes(rows: DataFrame, p: int, means: list[float], cell_rows: int) -> tuple[DataFrame, Boxes]:
+    """`rows` (key, x) with the number of their box (`ring`), and the boxes: near rows with the same gaps."""
+    fills = F.array(*[F.lit(m) for m in means])
+    whole = F.zip_with("x", fills, lambda v, m: F.coalesce(v, m))
+    gaps = F.array_join(F.transform("x", lambda v: F.when(v.isNull(), "0").otherwise("1")), "")
+    index = metric_index.build(rows.select("key", "x", whole.alias("features"), gaps.alias("gaps")), cell_rows, 1 << 62, BOX_CELLS)
+    often = index.rows.groupBy("gaps").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gaps").limit(PATTERNS)
+    named = index.rows.join(F.broadcast(often.select("gaps", F.lit(True).alias("exact"))), "gaps", "left")
+    named = cut_lineage(named.select("key", "x", F.col("ring").alias("cell"), F.when(F.col("exact"), F.col("gaps")).alias("pattern")))
+    parts = [f(F.get("x", i)).alias(f"{n}{i}") for n, f in (("c", F.count), ("l", F.min), ("h", F.max)) for i in range(p)]
+    # At most BOX_CELLS x (PATTERNS + 1) rows.
+    known = named.groupBy("cell", "pattern").agg(F.count(F.lit(1)).alias("n"), *parts).toPandas()
+    known["ring"] = np.arange(len(known), dtype=np.int32)
+    columns = [known[[f"{n}{i}" for i in range(p)]].to_numpy(dtype=float) for n in "clh"]
+    boxes = Boxes(known["n"].to_numpy(), columns[0], columns[1], columns[2], known["pattern"].notna().to_numpy())
+    pairs = list(zip(known["cell"].tolist(), known["pattern"].where(known["pattern"].notna(), None).tolist(), known["ring"].tolist()))
+    numbers = rows.sparkSession.createDataFrame(pairs, "b_cell int, b_pattern string, ring int")
+    same = (F.col("cell") == F.col("b_cell")) & F.col("pattern").eqNullSafe(F.col("b_pattern"))
+    return named.join(F.broadcast(numbers), same).select("key", "x", "ring"), boxes
+
+
+def _dense(block: pd.DataFrame, p: int) -> np.ndarray:
+    return np.array([[np.nan if v is None else v for v in r] for r in block["x"]], dtype=float).reshape(len(block), p)
+
+
+def knn_impute(
+    df: DataFrame, columns: Sequence[str], key: str, k: int = 5, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """Fill a gap with the mean of the k nearest rows that have the value.
 
-    The distance uses the cells both rows have, scaled up to the full width. Only rows with gaps look for donors; the
-    best k per (row, column) leave a grid cell, never the pairs.
+    The distance uses the cells both rows have, scaled up to the full width. Rows lie in boxes of near rows with the same gaps, so a box's
+    bounds give the least distance of any of its rows. Only rows with gaps look for donors: first in boxes that surely hold k, then in
+    all others that can hold one as near as the k-th of those. NaN is a gap; a gap without any donor takes the column's mean.
     """
     columns = list(columns)
     p = len(columns)
     cells = F.array(*[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns])
-    rows = df.select(F.col(key).alias("key"), cells.alias("x"))
-    broken = rows.where(F.exists("x", lambda v: v.isNull()))
-    sizes = rows.agg(
-        F.count("*").alias("n"), F.count(F.when(F.exists("x", lambda v: v.isNull()), 1)).alias("m")
-    ).first()
-    key_type = df.schema[key].dataType.simpleString()
-
-    def dense(block: pd.DataFrame) -> np.ndarray:
-        return np.array([[np.nan if v is None else v for v in r] for r in block["x"]], dtype=float).reshape(len(block), p)
+    rows = cut_lineage(df.select(F.col(key).alias("key"), cells.alias("x")))
+    means = fit_simple(df, columns, "mean")
+    placed, boxes = _boxes(rows, p, [0.0 if means[c] is None else float(means[c]) for c in columns], cell_rows)
+    marked = F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan"))))
+    broken = rows.where(F.exists("x", lambda v: v.isNull())).select("key", marked.alias("features"))
+    kind = df.schema[key].dataType.simpleString()
+    names = ["key", "col", "gap", "donor", "value"]
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"key": [], "col": [], "gap": [], "donor": [], "value": []})
-        if not len(a) or not len(b):
-            return empty
-        x, y = dense(a), dense(b)
-        keys, donors = a["key"].to_numpy(), b["key"].to_numpy()
         out = []
-        for i in range(len(x)):
-            shared = ~np.isnan(y) & ~np.isnan(x[i])
-            width = shared.sum(axis=1)
-            square = np.where(shared, (y - x[i]) ** 2, 0.0).sum(axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gap = np.where(width > 0, np.sqrt(square * p / width), np.nan)
-            for c in np.flatnonzero(np.isnan(x[i])):
-                able = np.flatnonzero(~np.isnan(y[:, c]) & ~np.isnan(gap))
-                if len(able) > k:
-                    able = able[gap[able] <= np.partition(gap[able], k - 1)[k - 1]]
-                best = able[np.lexsort((donors[able], gap[able]))[:k]]
-                out += [(keys[i], c, gap[d], donors[d], y[d, c]) for d in best]
-        return pd.DataFrame(out, columns=empty.columns) if out else empty
-
-    found = grid(
-        broken,
-        rows,
-        block_count(sizes["m"], block_rows),
-        block_count(sizes["n"], block_rows),
-        nearest,
-        f"key {key_type}, col int, gap double, donor {key_type}, value double",
-    )
-    best = found.groupBy("key", "col").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("gap", "donor", "value"))), 1, k).alias("near")
-    )
-    filled = best.select(
-        "key", "col", (F.aggregate("near", F.lit(0.0), lambda s, d: s + d["value"]) / F.size("near")).alias("v")
-    )
+        if len(a) and len(b):
+            b = b.iloc[np.argsort(b["key"].to_numpy(), kind="stable")]
+            x, y = np.stack(a["features"].to_numpy()), _dense(b, p)
+            keys, donors = a["key"].to_numpy(), b["key"].to_numpy()
+            for start in range(0, len(x), step := max(1, 2_000_000 // y.size)):
+                own = x[start : start + step]
+                square = (y[None, :, :] - own[:, None, :]) ** 2
+                shared = ~np.isnan(square)
+                width = shared.sum(axis=2)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gaps = np.where(width > 0, np.sqrt(np.where(shared, square, 0.0).sum(axis=2) * p / width), np.inf)
+                for c in range(p):
+                    lacking, able = np.flatnonzero(np.isnan(own[:, c])), np.flatnonzero(~np.isnan(y[:, c]))
+                    row, donor = first_k(gaps[np.ix_(lacking, able)], k)
+                    row, donor = lacking[row], able[donor]
+                    found = np.isfinite(gaps[row, donor])
+                    row, donor = row[found], donor[found]
+                    out.append(pd.DataFrame(dict(zip(names, (keys[start + row], c, gaps[row, donor], donors[donor], y[donor, c])))))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
+
+    def near(visitors: DataFrame) -> DataFrame:
+        schema = f"key {kind}, col int, gap double, donor {kind}, value double"
+        found = metric_index.meet(visitors, placed, nearest, schema, block_rows)
+        return cut_lineage(metric_index.best(found, ["key", "col"], ["gap", "donor"], k))
+
+    def later(x: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
+        reach = np.full(x.shape, np.inf)
+        for i, row in enumerate(_pairs(batch["reach"])):
+            for c, gap in row:
+                reach[i, c] = gap
+        return boxes.within(x, reach) & ~boxes.home(x, k)
+
+    first = near(metric_index.visits(broken, len(boxes.rows), lambda x, _: boxes.home(x, k)))
+    # At most one entry per column.
+    reach = first.groupBy("key", "col").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    reach = reach.groupBy("key").agg(F.collect_list(F.array(F.col("col").cast("double"), "gap")).alias("reach"))
+    second = near(metric_index.visits(broken.join(reach, "key", "left"), len(boxes.rows), later))
+    best = metric_index.best(first.unionByName(second), ["key", "col"], ["gap", "donor"], k)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("gap", "donor", "value"))), lambda d: d["value"])
+    filled = best.groupBy("key", "col").agg(ordered.alias("near"))
+    filled = filled.select("key", "col", (F.aggregate("near", F.lit(0.0), lambda s, d: s + d) / F.size("near")).alias("v"))
     maps = filled.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("_fill"))
-    means = fit_simple(df, columns, "mean")
     joined = df.join(maps.withColumnRenamed("key", key), key, "left")
-    return joined.withColumns(
-        {
-            c: F.coalesce(F.col(f"`{c}`").cast("double"), F.try_element_at("_fill", F.lit(i)), F.lit(means[c]))
-            for i, c in enumerate(columns)
-        }
-    ).drop("_fill")
+    filled_in = {c: F.coalesce(cells[i], F.try_element_at("_fill", F.lit(i)), F.lit(means[c])) for i, c in enumerate(columns)}
+    return joined.withColumns(filled_in).drop("_fill")
+
+
+def _pairs(reach: pd.Series) -> list[list[tuple[int, float]]]:
+    """(column, gap) of each row, from what came as arrays of two numbers; nothing where there is none."""
+    return [[] if row is None or isinstance(row, float) else [(int(c), float(gap)) for c, gap in row] for row in reach]

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 from modelyard import settings
 from modelyard.operators.boosting import AdaBoostClassifier, AdaBoostRegressor
 from modelyard.operators.decomposition import FastICA, NonNegativeFactors, PrincipalComponents, SingularVectors
+from modelyard.operators.grower import ExtraTrees, SecondOrderBoosting
 from modelyard.operators.linear import LinearDiscriminant, RidgeVotes
 from modelyard.operators.neighbours import NearestNeighbours
-from modelyard.operators.partitioning import MiniBatchCentres
+from modelyard.operators.partitioning import MiniBatchCentres, TableClusters
 
 SEED = settings.RANDOM_STATE
 
@@ -44,26 +45,21 @@ def _tree_options(p: dict, trees: str) -> dict:
     """Parameter names of the search ranges as Spark names."""
     names = {
         "n_estimators": trees,
-        "iterations": trees,
         "max_depth": "maxDepth",
-        "depth": "maxDepth",
         "learning_rate": "stepSize",
         "subsample": "subsamplingRate",
-        "bagging_fraction": "subsamplingRate",
-        "colsample_bytree": "featureSubsetStrategy",
-        "feature_fraction": "featureSubsetStrategy",
         "min_samples_leaf": "minInstancesPerNode",
     }
     out = {}
     for name, value in p.items():
         if name in names:
-            out[names[name]] = str(value) if names[name] == "featureSubsetStrategy" else value
+            out[names[name]] = value
         elif name == "min_samples_split":
             # A node that may be split holds at least this many rows: half of it on each side.
             out["minInstancesPerNode"] = max(out.get("minInstancesPerNode", 1), (value + 1) // 2)
         elif name == "num_leaves":
             out["maxDepth"] = max(1, (int(value) - 1).bit_length())
-        elif name != "l2_leaf_reg":
+        else:
             out[name] = value
     return out
 
@@ -79,10 +75,9 @@ def _boosted(defaults: dict, task: str) -> Callable:
     return build
 
 
-def _forest(kind, bootstrap: bool) -> Callable:
+def _forest(kind) -> Callable:
     def build(p: dict):
-        options = _tree_options({"n_estimators": 100, "max_depth": 10, **p}, "numTrees")
-        return kind(bootstrap=bootstrap, seed=SEED, **options)
+        return kind(seed=SEED, **_tree_options({"n_estimators": 100, "max_depth": 10, **p}, "numTrees"))
 
     return build
 
@@ -124,12 +119,20 @@ def _linear(penalty: Callable[[dict, int], float], ratio: Callable[[dict], float
     return build
 
 
-# Boosting flavours differ in their defaults only: all are histogram-based already.
+# Names of the search ranges as those of the growers.
+GROWER_NAMES = {
+    "iterations": "n_estimators", "depth": "max_depth", "num_leaves": "max_leaves", "l2_leaf_reg": "l2", "reg_lambda": "l2",
+    "colsample_bytree": "columns", "feature_fraction": "columns", "bagging_fraction": "subsample", "min_child_samples": "least_rows",
+}
+
+
+def _second_order(style: str, task: str) -> Callable:
+    return lambda p: SecondOrderBoosting(task, style, **{GROWER_NAMES.get(name, name): value for name, value in p.items()})
+
+
+# First-order boosting: Spark's trees on the gradient.
 GRADIENT = {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3}
 HISTOGRAM = {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31}
-DEEP = {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6}
-LEAFY = {"n_estimators": 100, "learning_rate": 0.1, "num_leaves": 31}
-EVEN = {"iterations": 100, "learning_rate": 0.03, "depth": 6}
 
 FACTORIES: dict[str, dict[str, Callable[[dict], object]]] = {
     "classification": {
@@ -139,11 +142,10 @@ FACTORIES: dict[str, dict[str, Callable[[dict], object]]] = {
                 regParam=1.0 / (p.get("C", 1.0) * n), standardization=False, maxIter=p.get("max_iter", 1000)
             )
         ),
-        "random_forest": _forest(C.RandomForestClassifier, True),
+        "random_forest": _forest(C.RandomForestClassifier),
         "gradient_boosting": _boosted(GRADIENT, "classification"),
         "hist_gradient_boosting": _boosted(HISTOGRAM, "classification"),
-        # Approximate: splits are the best ones, not random thresholds.
-        "extra_trees": _forest(C.RandomForestClassifier, False),
+        "extra_trees": lambda p: ExtraTrees("classification", **p),
         "ada_boost": lambda p: AdaBoostClassifier(**p),
         "linear_svc": _svc(lambda p, n: 1.0 / (p.get("C", 1.0) * n)),
         "knn": lambda p: NearestNeighbours(task="classification", **p),
@@ -159,31 +161,34 @@ FACTORIES: dict[str, dict[str, Callable[[dict], object]]] = {
         "lda": lambda p: LinearDiscriminant(**p),
         "ridge": lambda p: RidgeVotes(**p),
         "sgd": _svc(lambda p, n: p.get("alpha", 1e-4)),
-        "xgboost": _boosted(DEEP, "classification"),
-        "lightgbm": _boosted(LEAFY, "classification"),
-        "catboost": _boosted(EVEN, "classification"),
+        "xgboost": _second_order("depth", "classification"),
+        "lightgbm": _second_order("leaf", "classification"),
+        "catboost": _second_order("level", "classification"),
     },
     "regression": {
         "linear_regression": lambda p: R.LinearRegression(regParam=0.0, **p),
         "ridge": _linear(lambda p, n: p.get("alpha", 1.0) / n, lambda p: 0.0),
         "lasso": _linear(lambda p, n: p.get("alpha", 1.0), lambda p: 1.0),
         "elastic_net": _linear(lambda p, n: p.get("alpha", 1.0), lambda p: p.get("l1_ratio", 0.5)),
-        "random_forest": _forest(R.RandomForestRegressor, True),
+        "random_forest": _forest(R.RandomForestRegressor),
         "gradient_boosting": _boosted(GRADIENT, "regression"),
         "hist_gradient_boosting": _boosted(HISTOGRAM, "regression"),
-        "extra_trees": _forest(R.RandomForestRegressor, False),
+        "extra_trees": lambda p: ExtraTrees("regression", **p),
         "ada_boost": lambda p: AdaBoostRegressor(**p),
         "knn": lambda p: NearestNeighbours(task="regression", **p),
         "decision_tree": lambda p: R.DecisionTreeRegressor(seed=SEED, **_tree_options({"max_depth": 10, **p}, "")),
         "sgd": _linear(lambda p, n: p.get("alpha", 1e-4), lambda p: 0.0),
-        "xgboost": _boosted(DEEP, "regression"),
-        "lightgbm": _boosted(LEAFY, "regression"),
-        "catboost": _boosted(EVEN, "regression"),
+        "xgboost": _second_order("depth", "regression"),
+        "lightgbm": _second_order("leaf", "regression"),
+        "catboost": _second_order("level", "regression"),
     },
     "clustering": {
         "kmeans": lambda p: K.KMeans(k=p.get("n_clusters", 8), seed=SEED, maxIter=p.get("max_iter", 20)),
-        # Divisive, not agglomerative.
+        # Divisive; `agglomerative` is single linkage.
         "hierarchical": lambda p: K.BisectingKMeans(k=p.get("n_clusters", 2), seed=SEED),
+        "agglomerative": lambda p: TableClusters("agglomerative", **{"n_clusters": 2, **p}),
+        "dbscan": lambda p: TableClusters("dbscan", **{"eps": 0.5, **p}),
+        "spectral": lambda p: TableClusters("spectral", **{"n_clusters": 8, **p}),
         "minibatch_kmeans": lambda p: MiniBatchCentres(**p),
     },
     "dimensionality_reduction": {
@@ -195,14 +200,10 @@ FACTORIES: dict[str, dict[str, Callable[[dict], object]]] = {
     },
 }
 
-# Models without a fit and transform of their own: they label the table they are given (see partitioning).
-TRANSDUCTIVE = {"clustering": ("dbscan", "spectral")}
-
-
 def model_names(task: str) -> list[str]:
     if task not in FACTORIES:
         raise ValueError(f"unknown task {task}")
-    return [*FACTORIES[task], *TRANSDUCTIVE.get(task, ())]
+    return list(FACTORIES[task])
 
 
 def estimator(name: str, task: str, **params):

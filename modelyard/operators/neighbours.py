@@ -6,19 +6,58 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from modelyard.functions.vectors import as_array
-from modelyard.operators.pairs import BLOCK_ROWS, block_count, distances, grid, matrix
+from modelyard.operators import metric_index
+from modelyard.operators.metric_index import BLOCK_ROWS, CELL_ROWS, Index, Rings, stacked
+from modelyard.operators.pairs import distances
+from modelyard.session import cut_lineage
 
 
-def nearest(queries: DataFrame, donors: DataFrame, k: int, skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(
+    queries: DataFrame, donors: DataFrame, k: int, skip_self: bool = False, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """(key, donor, gap, label) of the k nearest donors of every query row; ties by donor key.
 
-    Both tables have `key` and `features`, the donors `label` too. A grid cell returns its best k per query row, so
-    the shuffle carries queries x blocks x k rows.
+    Both tables have `key` and `features`, the donors `label` too. A row first meets the rings that surely hold k donors near it; the gap of
+    the k-th of those then rules out every ring that is farther away, and the row meets what is left.
     """
-    left = queries.select("key", as_array(queries, "features").alias("features"))
+    left = cut_lineage(queries.select("key", as_array(queries, "features").alias("features")))
     right = donors.select("key", as_array(donors, "features").alias("features"), F.col("label").cast("double").alias("label"))
-    key_type = queries.schema["key"].dataType.simpleString()
-    donor_type = donors.schema["key"].dataType.simpleString()
+    index = metric_index.build(right, cell_rows, block_rows)
+    wanted = k + skip_self
+    if not len(index.rings):
+        donor = F.lit(None).cast(donors.schema["key"].dataType)
+        return left.limit(0).select("key", donor.alias("donor"), F.lit(0.0).alias("gap"), F.lit(0.0).alias("label"))
+    summary, schema = _best_of_block(left, right, k, skip_self)
+
+    def near(visitors: DataFrame) -> DataFrame:
+        return cut_lineage(metric_index.best(metric_index.meet(visitors, index.rows, summary, schema, block_rows), ["key"], ["gap", "donor"], k))
+
+    first = near(first_visits(left, index, wanted))
+    reach = first.groupBy("key").agg(F.max("gap").alias("reach"), F.count(F.lit(1)).alias("n"))
+    reach = reach.select("key", F.when(F.col("n") >= k, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach"))
+    second = near(later_visits(left.join(reach, "key", "left"), index, wanted))
+    return metric_index.best(first.unionByName(second), ["key"], ["gap", "donor"], k).select("key", "donor", "gap", "label")
+
+
+def first_visits(queries: DataFrame, index: Index, wanted: int) -> DataFrame:
+    """Each row with the rings that surely hold `wanted` rows near it."""
+    rings: Rings = index.rings
+    return metric_index.visits(queries, len(rings), lambda x, _: rings.home(x, wanted))
+
+
+def later_visits(queries: DataFrame, index: Index, wanted: int) -> DataFrame:
+    """Each row with the other rings that can hold a row within its `reach` (NULL: any), which it has from the first ones."""
+    rings: Rings = index.rings
+
+    def wants(x: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
+        reach = batch["reach"].fillna(np.inf).to_numpy()
+        return (rings.bounds(x)[0] <= reach[:, None]) & ~rings.home(x, wanted)
+
+    return metric_index.visits(queries, len(rings), wants)
+
+
+def _best_of_block(left: DataFrame, right: DataFrame, k: int, skip_self: bool):
+    """The nearest k of a block of donors for each row that visits it."""
     columns = ["key", "donor", "gap", "label"]
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -28,37 +67,32 @@ def nearest(queries: DataFrame, donors: DataFrame, k: int, skip_self: bool = Fal
         order = np.argsort(names, kind="stable")
         b, names = b.iloc[order], names[order]
         labels = b["label"].to_numpy(dtype=float)
-        keys, y = a["key"].to_numpy(), matrix(b)
-        x = matrix(a)
+        keys, x, y = a["key"].to_numpy(), stacked(a["features"]), stacked(b["features"])
         out = []
         step = max(1, 4_000_000 // len(b))
         for start in range(0, len(a), step):
             gaps = distances(x[start : start + step], y)
             if skip_self:
                 gaps[keys[start : start + step, None] == names[None, :]] = np.inf
-            if len(names) > k:
-                limit = np.partition(gaps, k - 1, axis=1)[:, k - 1]
-                rows, flat = np.nonzero(gaps <= limit[:, None])
-                # The first k of every row by distance, then by donor; columns are in donor order.
-                order = np.lexsort((flat, gaps[rows, flat], rows))
-                rows, flat = rows[order], flat[order]
-                first = np.searchsorted(rows, rows, side="left")
-                kept = np.arange(len(rows)) - first < k
-                rows, flat = rows[kept], flat[kept]
-            else:
-                rows = np.repeat(np.arange(len(gaps)), len(names))
-                flat = np.tile(np.arange(len(names)), len(gaps))
-            out.append(
-                pd.DataFrame({"key": keys[start + rows], "donor": names[flat], "gap": gaps[rows, flat], "label": labels[flat]})
-            )
+            rows, flat = first_k(gaps, k)
+            out.append(pd.DataFrame({"key": keys[start + rows], "donor": names[flat], "gap": gaps[rows, flat], "label": labels[flat]}))
         found = pd.concat(out)
         return found[np.isfinite(found["gap"])]
 
-    n, m = left.count(), right.count()
-    schema = f"key {key_type}, donor {donor_type}, gap double, label double"
-    cells = grid(left, right, block_count(n, block_rows), block_count(m, block_rows), best, schema)
-    near = cells.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "donor", "label"))), 1, k).alias("near"))
-    return near.select("key", F.inline("near")).select(*columns)
+    kinds = left.schema["key"].dataType.simpleString(), right.schema["key"].dataType.simpleString()
+    return best, f"key {kinds[0]}, donor {kinds[1]}, gap double, label double"
+
+
+def first_k(gaps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k smallest entries of each row, by entry and then by column."""
+    if gaps.shape[1] <= k:
+        return np.repeat(np.arange(len(gaps)), gaps.shape[1]), np.tile(np.arange(gaps.shape[1]), len(gaps))
+    limit = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+    rows, flat = np.nonzero(gaps <= limit[:, None])
+    order = np.lexsort((flat, gaps[rows, flat], rows))
+    rows, flat = rows[order], flat[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+    return rows[kept], flat[kept]
 
 
 class NearestNeighbours:
@@ -75,7 +109,10 @@ class NearestNeighbours:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Rows need a unique `key`; a class vote takes the smaller class on a tie."""
+        """A class vote takes the smaller class on a tie. Rows without a `key` column are numbered and written first."""
+        if "key" not in df.columns:
+            numbered = cut_lineage(df.withColumn("key", F.monotonically_increasing_id()))
+            return self.transform(numbered).drop("key")
         near = nearest(df, self.rows, self.k, block_rows=self.block_rows)
         if self.task == "regression":
             found = near.groupBy("key").agg(F.avg("label").alias("prediction"))

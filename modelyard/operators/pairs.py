@@ -30,7 +30,8 @@ def grid(
         return df.withColumn(own, block).withColumn(other, copies)
 
     a = cut(left, "_i", left_blocks, "_j", right_blocks)
-    b = cut(right, "_j", right_blocks, "_i", left_blocks)
+    # New column ids, for a table that meets itself.
+    b = cut(right.toDF(*right.columns), "_j", right_blocks, "_i", left_blocks)
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(summary, schema)
 
 

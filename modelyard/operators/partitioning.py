@@ -1,16 +1,20 @@
-"""Clusters beyond the built-in ones: mini-batch centres, density clusters, spectral clusters."""
+"""Clusters beyond the built-in ones: mini-batch centres, density clusters, single linkage, and models of what they find."""
+
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import DataFrame, functions as F
 
 from modelyard import settings
 from modelyard.functions.vectors import as_array
-from modelyard.operators.neighbours import nearest
+from modelyard.operators import metric_index
+from modelyard.operators.metric_index import BLOCK_ROWS, CELL_ROWS, stacked
+from modelyard.operators.neighbours import NearestNeighbours, nearest
 from modelyard.operators.ordered import row_rank
-from modelyard.operators.pairs import BLOCK_ROWS, block_count, distances, grid, matrix
+from modelyard.operators.pairs import distances
 from modelyard.operators.plain import PlainModel, linear_scores
+from modelyard.operators.spectrum import spectral
 from modelyard.operators.split import draw
 from modelyard.session import cut_lineage
 
@@ -65,77 +69,167 @@ class MiniBatchCentres(PlainModel):
         return df.withColumn("_scores", scores).withColumn("prediction", place.cast("int")).drop("_scores")
 
 
-def dbscan(df: DataFrame, key: str, eps: float, min_samples: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def dbscan(
+    df: DataFrame, key: str, eps: float, min_samples: int = 5, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """(key, cluster): density clusters, -1 for noise; a cluster is named by its smallest core key.
 
-    Exact. Neighbour counts are summed over grid cells. Core rows are joined by the spanning forest of every cell (at
-    most rows - 1 edges a cell), not by all close pairs, so a dense region does not blow up. A border row goes to the
-    cluster of its smallest core neighbour.
+    Exact. Space is cut into cubes of side eps / sqrt(d), whose rows are all within eps of each other: a cube with `min_samples` rows is core
+    at once, and core rows of a cube are one cluster, so components are sought over cubes and not over rows. Rows meet only the rings
+    of a metric index that reach within eps. A border row goes to the cluster of its smallest core neighbour.
     """
     points = df.select(F.col(key).cast("long").alias("key"), as_array(df, "features").alias("features"))
-    blocks = block_count(points.count(), block_rows)
+    # A little smaller, so that rounding cannot put two rows of a cube farther apart than eps.
+    side = F.lit(eps * (1 - 1e-9)) / F.sqrt(F.size("features"))
+    place = F.transform("features", lambda v: F.floor(v / side).cast("string") if eps > 0 else v.cast("string"))
+    points = points.withColumn("cube", F.md5(F.array_join(place, ",")))
+    cubes = points.groupBy("cube").agg((F.count(F.lit(1)) >= min_samples).alias("full"))
+    index = metric_index.build(points.join(cubes, "cube"), cell_rows, block_rows)
+    rings = index.rings
+    if not len(rings):
+        return df.select(F.col(key), F.lit(-1).cast("long").alias("cluster"))
+    reachable = lambda rows: metric_index.visits(rows, len(rings), lambda x, _: rings.bounds(x)[0] <= eps)
 
     def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"key": [], "n": []})
-        return pd.DataFrame({"key": a["key"].to_numpy(), "n": (distances(matrix(a), matrix(b)) <= eps).sum(axis=1)})
+        return pd.DataFrame({"key": a["key"].to_numpy(), "n": (distances(stacked(a["features"]), stacked(b["features"])) <= eps).sum(axis=1)})
 
-    counts = grid(points, points, blocks, blocks, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    marked = cut_lineage(points.join(counts.select("key", (F.col("n") >= min_samples).alias("core")), "key"))
-    core = marked.where("core").select("key", "features")
-    core_blocks = block_count(core.count(), block_rows)
+    sparse = index.rows.where("NOT full").select("key", "features")
+    found = metric_index.meet(reachable(sparse), index.rows.select("key", "features", "ring"), count, "key long, n long", block_rows)
+    counts = found.groupBy("key").agg(F.sum("n").alias("n"))
+    marked = index.rows.join(counts, "key", "left").withColumn("core", F.col("full") | (F.coalesce("n", F.lit(0)) >= min_samples))
+    marked = cut_lineage(marked.select("key", "features", "cube", "core", "ring"))
+    core = marked.where("core").select("key", "features", "cube", "ring")
 
-    def forest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def touch(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": []})
-        close = distances(matrix(a), matrix(b)) <= eps
-        return pd.DataFrame(_spanning(a["key"].to_numpy(), b["key"].to_numpy(), close), columns=["a", "b"])
+            return pd.DataFrame({"a": [], "b": [], "key": [], "near": []})
+        a = a.sort_values(["core", "cube"], ascending=[False, True], kind="stable")
+        b = b.sort_values(["cube", "key"], kind="stable")
+        own = a["core"].to_numpy(dtype=bool)
+        close = distances(stacked(a["features"]), stacked(b["features"])) <= eps
+        x, y = spanning(a["cube"].to_numpy()[own], b["cube"].to_numpy(), close[own])
+        border = close[~own]
+        names = np.where(border, b["key"].to_numpy()[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+        some = border.any(axis=1)
+        near = pd.DataFrame({"key": a["key"].to_numpy()[~own][some], "near": names[some]})
+        return pd.concat([pd.DataFrame({"a": x, "b": y}), near]).astype({"key": "Int64", "near": "Int64"})
+
+    met = metric_index.meet(reachable(marked.drop("ring")), core, touch, "a string, b string, key long, near long", block_rows)
+    met = cut_lineage(met)
+    nodes = core.groupBy("cube").agg(F.min("key").alias("least"))
+    named = connected_components(nodes.select(F.col("cube").alias("key")), met.where("a <> b").select("a", "b")).withColumnRenamed("cluster", "component")
+    named = nodes.join(named.withColumnRenamed("key", "cube"), "cube")
+    first = named.groupBy("component").agg(F.min("least").alias("cluster"))
+    named = cut_lineage(named.join(first, "component").select("cube", "cluster"))
+    inner = core.select("key", "cube").join(named, "cube").select("key", "cluster")
+    near = met.where("near IS NOT NULL").groupBy("key").agg(F.min("near").alias("near"))
+    outer = near.join(inner.withColumnRenamed("key", "near"), "near").select("key", "cluster")
+    return df.select(F.col(key)).join(inner.unionByName(outer).withColumnRenamed("key", key), key, "left").select(
+        key, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster")
+    )
+
+
+def spanning(left: np.ndarray, right: np.ndarray, close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same names as all close pairs do; fewer than there are names. Both sides are sorted by name."""
+    if not len(left) or not close.any():
+        return np.array([], dtype=object), np.array([], dtype=object)
+    x, rows = np.unique(left.astype(str), return_index=True)
+    y, columns = np.unique(right.astype(str), return_index=True)
+    touching = np.logical_or.reduceat(np.logical_or.reduceat(close, rows, axis=0), columns, axis=1)
+    label = np.arange(len(y))
+    while True:
+        # The smallest label that a name of the left side sees, then the smallest that one of the right side sees through those.
+        seen = np.where(touching, label[None, :], len(y)).min(axis=1)
+        through = np.where(touching, seen[:, None], len(y)).min(axis=0)
+        now = np.minimum(label, through)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    met = seen < len(y)
+    return np.concatenate([x[met], y]), np.concatenate([y[seen[met]], y[label]])
+
 
-    edges = grid(core, core, core_blocks, core_blocks, forest, "a long, b long").where("a <> b")
-    named = connected_components(core.select("key"), edges)
-    border = marked.where("NOT core").select("key", "features")
+def single_linkage(df: DataFrame, key: str, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The merges of single linkage: `gap, a, b`, the edges of the least spanning tree, ties by the smaller keys.
 
-    def first_core(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    Boruvka's rounds: every component finds its nearest row outside, all those edges merge components, and there are at most log2(n)
+    rounds. A row looks only into rings that reach nearer than what its component is sure to find: the nearest ring, as seen from any of
+    its rows, that holds a row of another component.
+    """
+    points = df.select(F.col(key).cast("long").alias("key"), as_array(df, "features").alias("features"))
+    index = metric_index.build(points, cell_rows, block_rows)
+    rings = index.rings
+    labels = cut_lineage(index.rows.select("key", F.col("key").alias("comp")))
+    tree: DataFrame | None = None
+
+    def outside(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        columns = ["comp", "gap", "a", "b", "other"]
         if not len(a) or not len(b):
-            return pd.DataFrame({"key": [], "near": []})
-        close = distances(matrix(a), matrix(b)) <= eps
-        names = np.where(close, b["key"].to_numpy()[None, :], np.iinfo(np.int64).max).min(axis=1)
-        found = close.any(axis=1)
-        return pd.DataFrame({"key": a["key"].to_numpy()[found], "near": names[found]})
-
-    border_blocks = block_count(border.count(), block_rows)
-    touching = (
-        grid(border, core, border_blocks, core_blocks, first_core, "key long, near long")
-        .groupBy("key")
-        .agg(F.min("near").alias("near"))
-    )
-    reached = touching.join(named.withColumnRenamed("key", "near"), "near").select("key", "cluster")
-    clusters = named.unionByName(reached)
-    return marked.select("key").join(clusters, "key", "left").select(
-        F.col("key").alias(key), F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster")
-    )
+            return pd.DataFrame({c: [] for c in columns})
+        b = b.sort_values("key", kind="stable")
+        x, y = stacked(a["features"]), stacked(b["features"])
+        keys, comps, names, others = (v.to_numpy() for v in (a["key"], a["comp"], b["key"], b["comp"]))
+        out = []
+        for start in range(0, len(x), step := max(1, 4_000_000 // len(y))):
+            end = start + step
+            gaps = distances(x[start:end], y)
+            gaps[comps[start:end, None] == others[None, :]] = np.inf
+            # The first of equal gaps has the smallest key, and so the smallest pair.
+            at = gaps.argmin(axis=1)
+            own = keys[start:end]
+            pair = np.minimum(own, names[at]), np.maximum(own, names[at])
+            out.append(pd.DataFrame(dict(zip(columns, (comps[start:end], gaps[np.arange(len(at)), at], *pair, others[at])))))
+        found = pd.concat(out)
+        found = found[np.isfinite(found["gap"])].sort_values(["gap", "a", "b"], kind="stable")
+        return found.groupby("comp", as_index=False).first()[columns]
+
+    while True:
+        rows = cut_lineage(index.rows.join(labels, "key"))
+        ends = rows.groupBy("ring").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).toPandas()
+        if ends.empty or ends["low"].min() == ends["high"].max():
+            break
+        # The component that a ring is wholly of, or none.
+        pure = np.full(len(rings), np.iinfo(np.int64).min)
+        pure[ends["ring"]] = np.where(ends["low"] == ends["high"], ends["low"], np.iinfo(np.int64).min)
 
+        def sure(batches: Iterable[pd.DataFrame], pure=pure) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for piece in metric_index.pieces(batch, len(rings)):
+                    comps = piece["comp"].to_numpy()
+                    upper = np.where(pure[None, :] == comps[:, None], np.inf, rings.bounds(stacked(piece["features"]))[1])
+                    yield pd.DataFrame({"comp": comps, "reach": upper.min(axis=1)}).groupby("comp", as_index=False).min()
 
-def _spanning(left: np.ndarray, right: np.ndarray, close: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the bipartite closeness of two blocks."""
-    parent: dict[int, int] = {}
+        reach = rows.select("comp", "features").mapInPandas(sure, "comp long, reach double").groupBy("comp").agg(F.min("reach").alias("reach"))
 
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
+        def wants(x: np.ndarray, batch: pd.DataFrame, pure=pure) -> np.ndarray:
+            other = pure[None, :] != batch["comp"].to_numpy()[:, None]
+            return other & (rings.bounds(x)[0] <= batch["reach"].to_numpy()[:, None])
 
-    edges = []
-    for i in range(len(left)):
-        a = int(left[i])
-        for j in np.flatnonzero(close[i]):
-            b = int(right[j])
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                edges.append((a, b))
-    return edges
+        visitors = metric_index.visits(rows.drop("ring").join(reach, "comp"), len(rings), wants)
+        met = metric_index.meet(visitors, rows, outside, "comp long, gap double, a long, b long, other long", block_rows)
+        best = met.groupBy("comp").agg(F.min(F.struct("gap", "a", "b", "other")).alias("e")).select("comp", "e.*")
+        best = cut_lineage(best)
+        edges = best.select("gap", "a", "b").distinct()
+        tree = cut_lineage(edges if tree is None else tree.unionByName(edges))
+        links = best.select(F.col("comp").alias("a"), F.col("other").alias("b"))
+        merged = connected_components(best.select(F.col("comp").alias("key")), links).withColumnRenamed("key", "comp")
+        labels = cut_lineage(labels.join(merged, "comp").select("key", F.col("cluster").alias("comp")))
+    return tree if tree is not None else points.select(F.lit(0.0).alias("gap"), F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+
+
+def agglomerative(df: DataFrame, key: str, n_clusters: int = 2, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(key, cluster): single linkage cut to `n_clusters`; a cluster is named by its smallest key.
+
+    The last merges are undone: the largest edges of the tree go, of equal ones those with the larger keys.
+    """
+    tree = single_linkage(df, key, block_rows, cell_rows)
+    last = tree.orderBy(F.desc("gap"), F.desc("a"), F.desc("b")).limit(n_clusters - 1)
+    kept = tree.join(F.broadcast(last.select("a", "b")), ["a", "b"], "left_anti") if n_clusters > 1 else tree
+    found = connected_components(df.select(F.col(key).cast("long").alias("key")), kept.select("a", "b"))
+    return found.withColumnRenamed("key", key)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -172,21 +266,35 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     )
 
 
-def spectral(df: DataFrame, key: str, n_clusters: int = 8, n_neighbors: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, cluster): power iteration on the graph of nearest neighbours, weights by a Gaussian of the distance."""
-    rows = df.select(F.col(key).alias("key"), "features", F.lit(0.0).alias("label"))
-    near = cut_lineage(nearest(rows, rows, n_neighbors, skip_self=True, block_rows=block_rows))
-    width = near.agg(F.avg(F.col("gap") * F.col("gap"))).scalar()
-    weight = F.exp(-F.col("gap") * F.col("gap") / F.greatest(width, F.lit(1e-300)))
-    edges = (
-        near.select(F.least("key", "donor").alias("a"), F.greatest("key", "donor").alias("b"), weight.alias("weight"))
-        .groupBy("a", "b")
-        .agg((F.sum("weight") / 2).alias("weight"))
-    )
-    # The iteration wants numeric ids.
-    ids = cut_lineage(row_rank(df.select(F.col(key).alias("key")), "key"))
-    left = ids.select(F.col("key").alias("a"), F.col("row_rank").alias("src"))
-    right = ids.select(F.col("key").alias("b"), F.col("row_rank").alias("dst"))
-    table = edges.join(left, "a").join(right, "b").select("src", "dst", "weight")
-    found = PowerIterationClustering(k=n_clusters, maxIter=20, weightCol="weight").assignClusters(table)
-    return ids.join(found, F.col("row_rank") == F.col("id")).select(F.col("key").alias(key), F.col("cluster").cast("int").alias("cluster"))
+class TableClusters(NearestNeighbours):
+    """Clusters that a method finds on the table it is given; any row then takes the cluster of its nearest row of that table.
+
+    A row of the table is its own nearest row, so it keeps its cluster (equal rows are always in one). Density clusters have
+    a reach: a row farther than `eps` from every row of the table is noise, -1. `prediction` is a number from 0 on, by the smallest key.
+    """
+
+    def __init__(self, method: str, **options):
+        super().__init__("clustering", 1)
+        self.method, self.options = method, options
+
+    def fit(self, df: DataFrame) -> "TableClusters":
+        rows = df.select(F.monotonically_increasing_id().alias("key"), as_array(df, "features").alias("features")).where("features IS NOT NULL")
+        rows = cut_lineage(rows)
+        found = METHODS[self.method](rows, "key", **self.options)
+        names = row_rank(found.where("cluster <> -1").groupBy("cluster").agg(F.min("key").alias("least")), "least")
+        found = found.join(names.select("cluster", (F.col("row_rank") - F.lit(1)).cast("double").alias("label")), "cluster", "left")
+        labelled = rows.join(found, "key").select("key", "features", F.coalesce("label", F.lit(-1.0)).alias("label"))
+        self.rows = cut_lineage(labelled.dropDuplicates(["features"]))
+        self.classes = 0
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        named = df.withColumn("_x", F.xxhash64(as_array(df, "features")))
+        wanted = named.select(F.col("_x").alias("key"), "features").dropDuplicates(["key"])
+        near = nearest(wanted, self.rows, 1, block_rows=self.block_rows)
+        reach = self.options.get("eps")
+        label = F.when(F.col("gap") <= reach, F.col("label")).otherwise(-1.0) if reach is not None else F.col("label")
+        return named.join(near.select(F.col("key").alias("_x"), label.cast("int").alias("prediction")), "_x").drop("_x")
+
+
+METHODS = {"dbscan": dbscan, "agglomerative": agglomerative, "spectral": spectral}

@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from modelyard import settings
+from modelyard.functions.values import is_missing
 from modelyard.operators import encode, impute, scale
 from modelyard.operators.profile import column_roles, require_columns, require_rows
 
@@ -92,10 +93,16 @@ def fit_preparation(
     if task not in settings.TASKS:
         raise ValueError(f"unknown task {task}")
     roles = column_roles(df.drop(*ignore), target)
-    numeric, categorical = roles["numeric"], roles["categorical"]
+    numeric, categorical, dropped = roles["numeric"], roles["categorical"], roles["dropped"]
+    # A column without any number has nothing to learn from; it is dropped and reported, as are others that are no features.
+    seen = df.agg(F.lit(1), *[F.count(F.when(~is_missing(df, c), 1)) for c in numeric]).first()[1:]
+    dropped = [*dropped, *[c for c, n in zip(numeric, seen) if not n]]
+    numeric = [c for c, n in zip(numeric, seen) if n]
     numbers = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numeric])
     if imputer == "iterative" and numeric:
         fill = impute.fit_iterative(numbers, numeric)
+    elif not numeric:
+        fill = impute.IterativeFill([], [], [])
     else:
         strategy = "mean" if imputer == "iterative" else imputer
         simple = impute.fit_simple(numbers, numeric, strategy)
@@ -108,4 +115,4 @@ def fit_preparation(
     classes = []
     if task == "classification" and target is not None:
         classes = [r[0] for r in encode.label_table(df, target).orderBy("code").collect()]
-    return Prepared(numeric, categorical, roles["dropped"], target, task, asdict(fill), scaled, groups, classes)
+    return Prepared(numeric, categorical, dropped, target, task, asdict(fill), scaled, groups, classes)

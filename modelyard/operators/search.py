@@ -2,11 +2,15 @@
 
 import json
 import random
+import threading
 import time
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from math import exp, log
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.util import inheritable_thread_target
 
@@ -132,29 +136,60 @@ def search(
     """Try models until trials, time or patience run out; refit the best on all rows.
 
     `df` has `features`, `label` where the task has one, and either `fold` or the key columns to draw folds by. The
-    trial list is short, so it stays on the driver; every fit and score is a distributed job.
+    trial list is short, so it stays on the driver; every fit and score is a distributed job. A trial that fails is a trial with an
+    `error` and no value, and the search goes on; only a search without any finished trial is an error. The jobs of a trial carry a
+    tag, which is cancelled when the time is up, so one slow trial cannot hold the search: it counts as failed.
     """
     rows = df if "fold" in df.columns else hash_folds(df, key, folds, seed)
     rows = balanced(rows).persist()
+    context = df.sparkSession.sparkContext
     trials, started = [], time.monotonic()
     try:
         for number, (name, params) in enumerate(draw_trials(task, n_trials, seed, names, ranges)):
-            begun = time.time()
-            value = cross_validate(rows, lambda: estimator(name, task, **params), task, parallelism)
-            trials.append({"trial": number, "model": name, "params": params, "value": value, "started": begun})
-            if has_settled([t["value"] for t in trials], patience, min_delta) or time.monotonic() - started > timeout:
+            trial = {"trial": number, "model": name, "params": params, "value": None, "started": time.time(), "error": None}
+            with _deadline(context, f"search-{uuid.uuid4().hex}", timeout - (time.monotonic() - started)):
+                try:
+                    trial["value"] = _finite(cross_validate(rows, lambda: estimator(name, task, **params), task, parallelism))
+                except Exception as problem:  # noqa: BLE001
+                    trial["error"] = f"{type(problem).__name__}: {problem}".split("\n")[0][:500]
+            trials.append(trial)
+            values = [t["value"] for t in trials if t["error"] is None]
+            if has_settled(values, patience, min_delta) or time.monotonic() - started > timeout:
                 break
-        best = max(trials, key=lambda t: t["value"])
+        finished = [t for t in trials if t["error"] is None]
+        if not finished:
+            raise RuntimeError("no trial has finished: " + "; ".join(f"{t['model']}: {t['error']}" for t in trials))
+        best = max(finished, key=lambda t: t["value"])
         model = estimator(best["model"], task, **best["params"]).fit(rows)
     finally:
         rows.unpersist()
     return {"model": model, "best": best, "trials": trials}
 
 
+def _finite(value: float | None) -> float:
+    if value is None or value != value:
+        raise ValueError("the score is no number")
+    return value
+
+
+@contextmanager
+def _deadline(context: SparkContext, tag: str, seconds: float) -> Iterator[None]:
+    """Jobs started inside carry `tag` and are cancelled after `seconds`."""
+    timer = threading.Timer(max(0.0, seconds), lambda: context.cancelJobsWithTag(tag))
+    timer.daemon = True
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)
+
+
 def trial_table(spark: SparkSession, trials: Sequence[dict]) -> DataFrame:
-    """Trials as rows."""
-    rows = [(t["trial"], t["model"], json.dumps(t["params"], sort_keys=True), float(t["value"]), t["started"]) for t in trials]
-    df = spark.createDataFrame(rows, "trial long, model string, params string, value double, started double")
+    """Trials as rows; a failed one has no value and says why."""
+    rows = [(t["trial"], t["model"], json.dumps(t["params"], sort_keys=True), t["value"], t["error"], t["started"]) for t in trials]
+    df = spark.createDataFrame(rows, "trial long, model string, params string, value double, error string, started double")
     return df.withColumn("started", F.timestamp_seconds("started"))
 
 

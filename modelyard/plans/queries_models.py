@@ -11,7 +11,8 @@ from modelyard.operators import search as S
 from modelyard.operators.comparison import side_by_side
 from modelyard.operators.models import estimator
 from modelyard.operators.neighbours import nearest
-from modelyard.operators.partitioning import dbscan, spectral
+from modelyard.operators.partitioning import agglomerative, dbscan, single_linkage
+from modelyard.operators.spectrum import spectral
 from modelyard.operators.split import train_test_split
 from modelyard.plans.catalog import Tables, query, rounded
 from modelyard.plans.pipelines import evaluate
@@ -217,6 +218,84 @@ SMALL = {
 }
 
 
+GROWTH_DEPTH = 2
+
+
+def _extra_trees_sql(trees: int = 5, depth: int = GROWTH_DEPTH, seed: int = 42) -> str:
+    """The growth of extremely randomised trees, level by level: cuts are drawn by md5, the best gain of Gini impurity wins."""
+    share = lambda what: f"CAST('0x' || substr(md5('{seed}:{what}:' || tree || ':' || path || ':' || f), 1, 13) AS BIGINT) / 4503599627370496.0"
+    gini = "({n} - ({p} * {p} + ({n} - {p}) * ({n} - {p})) / {n})"
+    steps = [
+        f"""a0 AS (SELECT tree, 1 AS path, x, y FROM (SELECT unnest(range({trees})) AS tree),
+          (SELECT [l_quantity, l_extendedprice, l_discount, l_tax] AS x, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM lineitem))"""
+    ]
+    for d in range(depth):
+        steps.append(f"""
+        c{d} AS (SELECT tree, path, f, low, high, least(low + {share("cut")} * (high - low), high - 1e-12) AS cut FROM (
+          SELECT tree, path, f, min(x[f + 1]) AS low, max(x[f + 1]) AS high FROM a{d}, (SELECT unnest(range(4)) AS f) GROUP BY ALL) r
+          QUALIFY row_number() OVER (PARTITION BY tree, path ORDER BY {share("feature")}, f) <= 2),
+        g{d} AS (SELECT c.tree, c.path, f, cut, count(*)::DOUBLE AS n, sum(y) AS p, count(*) FILTER (x[f + 1] <= cut)::DOUBLE AS ln, coalesce(sum(y) FILTER (x[f + 1] <= cut), 0) AS lp
+          FROM a{d} a JOIN c{d} c ON a.tree = c.tree AND a.path = c.path WHERE low < high GROUP BY ALL),
+        b{d} AS (SELECT tree, path, f, cut FROM g{d} WHERE p > 0 AND p < n AND ln > 0 AND ln < n
+          QUALIFY row_number() OVER (PARTITION BY tree, path ORDER BY {gini.format(n="n", p="p")} - {gini.format(n="ln", p="lp")} - {gini.format(n="(n - ln)", p="(p - lp)")} DESC, f) = 1),
+        a{d + 1} AS (SELECT a.tree, 2 * a.path + CASE WHEN x[f + 1] > cut THEN 1 ELSE 0 END AS path, x, y FROM a{d} a JOIN b{d} b ON a.tree = b.tree AND a.path = b.path)""")
+    parts = [
+        f"SELECT a.tree, a.path, coalesce(any_value(f), -1) AS feature, coalesce(any_value(cut), 0.0) AS cut, count(*)::DOUBLE AS n, sum(y) AS positives "
+        f"FROM a{d} a LEFT JOIN b{d} b ON a.tree = b.tree AND a.path = b.path GROUP BY a.tree, a.path"
+        for d in range(depth)
+    ]
+    parts.append(f"SELECT tree, path, -1, 0.0, count(*)::DOUBLE, sum(y) FROM a{depth} GROUP BY tree, path")
+    return "WITH " + ",".join(steps) + "SELECT tree::INTEGER AS tree, path::BIGINT AS path, feature::INTEGER AS feature, round(cut, 6)::DOUBLE AS cut, n, positives FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("extra_trees_nodes", _extra_trees_sql())
+def extra_trees_nodes(t):
+    """Every node of a small forest of extremely randomised trees: split, rows and returned lines."""
+    forest = estimator("extra_trees", "classification", n_estimators=5, max_depth=GROWTH_DEPTH).fit(line_classes(t))
+    n, positives = F.aggregate("sums", F.lit(0.0), lambda a, v: a + v), F.get("sums", 1)
+    return forest.nodes(t.spark).select("tree", "path", "feature", F.round("threshold", 6).alias("cut"), n.alias("n"), positives.alias("positives"))
+
+
+def _boosting_sql(style: str, l2: float, rate: float, least_rows: int, depth: int = GROWTH_DEPTH) -> str:
+    """The first tree of second-order boosting on squares: every distinct value is a cut, gains come from sums of gradients."""
+    part = lambda g, h: f"({g}) * ({g}) / (({h}) + {l2})"
+    steps = [
+        """a0 AS (SELECT 1 AS path, x, m - y AS g FROM (SELECT [l_quantity, l_discount, l_tax] AS x, l_extendedprice AS y FROM lineitem),
+          (SELECT avg(l_extendedprice) AS m FROM lineitem))"""
+    ]
+    for d in range(depth):
+        group = "" if style == "level" else "PARTITION BY path"
+        summed = "sum(gain)" if style == "level" else "gain"
+        steps.append(f"""
+        h{d} AS (SELECT path, f, x[f + 1] AS cut, count(*)::DOUBLE AS n, sum(g) AS g FROM a{d}, (SELECT unnest(range(3)) AS f) GROUP BY ALL),
+        s{d} AS (SELECT path, f, cut, sum(n) OVER u AS ln, sum(g) OVER u AS lg, sum(n) OVER w AS n, sum(g) OVER w AS g FROM h{d}
+          WINDOW w AS (PARTITION BY path, f), u AS (PARTITION BY path, f ORDER BY cut)),
+        j{d} AS (SELECT path, f, cut, ({part("lg", "ln")} + {part("g - lg", "n - ln")} - {part("g", "n")}) / 2 AS gain FROM s{d} WHERE least(ln, n - ln) >= {least_rows}),
+        b{d} AS (SELECT * FROM (SELECT {"" if style == "level" else "path,"} f, cut, {summed} AS gain FROM j{d} {"GROUP BY f, cut" if style == "level" else ""})
+          WHERE gain > 0 QUALIFY row_number() OVER ({group} ORDER BY gain DESC, f, cut) = 1),
+        a{d + 1} AS (SELECT 2 * a.path + CASE WHEN x[f + 1] > cut THEN 1 ELSE 0 END AS path, x, g FROM a{d} a JOIN b{d} b ON {"true" if style == "level" else "a.path = b.path"})""")
+    leaf = f"round(-{rate} * sum(g) / (count(*) + {l2}), 4) AS value, count(*) AS n"
+    return "WITH " + ",".join(steps) + f" SELECT path::BIGINT AS path, {leaf} FROM a{depth} GROUP BY path"
+
+
+def _first_tree(name: str, **options):
+    def leaves(t):
+        rows = line_prices(t)
+        model = estimator(name, "regression", n_estimators=1, **options).fit(rows)
+        placed = model.leaf_rows(rows, 0).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+        nodes = model.nodes(t.spark).where("feature < 0").withColumn("leaf", F.lit(None).cast("int"))
+        numbers = t.spark.createDataFrame(list(enumerate(model.rounds()[0][0].path)), "leaf int, path long")
+        return rounded(placed.join(F.broadcast(numbers), "leaf").join(F.broadcast(nodes.drop("leaf")), "path").select("path", "value", "n"), 4)
+
+    return leaves
+
+
+query("xgboost_leaves", _boosting_sql("depth", 1.0, 0.3, 1))(_first_tree("xgboost", max_depth=GROWTH_DEPTH))
+query("catboost_leaves", _boosting_sql("level", 3.0, 0.03, 1))(_first_tree("catboost", depth=GROWTH_DEPTH))
+# Four leaves at most two deep: always the leaf that gains most, which here is the same tree.
+query("lightgbm_leaves", _boosting_sql("depth", 0.0, 0.1, 20))(_first_tree("lightgbm", num_leaves=4, max_depth=GROWTH_DEPTH))
+
+
 def _register_training(name: str, task: str, source) -> None:
     @query(f"train_{task}_{name}")
     def train(t):
@@ -316,6 +395,40 @@ def dbscan_clusters(t):
     return dbscan(t.embeddings.select("vec_id", as_vector(t.embeddings, "embedding").alias("features")), "vec_id", EPS)
 
 
+TREE_SQL = """
+WITH RECURSIVE p AS (SELECT vec_id, embedding::DOUBLE[64] AS x FROM embeddings),
+prim(step, v, x, gap, a, b) AS (
+  SELECT 0, p.vec_id, p.x, array_distance(p.x, r.x), least(p.vec_id, r.vec_id), greatest(p.vec_id, r.vec_id)
+  FROM p, (SELECT * FROM p ORDER BY vec_id LIMIT 1) r WHERE p.vec_id <> r.vec_id
+  UNION ALL
+  SELECT step + 1, v, x, CASE WHEN nearer THEN now ELSE gap END, CASE WHEN nearer THEN least(u, v) ELSE a END, CASE WHEN nearer THEN greatest(u, v) ELSE b END
+  FROM (
+    SELECT *, (now, least(u, v), greatest(u, v)) < (gap, a, b) AS nearer FROM (
+      SELECT *, array_distance(x, ux) AS now FROM (
+        SELECT *, first_value(v) OVER o AS u, first_value(x) OVER o AS ux FROM prim WINDOW o AS (ORDER BY gap, a, b)))
+  ) WHERE v <> u
+),
+tree AS (SELECT gap, a, b FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY gap, a, b) AS r FROM prim) WHERE r = 1)
+"""
+
+
+@query("single_linkage", TREE_SQL + "SELECT round(gap, 6) AS gap, a, b FROM tree")
+def single_linkage_tree(t):
+    return rounded(single_linkage(t.embeddings.select("vec_id", as_vector(t.embeddings, "embedding").alias("features")), "vec_id"))
+
+
+@query(
+    "agglomerative",
+    TREE_SQL
+    + """, kept AS (SELECT a, b FROM (SELECT *, row_number() OVER (ORDER BY gap DESC, a DESC, b DESC) AS r FROM tree) WHERE r > 9),
+links AS (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept),
+reach(a, b) AS (SELECT vec_id, vec_id FROM p UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT a AS vec_id, min(b) AS cluster FROM reach GROUP BY 1""",
+)
+def agglomerative_clusters(t):
+    return agglomerative(t.embeddings.select("vec_id", as_vector(t.embeddings, "embedding").alias("features")), "vec_id", 10)
+
+
 @query("spectral")
 def spectral_clusters(t):
     return spectral(t.embeddings.select("vec_id", as_vector(t.embeddings, "embedding").alias("features")), "vec_id", 10)

@@ -12,6 +12,7 @@ from modelyard import settings
 from modelyard.operators.boosting import BoostedTrees
 from modelyard.operators.history import latest_per_key, newest
 from modelyard.operators.neighbours import NearestNeighbours
+from modelyard.operators.partitioning import TableClusters
 from modelyard.operators.plain import PlainModel, load_plain
 from modelyard.session import cut_lineage
 
@@ -191,6 +192,8 @@ def write_model(spark: SparkSession, model, path: str) -> None:
     extra: dict = {}
     if isinstance(model, NearestNeighbours):
         kind, extra = "neighbours", {"task": model.task, "k": model.k, "classes": model.classes}
+        if isinstance(model, TableClusters):
+            extra |= {"method": model.method, "options": model.options}
         model.rows.write.mode("overwrite").parquet(f"{path}/model")
     elif isinstance(model, BoostedTrees):
         kind = "boosted"
@@ -211,7 +214,7 @@ def read_model(spark: SparkSession, path: str):
     if about["kind"] == "plain":
         return load_plain(spark, f"{path}/model")
     if about["kind"] == "neighbours":
-        model = NearestNeighbours(about["task"], about["k"])
+        model = TableClusters(about["method"], **about["options"]) if "method" in about else NearestNeighbours(about["task"], about["k"])
         model.rows, model.classes = spark.read.parquet(f"{path}/model"), about["classes"]
         return model
     if about["kind"] == "boosted":

@@ -4,7 +4,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from modelyard.operators import clustering, explain, partitioning, search
+from modelyard.operators import clustering, explain, partitioning, search, spectrum
 from modelyard.operators.models import FACTORIES, estimator, model_names
 from modelyard.plans.pipelines import evaluate
 
@@ -201,7 +201,7 @@ def test_clustering_metrics_have_one_name_at_all_sizes(spark, monkeypatch):
 
 def test_spectral(spark):
     df = table(spark, CLASS)
-    got = partitioning.spectral(df, "key", 3).join(df.select("key", "label"), "key")
+    got = spectrum.spectral(df, "key", 3).join(df.select("key", "label"), "key")
     best = got.groupBy("cluster", "label").count().groupBy("label").agg(F.max("count").alias("n")).agg(F.sum("n")).first()[0]
     assert best > 0.8 * N
 
