@@ -6,7 +6,9 @@ differ in how they scramble equally frequent tokens. Tokens found in one documen
 in full only if it shares a prefix token under every order.
 
 Documents with the same word sequence are one before anything else. What is asked for is groups, so a pair that is already
-connected need not be compared. In each index bucket (a prefix token and its documents) some documents are pivots of a
+connected need not be compared. First every document goes to one bucket under each order, that of the prefix token which hashes lowest, and
+meets one pivot there: near copies mostly agree on that token, so this connects most of them at a comparison each. Only
+buckets of the whole index that still hold two components go on. In each such index bucket (a prefix token and its documents) some documents are pivots of a
 round: first one, then up to 4, 16 and so on, and those that stand alone first. A pivot is compared with all documents of the
 bucket that are not yet connected to it and leaves the bucket, since all its pairs are settled; a bucket whose documents are
 all connected goes. So a bucket of near copies takes one comparison per document however large it is, and no pair is lost.
@@ -24,7 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from modelyard.llm import blocks
 from modelyard.llm.common import (
@@ -33,9 +35,13 @@ from modelyard.llm.common import (
 from modelyard.llm.components import merged
 
 ORDERS = 3
+# An odd number: what is hashed to choose a bucket differs from order to order.
+# Tokens of a document that tell in which bucket a pair meets first.
+EARLY = 8
+SCRAMBLE = 0x5851F42D4C957F2D >> 2
 # A set as a bitmap of so many 64-bit words: differing bits are differing tokens.
 BIT_WORDS = 16
-SETS = "k long, key binary, n long, shared long, weight double, first array<long>, tokens binary, places binary, bits array<long>"
+SETS = "k long, key binary, n long, shared long, weight double, first array<long>, opening array<long>, tokens binary, places binary, bits array<long>"
 
 
 def sequence_key(text: str | None) -> tuple[bytes | None, int]:
@@ -111,30 +117,35 @@ def indexed_sets(texts: DataFrame, n: int, percent: int, size: int, block_bytes:
         sets = sets_of(rows)
         _, place = np.unique(np.concatenate(sets) >> shift, return_inverse=True)
         documents, start = totals[0][place], 0
-        out: dict[str, list] = {c: [] for c in ("n", "shared", "weight", "first", "tokens", "places", "bits")}
+        out: dict[str, list] = {c: [] for c in ("n", "shared", "weight", "first", "opening", "tokens", "places", "bits")}
         for tokens in sets:
             found = documents[start : start + len(tokens)]
             start += len(tokens)
             reach = prefix_size(len(tokens), percent)
             shared = int((found > 1).sum())
-            row: list = [len(tokens), shared, None, None, None, None, None]
+            row: list = [len(tokens), shared, *[None] * 6]
             # Rare tokens come first: enough tokens of its own fill the prefix under every order.
             if len(tokens) - shared < reach:
-                row[2] = float(np.log2(found).mean())
                 # Prefixes as places among the shared tokens, in ascending order.
                 rank = np.cumsum(found > 1) - 1
                 orders = [np.lexsort((mixed(tokens + np.uint64(j)), found))[:reach] for j in range(ORDERS)]
                 places = [np.sort(rank[o[found[o] > 1]]).astype(np.uint32) for o in orders]
                 common = tokens[found > 1]
-                row[3] = common[places[0]].view(np.int64)
-                row[4] = len(common).to_bytes(8, "little") + blocks.sorted_bytes(common)
-                row[5] = np.array([len(p) for p in places[1:]], np.uint32).tobytes() + np.concatenate(places[1:]).tobytes()
-                bits = np.zeros(64 * BIT_WORDS, np.uint8)
-                bits[mixed(tokens) % np.uint64(64 * BIT_WORDS)] = 1
-                row[6] = np.packbits(bits).view(np.int64)
+                prefixes = [common[p] for p in places]
+                # A partner shares a token of every prefix.
+                if all(map(len, prefixes)):
+                    row[2] = float(np.log2(found).mean())
+                    row[3] = prefixes[0].view(np.int64)
+                    # Of each prefix the token that hashes lowest: near copies mostly agree on it.
+                    row[4] = np.array([p[np.argmin(mixed(p ^ np.uint64(SCRAMBLE * (j + 1))))] for j, p in enumerate(prefixes)], np.uint64).view(np.int64)
+                    row[5] = len(common).to_bytes(8, "little") + blocks.sorted_bytes(common)
+                    row[6] = np.array([len(p) for p in places[1:]], np.uint32).tobytes() + np.concatenate(places[1:]).tobytes()
+                    bits = np.zeros(64 * BIT_WORDS, np.uint8)
+                    bits[mixed(tokens) % np.uint64(64 * BIT_WORDS)] = 1
+                    row[7] = np.packbits(bits).view(np.int64)
             for values, value in zip(out.values(), row):
                 values.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.int64())]
         own = {"k": blocks.row_numbers(block, len(sets)), "key": rows["key"].combine_chunks()}
         return pa.table(own | {c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
@@ -181,66 +192,114 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _different_buckets(index: DataFrame) -> DataFrame:
-    """The index without buckets of one document, and with one of the buckets that hold the same documents.
+    """The index without buckets of one component, and with one of the buckets that hold the same documents.
 
     Near copies share most of their prefix; the buckets of those tokens ask the same question. Buckets are told apart by
     their size and 128 bits over their documents.
     """
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("k"))).alias(f"m{seed}") for seed in range(2)]
-    buckets = index.groupBy("token").agg(F.count(F.lit(1)).alias("m"), *marks).where("m > 1")
+    ends = F.count(F.lit(1)).alias("m"), F.min("comp").alias("a"), F.max("comp").alias("b")
+    buckets = index.groupBy("token").agg(*ends, *marks).where("a <> b")
     chosen = buckets.groupBy("m", "m0", "m1").agg(F.min("token").alias("token")).select("token")
     return index.join(chosen, "token", "left_semi")
 
 
+BITS = [f"b{i}" for i in range(BIT_WORDS)]
+
+
+def _may_be_similar(percent: int):
+    """What a pair of rows `x_...` and `y_...` must meet before it is compared: different components, sizes, and bitmaps."""
+    # Two sets can share no more than either shares with all others.
+    most = F.least("x_n", "y_n", "x_shared", "y_shared")
+    both = F.col("x_n") + F.col("y_n")
+    apart = [F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITS]
+    return (
+        (F.col("x_comp") != F.col("y_comp"))
+        & (most * 100 >= (both - most) * percent)
+        & (sum(apart[1:], apart[0]) * (100 + percent) <= both * (100 - percent))
+    )
+
+
+def _sides(members: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of a pivot and a member of its bucket that may be similar.
+
+    With a column `early`, the smallest tokens that a document has in the index, a pair that shares one of those before the bucket's own
+    is left to that bucket, where it has met or will meet: near copies share most buckets, and so meet in the first only.
+    """
+    columns = ["k", "n", "shared", "comp", *BITS, *[c for c in ("early",) if c in members.columns]]
+    x, y = (rows.select("token", *[F.col(c).alias(f"{end}_{c}") for c in columns]) for rows, end in ((pivots, "x"), (members, "y")))
+    meets = (y["token"] == x["token"]) & _may_be_similar(percent)
+    if "early" in columns:
+        meets = meets & ~F.arrays_overlap(F.filter("x_early", lambda t: t < x["token"]), F.col("y_early"))
+    return y.join(x, meets).select(F.least("x_k", "y_k").alias("x"), F.greatest("x_k", "y_k").alias("y")).distinct()
+
+
+def _opening(open_sets: DataFrame, percent: int) -> DataFrame:
+    """Under each order, each set with one pivot of one bucket: that of its chosen token."""
+    bits = [F.get("bits", i).alias(b) for i, b in enumerate(BITS)]
+    chosen = F.posexplode("opening").alias("order", "token")
+    rows = open_sets.select(chosen, "k", "n", "shared", "weight", F.col("k").alias("comp"), *bits)
+    # The token of an order is a bucket of its own.
+    rows = written(rows.withColumn("token", F.xxhash64("order", "token")).drop("order"), "join-opening")
+    size = rows.count()
+    pivot = F.struct("weight", "k", "n", "shared", "comp", *BITS).alias("best")
+    tops = rows.groupBy("token").agg(F.max(pivot).alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    tops = written(few(tops.select("token", "best.*"), size), "join-pivots")
+    return written(few(_sides(rows, tops, percent), size), "join-pairs")
+
+
+def _early(index: DataFrame) -> DataFrame:
+    """`k, early`: the smallest tokens of each document in `index`."""
+    place = F.row_number().over(Window.partitionBy("k").orderBy("token"))
+    first = index.select("k", "token").withColumn("place", place).where(F.col("place") <= EARLY)
+    return written(first.groupBy("k").agg(F.collect_list("token").alias("early")), "join-early")
+
+
+def _connected(open_sets: DataFrame, labels: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """`labels` after the pairs that are similar are linked."""
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
+    compared = similar(pairs, join_small(open_sets, needed, "k", "left_semi", 2 * pairs.count()), percent)
+    return merged(labels, written(compared, "join-links"))
+
+
 def linked(sets: DataFrame, percent: int, most_rounds: int = 64) -> DataFrame:
     """`k, comp` of every set that may have a partner: the smallest key it is connected with."""
     open_sets = sets.where("first IS NOT NULL")
     labels = written(open_sets.select("k", F.col("k").alias("comp")), "join-labels")
+    # One bucket a set and order: most near copies are connected by these, at a comparison each.
+    labels = _connected(open_sets, labels, _opening(open_sets, percent), percent)
     kept = [F.col(c).cast("int").alias(c) for c in ("n", "shared")] + [F.col("weight").cast("float").alias("weight")]
-    index = open_sets.select(F.explode("first").alias("token"), "k", *kept, F.col("k").alias("comp"), F.lit(1).cast("long").alias("members"))
+    index = open_sets.join(labels, "k").select(F.explode("first").alias("token"), "k", *kept, "comp")
     index = written(index, "join-index")
     size = index.count()
-    index = _different_buckets(index)
-    bits: list[str] = []
+    left = written(few(_different_buckets(index).drop("comp"), size), "join-left")
+    size = left.count()
+    early = _early(left)
+    maps = open_sets.select("k", *[F.get("bits", i).alias(b) for i, b in enumerate(BITS)])
+    maps = written(join_small(maps, early, "k", "inner", size), "join-maps")
     width = 1
     for _ in range(most_rounds):
+        # Pivots have met all others of their buckets. What is left shrinks fast, and the sets with it.
+        sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+        named = labels.join(sizes, "comp").select("k", "comp", "members").join(maps, "k")
+        index = left.join(join_small(named, left.select("k").distinct(), "k", "left_semi", size), "k")
         index = written(few(index, size), "join-index")
-        size = index.count()
         # Lone documents first: in a bucket of connected documents they are the only open question.
-        best = F.struct(-F.col("members"), "weight", "k", "n", "shared", "comp", *bits).alias("best")
+        best = F.struct(-F.col("members"), "weight", "k", "n", "shared", "comp", *BITS, "early").alias("best")
         salt = F.pmod(F.xxhash64("k"), F.lit(width)).alias("salt")
         tops = index.groupBy("token", salt).agg(F.max(best).alias("best"), F.min("comp").alias("a"), F.max("comp").alias("b"))
         tops = written(few(tops.select("token", "best.*", "a", "b"), size), "join-pivots")
         # Buckets with one component are settled.
         alive = tops.groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("token")
-        pivots = tops.join(alive, "token", "left_semi").select(
-            "token", *[F.col(c).alias(f"x_{c}") for c in ("k", "n", "shared", "comp", *bits)]
-        )
-        members = index.select("token", *[F.col(c).alias(f"y_{c}") for c in ("k", "n", "shared", "comp", *bits)])
-        # Two sets can share no more than either shares with all others.
-        most = F.least("x_n", "y_n", "x_shared", "y_shared")
-        both = F.col("x_n") + F.col("y_n")
-        reachable = (most * 100 >= (both - most) * percent) & (F.col("x_comp") != F.col("y_comp"))
-        if bits:
-            apart = [F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in bits]
-            reachable = reachable & (sum(apart[1:], apart[0]) * (100 + percent) <= both * (100 - percent))
-        pairs = members.join(pivots, (members["token"] == pivots["token"]) & reachable)
-        pairs = pairs.select(F.least("x_k", "y_k").alias("x"), F.greatest("x_k", "y_k").alias("y")).distinct()
+        pivots = tops.join(alive, "token", "left_semi")
         # A member meets at most `width` pivots of its bucket.
-        pairs = written(few(pairs, width * size), "join-pairs")
+        pairs = written(few(_sides(index, pivots, percent), width * size), "join-pairs")
         if pairs.isEmpty() and alive.isEmpty():
             return labels
-        needed = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
-        labels = merged(labels, written(similar(pairs, join_small(open_sets, needed, "k", "left_semi", 2 * pairs.count()), percent), "join-links"))
-        # Pivots have met all others of their buckets. What is left shrinks fast, and the sets with it.
-        sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-        left = index.join(alive, "token", "left_semi").join(pivots.select("token", F.col("x_k").alias("k")), ["token", "k"], "left_anti")
-        left = left.select("token", "k", "n", "shared", "weight")
-        # From the second round on a bucket has many pivots, and bitmaps spare most comparisons.
-        bits = [f"b{i}" for i in range(BIT_WORDS)]
-        maps = open_sets.select("k", *[F.get("bits", i).alias(b) for i, b in enumerate(bits)])
-        named = labels.join(sizes, "comp").select("k", "comp", "members").join(maps, "k")
-        index = left.join(join_small(named, left.select("k").distinct(), "k", "left_semi", size), "k")
+        labels = _connected(open_sets, labels, pairs, percent)
+        left = index.join(alive, "token", "left_semi").join(pivots.select("token", "k"), ["token", "k"], "left_anti")
+        left = written(few(left.select("token", "k", "n", "shared", "weight"), size), "join-left")
+        size = left.count()
         width *= 4
     raise RuntimeError("the join did not settle")
 
