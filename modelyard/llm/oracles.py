@@ -13,7 +13,6 @@ def seeded(seed: int, *parts: str) -> str:
 
 def quality_sql(risk: float = 0.01, error: float = 0.05) -> str:
     rules = quality.RULES
-    share = risk / len(rules)
     ratios = {
         "symbol_share": ("n_symbols", "word_chars"),
         "dup_line_share": ("n_dup_lines", "n_lines"),
@@ -22,15 +21,12 @@ def quality_sql(risk: float = 0.01, error: float = 0.05) -> str:
         "upper_share": ("n_upper", "word_chars"),
     }
     value = {r: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0.0 END" for r, (a, b) in ratios.items()}
-    candidates = " UNION ALL ".join(
-        f"SELECT lang, '{r}' AS rule, {cut} AS cut, count(*) AS n, count(*) FILTER ({value[r]} > {cut}) AS k FROM good GROUP BY lang"
-        for r, cuts in rules.items()
-        for cut in cuts
-    )
+    values = " UNION ALL ".join(f"SELECT n, lang, good, {i} AS i, '{r}' AS rule, {value[r]} AS v, {rules[r][-1]} AS strictest FROM told" for i, r in enumerate(rules))
+    candidates = ", ".join(f"('{r}', {k}, {cut})" for r, cuts in rules.items() for k, cut in enumerate(cuts))
     picked = ", ".join(f"min(cut) FILTER (rule = '{r}' AND ok) AS cutoff_{r}" for r in rules)
     passed = " AND ".join(f"NOT coalesce({value[r]} > cutoff_{r}, false)" for r in rules)
     return rf"""
-    WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
+    WITH RECURSIVE w AS (SELECT doc_id, lang, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
     windows AS (
       SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win
       FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
@@ -52,18 +48,43 @@ def quality_sql(risk: float = 0.01, error: float = 0.05) -> str:
       LEFT JOIN repeats r ON r.doc_id = w.doc_id
     ),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-    good AS (
-      SELECT b.* FROM b JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(CASE WHEN quality = 1 THEN 1 ELSE 0 END) = 1) g
+    told AS (
+      SELECT b.*, g.good, row_number() OVER () AS n FROM b JOIN (
+        SELECT doc_id, min(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good FROM labels WHERE quality IS NOT NULL
+        GROUP BY doc_id HAVING min(CASE WHEN quality = 1 THEN 1 ELSE 0 END) = max(CASE WHEN quality = 1 THEN 1 ELSE 0 END)) g
       ON g.doc_id = b.doc_id WHERE NOT base_failed
     ),
-    c AS ({candidates}),
-    strata AS (SELECT greatest(1, count(DISTINCT lang)) AS s FROM good),
-    tested AS (
-      SELECT c.*, CASE WHEN k < {share} * n THEN list_sum(list_transform(range(0, k + 1), lambda i:
-        exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share}))))
-        <= {error} / (s * {len(rules)}) ELSE false END AS ok
+    vals AS ({values}),
+    kinds AS (SELECT mask, count(*) AS n FROM (SELECT n, sum(CASE WHEN v > strictest THEN CAST(2 ** i AS INTEGER) ELSE 0 END)::INTEGER AS mask FROM vals WHERE good = 0 GROUP BY n) GROUP BY mask),
+    greedy(rank, chosen, i) AS (
+      SELECT 0, 0, CAST(NULL AS INTEGER)
+      UNION ALL
+      SELECT rank + 1, chosen | CAST(2 ** r AS INTEGER), r FROM (
+        SELECT rank, chosen, r, sum(n) AS adds FROM greedy, kinds, (SELECT unnest(range({len(rules)}))::INTEGER AS r)
+        WHERE mask & chosen = 0 AND mask & CAST(2 ** r AS INTEGER) <> 0 GROUP BY rank, chosen, r
+        QUALIFY row_number() OVER (ORDER BY adds DESC, r) = 1)
+    ),
+    ranks AS (
+      SELECT DISTINCT rule, rank FROM vals JOIN greedy ON greedy.i = vals.i
+      UNION ALL
+      SELECT DISTINCT rule, i + 1 FROM vals WHERE NOT EXISTS (SELECT 1 FROM vals b WHERE b.good = 0)
+    ),
+    ranked AS (
+      SELECT vals.*, rank, min(CASE WHEN v > strictest THEN rank END) OVER (PARTITION BY n) AS first_over
+      FROM vals JOIN ranks ON ranks.rule = vals.rule WHERE good = 1
+    ),
+    c AS (
+      SELECT lang, r.rule, rank, k, cut, count(*) AS n, count(*) FILTER (v > cut OR first_over < rank) AS lost
+      FROM ranked r JOIN (VALUES {candidates}) t(rule, k, cut) ON t.rule = r.rule GROUP BY ALL
+    ),
+    strata AS (SELECT greatest(1, count(DISTINCT coalesce(lang, '') || CASE WHEN lang IS NULL THEN '-' ELSE '+' END)) AS s FROM ranked),
+    single AS (
+      SELECT c.*, CASE WHEN lost < {risk} * n THEN list_sum(list_transform(range(0, lost + 1), lambda i:
+        exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))))
+        <= {error} / s ELSE false END AS own
       FROM c CROSS JOIN strata
     ),
+    tested AS (SELECT *, bool_and(own) OVER (PARTITION BY lang ORDER BY rank, k) AS ok FROM single),
     cutoffs AS (SELECT lang, {picked} FROM tested GROUP BY lang)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_long_words, n_upper, base_failed,
       NOT base_failed AND {passed} AS kept, {", ".join(f"CAST(cutoff_{r} AS DOUBLE) AS cutoff_{r}" for r in rules)}

@@ -1,17 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Base rules are fixed. Above them, each ratio rule may reject a document whose ratio is over a cutoff, and the cutoff is
-chosen so that few good documents are lost, with a guarantee: for every stratum and rule, the candidates are tried from the most
-lenient to the strictest on the labelled good documents, and a candidate is accepted when the exact binomial test rejects
-"the rule loses more than `risk` / rules of the good documents" at the level `error` / (strata x rules). With probability
-1 - `error` over the labels, no stratum loses more than `risk` of its good documents to the accepted cutoffs. Within a
-stratum and rule the candidates form a fixed sequence (losses only grow with strictness), which needs no further
-correction; across strata and rules the correction is Bonferroni's.
+Base rules are fixed. Above them, each ratio rule may reject a document whose ratio is over a cutoff, and the cutoffs are chosen
+together so that few good documents are lost, with a guarantee. The candidates are vectors of cutoffs in one sequence from lenient to
+strict: first comes the rule whose strictest cutoff rejects most labelled bad documents, then the one that rejects most of the rest
+(ties by the order of `RULES`), until no rule rejects any more (without bad labels all rules in their order); each is tightened step by step to its strictest cutoff before the next
+one begins, and rules that add nothing are not used. The sequence depends on bad documents only, so the good ones of the holdout are untouched when it is tested: in every stratum a vector is accepted when the exact binomial
+test rejects "these cutoffs together lose more than `risk` of the good documents" at the level `error` / strata, and all before
+it were. Losses only grow along the sequence, so within a stratum no further correction is needed; across strata it is Bonferroni's.
+With probability 1 - `error` over the labels no stratum loses more than `risk` of its good documents to the accepted cutoffs.
 
 Defined results: a NULL text has no words and fails the base. A NULL stratum is a stratum of its own. A stratum without good
-labels, or with too few to certify anything, has no cutoff and only the base rules hold there. Labels that are NULL or
-contradict each other for one id do not count as good. Repeated rows are judged each for itself. An empty table gives an
-empty result.
+labels, or with fewer than ln(`error` / strata) / ln(1 - `risk`) of them (436 for four strata by default), has no cutoff and only
+the base rules hold there. Labels that are NULL or contradict each other for one id count as neither good nor bad. Repeated rows are
+judged each for itself. An empty table gives an empty result.
 """
 
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ RULES: dict[str, tuple[float, ...]] = {
 
 @dataclass(frozen=True)
 class Risk:
-    """At most `risk` of a stratum's good documents may be lost, but for a chance of `error` over all strata and rules."""
+    """At most `risk` of a stratum's good documents may be lost, but for a chance of `error` over all strata."""
 
     risk: float = 0.01
     error: float = 0.05
@@ -142,32 +143,61 @@ def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
     return F.when(k < 1, F.exp(first)).otherwise(more)
 
 
+def sequence(order: list[str]) -> list[tuple[str, float]]:
+    """The steps of the cutoff vectors: a step tightens one rule, and all rules before it are at their strictest."""
+    return [(rule, cut) for rule in order for cut in RULES[rule]]
+
+
+def useful_order(kinds: list[tuple[set[str], int]]) -> list[str]:
+    """Rules by the documents that each adds to those before it; `kinds` are the rules that reject a document, and how many are so.
+
+    Without any labelled bad document there is nothing to choose by, and all rules take part in their own order.
+    """
+    order: list[str] = [] if kinds else list(RULES)
+    while True:
+        rest = [(rules, n) for rules, n in kinds if not rules.intersection(order)]
+        adds = {rule: sum(n for rules, n in rest if rule in rules) for rule in RULES}
+        best = max(RULES, key=lambda rule: adds[rule])
+        if not adds[best]:
+            return order
+        order.append(best)
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
     """Per stratum the strictest certified cutoff of each rule (NULL: none).
 
     `measured` has `_id`, `_stratum` and the counts; `labels` has an id and a quality of 1 for good.
     """
     ratio = ratios()
-    good = labels.groupBy("_label_id").agg(F.min("_good").alias("_good"), F.count("_good").alias("_k")).where("_good = 1 AND _k > 0")
-    seen = measured.where(~F.col("base_failed")).join(good, F.col("_id") == F.col("_label_id"), "left_semi")
-    lost = [
-        F.sum((ratio[rule] > cut).cast("long")).alias(f"{rule}_{i}") for rule, cuts in RULES.items() for i, cut in enumerate(cuts)
-    ]
-    table = cut_lineage(seen.groupBy("_stratum").agg(F.count(F.lit(1)).alias("good"), *lost))
-    share = F.lit(risk.risk / len(RULES))
-    level = F.lit(risk.error / (max(1, table.count()) * len(RULES)))
-
-    def certified(rule: str, i: int) -> Column:
-        k = F.col(f"{rule}_{i}")
-        # Above the allowed share itself no test can reject; this also bounds the sum.
-        return F.when(k < share * F.col("good"), binomial_cdf(k, F.col("good"), share) <= level).otherwise(F.lit(False))
-
+    ends = F.min("_good").alias("_good"), F.max("_good").alias("_top"), F.count("_good").alias("_k")
+    told = labels.groupBy("_label_id").agg(*ends).where("_k > 0 AND _good = _top").select("_label_id", "_good")
+    seen = measured.where(~F.col("base_failed")).join(told, F.col("_id") == F.col("_label_id"))
+    # Labelled rows only, and only their counts.
+    seen = written(seen.select("_stratum", "_good", *[name for _, name in COUNTS]), "quality-labelled")
+    strictest = {rule: ratio[rule] > cuts[-1] for rule, cuts in RULES.items()}
+    # At most 2^rules rows: which rules reject a bad document at their strictest.
+    kinds = seen.where("_good = 0").groupBy(*[v.alias(r) for r, v in strictest.items()]).agg(F.count(F.lit(1)).alias("_n")).collect()
+    order = useful_order([({r for r in RULES if kind[r]}, kind["_n"]) for kind in kinds])
+    steps = sequence(order)
+    before = F.lit(False)
+    lost = []
+    for rule in order:
+        lost += [(before | (ratio[rule] > cut)).cast("long") for cut in RULES[rule]]
+        before = before | strictest[rule]
+    sums = [F.sum(v).alias(f"lost_{i}") for i, v in enumerate(lost)]
+    table = cut_lineage(seen.where("_good = 1").groupBy("_stratum").agg(F.count(F.lit(1)).alias("good"), *sums))
+    share, level = F.lit(risk.risk), F.lit(risk.error / max(1, table.count()))
+    # The losses never fall along the sequence, so the steps that pass are the first ones. Above the allowed share itself no
+    # test can reject; this also bounds the sum.
+    losses = F.array(*[F.col(f"lost_{i}") for i in range(len(steps))]).cast("array<long>")
+    passed = F.filter(losses, lambda k: F.when(k < share * F.col("good"), binomial_cdf(k, F.col("good"), share) <= level).otherwise(F.lit(False)))
+    table = table.withColumn("_steps", F.size(passed))
     picks = []
-    for rule, cuts in RULES.items():
+    for rule in RULES:
         choice = F.lit(None).cast("double")
-        # Losses grow with strictness, so the last one that passes has all before it passed.
-        for i, cut in enumerate(cuts):
-            choice = F.when(certified(rule, i), F.lit(float(cut))).otherwise(choice)
+        for i, (own, cut) in enumerate(steps):
+            if own == rule:
+                choice = F.when(F.col("_steps") > i, F.lit(float(cut))).otherwise(choice)
         picks.append(choice.alias(f"_cut_{rule}"))
     return table.select(F.col("_stratum").alias("_cut_stratum"), F.col("good").alias("_good_labels"), *picks)
 
@@ -203,13 +233,12 @@ def keep_good(
 ) -> DataFrame:
     """The documents that are kept, with all their columns.
 
-    The counts are made once for the fit and again where the whole row is, which is cheaper than to bring texts and verdicts
-    together in a shuffle.
+    The counts are made once and written beside the rows, so the fit reads narrow columns of them, and the verdict needs no shuffle of texts.
     """
-    lean = docs.select(F.col(f"`{identity}`").alias("_id"), F.col(f"`{stratum}`").alias("_stratum"), F.col(f"`{text}`").alias("_text"))
-    limits = cutoffs(with_signals(lean, "_text").drop("_text"), _labels(labels, identity, quality), risk)
     rows, names = renamed(docs)
-    at = {c: f"c{docs.columns.index(c)}" for c in (text, stratum)}
-    rows = rows.withColumn("_stratum", F.col(at[stratum]))
-    out = judged(with_signals(rows, at[text]), limits).where("kept")
+    at = {c: f"c{docs.columns.index(c)}" for c in (identity, text, stratum)}
+    rows = rows.withColumns({"_id": F.col(at[identity]), "_stratum": F.col(at[stratum])})
+    rows = written(with_signals(rows, at[text]), "quality-rows")
+    limits = cutoffs(rows.select("_id", "_stratum", "base_failed", *[name for _, name in COUNTS]), _labels(labels, identity, quality), risk)
+    out = judged(rows, limits).where("kept")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
