@@ -1,12 +1,13 @@
 """The pipeline, stage by stage, against plain versions on the smallest tables."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
 from modelyard.llm import quality
 from modelyard.llm.common import written
 from modelyard.llm.queries import table
-from tests.llm.texts import equal_texts, groups, words
+from tests.llm.texts import awkward_rows, documents, equal_texts, groups, row, sentence, words
 
 TINY = "/root/testdata/sf0.001"
 
@@ -49,3 +50,24 @@ def test_run_gives_the_rows_of_the_last_stage(spark):
     out = corpus_pipeline.run(spark, TINY)
     assert out.columns == ["doc_id", "n_tokens", "bucket", "boundary", "batch", "padding"]
     assert out.count() > 0
+
+
+def test_stages_on_awkward_rows_and_on_none(spark):
+    """NULLs, repeated ids, clashing names and long texts go through all stages; without rows nothing comes out."""
+    rng = random.Random(8)
+    texts = [sentence(rng, 90) for _ in range(4)]
+    good = [row(200 + i, t) for i, t in enumerate(texts)] + [row(300 + i, t.replace(" ", "  ")) for i, t in enumerate(texts)]
+    good += [row(None, texts[0], None, None), row(200, texts[1], "en", None)]
+    for rows, some in ((awkward_rows() + good, True), ([], False)):
+        docs = documents(spark, rows)
+        columns = docs.columns
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = written(stage(spark, docs, TINY), f"test-awkward-{k}")
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == columns
+                if k == 0 and some:
+                    # Texts of fewer than 50 words fail the base rules, NULL and empty ones among them.
+                    assert all(len(words(t)) >= 50 for _, t in pairs(docs))
+                if k == 1 and some:
+                    assert max(Counter("".join((t or "").split()) for _, t in pairs(docs)).values()) == 1
+        assert (docs.count() > 0) == some
