@@ -127,7 +127,14 @@ GROWER_NAMES = {
 
 
 def _second_order(style: str, task: str) -> Callable:
-    return lambda p: SecondOrderBoosting(task, style, **{GROWER_NAMES.get(name, name): value for name, value in p.items()})
+    def build(p: dict):
+        options = {GROWER_NAMES.get(name, name): value for name, value in p.items()}
+        if style == "level":
+            # Slow steps for many rounds, larger ones for few.
+            options.setdefault("learning_rate", min(0.5, 3.0 / options.get("n_estimators", 100)))
+        return SecondOrderBoosting(task, style, **options)
+
+    return build
 
 
 # First-order boosting: Spark's trees on the gradient.

@@ -291,7 +291,7 @@ def _first_tree(name: str, **options):
 
 
 query("xgboost_leaves", _boosting_sql("depth", 1.0, 0.3, 1))(_first_tree("xgboost", max_depth=GROWTH_DEPTH))
-query("catboost_leaves", _boosting_sql("level", 3.0, 0.03, 1))(_first_tree("catboost", depth=GROWTH_DEPTH))
+query("catboost_leaves", _boosting_sql("level", 3.0, 0.03, 1))(_first_tree("catboost", depth=GROWTH_DEPTH, learning_rate=0.03))
 # Four leaves at most two deep: always the leaf that gains most, which here is the same tree.
 query("lightgbm_leaves", _boosting_sql("depth", 0.0, 0.1, 20))(_first_tree("lightgbm", num_leaves=4, max_depth=GROWTH_DEPTH))
 
