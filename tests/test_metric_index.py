@@ -194,3 +194,30 @@ def test_eigenvalues_of_a_matrix_smaller_than_the_block(spark):
     rows = [(i, j, float(dense[i, j])) for i in range(3) for j in range(3)]
     values, _ = spectrum.top_eigenvectors(spark.createDataFrame(rows, "a long, b long, weight double"), spark.range(3).toDF("key"), 2)
     assert np.abs(values - np.linalg.eigvalsh(dense)[::-1][:2]).max() < 1e-9
+
+
+def test_a_row_is_shipped_once_per_block(spark):
+    """Rows without structure want every ring; a tile holds many rings, and no row comes to more tiles than there are blocks."""
+    x = np.random.default_rng(5).normal(size=(600, 40))
+    df = frame(spark, x)
+    index = metric_index.build(df, 10, 50)
+    assert len(index.rings) > 50
+    rings = len(index.rings)
+    every = lambda features, _: np.ones((len(features), rings), bool)
+    measured = lambda a, b, masks: pd.DataFrame({"a": [len(a)], "b": [len(b)], "m": [int(masks(a)[:, b["ring"]].sum())]})
+    found = metric_index.tiles(df.select("key", "features"), index, every, measured, "a long, b long, m long", 50).collect()
+    assert sum(r["a"] * r["b"] for r in found) == sum(r["m"] for r in found) == 600 * 600
+    assert len(found) < 12 * 12 and max(max(r["a"], r["b"]) for r in found) <= 200
+
+
+def test_a_screen_loses_no_pair():
+    for scale in (1e-9, 1.0, 1e12):
+        x, y = RNG.normal(size=(80, 6)) * scale + 3, RNG.normal(size=(90, 6)) * scale + 3
+        y[:20] = x[:20]
+        gaps, rows = distances(x, y), np.arange(80)
+        screen = metric_index.Screen(x, y)
+        parts = screen.parts(rows, 0, 90)
+        for limit in (0.0, float(np.median(gaps)), float(gaps[3, 40])):
+            squared = np.full(80, limit * limit)
+            assert (parts <= screen.above(rows, squared))[gaps <= limit].all()
+            assert not (parts <= screen.below(rows, squared))[gaps > limit].any()
