@@ -169,3 +169,18 @@ def test_ordered_target_statistics_see_earlier_rows_only(spark):
     for i, c, _ in rows:
         before = [y for j, d, y in rows if d == c and order[j] < order[i] and y is not None]
         assert abs(got[i] - (sum(before) + 2.0 * mean) / (len(before) + 2.0)) < 1e-12
+
+
+def test_batches_are_packed_once(spark):
+    """The passes read one row per batch, with the numbers of all its rows."""
+    from modelyard.operators.grower import packed, unpacked
+
+    rows = spark.range(1000, numPartitions=2).selectExpr("array(double(id), -id / 7) AS features", "double(id % 3) AS label", "array(0.5D) AS margin")
+    edges = [np.array([10.0, 500.0]), np.array([-50.0])]
+    made = packed(rows, edges).toPandas()
+    parts = list(unpacked([made]))
+    assert len(made) == 2 and made["n"].sum() == 1000
+    x = np.vstack([p["x"] for p in parts])
+    assert sorted(x[:, 0]) == list(range(1000)) and np.allclose(x[:, 1], -x[:, 0] / 7)
+    assert (np.concatenate([p["label"] for p in parts]) == x[:, 0] % 3).all() and (np.vstack([p["margin"] for p in parts]) == 0.5).all()
+    assert (np.hstack([p["bins"] for p in parts]) == [np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)]).all()
