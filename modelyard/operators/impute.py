@@ -2,6 +2,8 @@
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -214,16 +216,18 @@ def _bayesian_ridge(n: float, s: np.ndarray, c: np.ndarray, others: list[int], j
     return beta, float(mean[j] - mean[others] @ beta)
 
 
-# Cells of a gap pattern, and patterns that have boxes of their own; what is rarer shares boxes.
-BOX_CELLS, PATTERNS = 256, 255
+# Boxes of all views together, gap patterns that are told apart, and how often a donor may be copied into views of its own patterns.
+BOXES, PATTERNS, COPIES = 4096, 255, 64
+# Donors that the cuts of the boxes are taken from.
+SAMPLE_ROWS = 32_768
 
 
 @dataclass(frozen=True)
 class Boxes:
-    """Per box its rows, each column's rows with a value, least and largest value; in an `exact` box all rows have the same gaps."""
+    """The boxes of a view: number, rows, least and largest value of each column; in an `exact` box all rows have the same gaps."""
 
+    numbers: np.ndarray
     rows: np.ndarray
-    filled: np.ndarray
     low: np.ndarray
     high: np.ndarray
     exact: np.ndarray
@@ -231,11 +235,13 @@ class Boxes:
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each row and box the least and the largest distance that a row of the box can have."""
         p = x.shape[1]
+        used = np.flatnonzero(~np.isnan(self.low).all(axis=0))
+        low, high = self.low[:, used], self.high[:, used]
         near, far = np.empty((len(x), len(self.rows))), np.empty((len(x), len(self.rows)))
-        for start in range(0, len(x), step := max(1, 2_000_000 // max(1, self.low.size))):
-            own = x[start : start + step, None, :]
-            inside = np.maximum(np.maximum(self.low - own, own - self.high), 0.0) ** 2
-            across = np.maximum(np.abs(own - self.low), np.abs(own - self.high)) ** 2
+        for start in range(0, len(x), step := max(1, 2_000_000 // max(1, low.size))):
+            own = x[start : start + step, None, used]
+            inside = np.maximum(np.maximum(low - own, own - high), 0.0) ** 2
+            across = np.maximum(np.abs(own - low), np.abs(own - high)) ** 2
             shared = ~np.isnan(inside)
             width = shared.sum(axis=2)
             scale = p / np.maximum(width, 1)
@@ -248,52 +254,115 @@ class Boxes:
         return near, far
 
     def home(self, x: np.ndarray, k: int) -> np.ndarray:
-        """Boxes that surely hold `k` comparable rows near each row, for each column that it lacks."""
+        """Boxes that surely hold `k` comparable rows near each row."""
         far = self.bounds(x)[1]
-        order = np.argsort(far, axis=1, kind="stable")
-        mask = np.zeros(far.shape, bool)
-        for c in range(x.shape[1]):
-            rows = np.flatnonzero(np.isnan(x[:, c]))
-            able = np.where(np.isfinite(far[rows]), self.filled[:, c], 0)
-            able = np.take_along_axis(able, order[rows], axis=1)
-            wanted = (np.cumsum(able, axis=1) - able < k) & (able > 0)
-            row, place = np.nonzero(wanted)
-            mask[rows[row], order[rows[row], place]] = True
+        mask, left = np.zeros(far.shape, bool), np.arange(len(x))
+        # A few boxes nearly always do.
+        for few in (min(16, far.shape[1]), far.shape[1]):
+            own = far[left]
+            order = np.argpartition(own, few - 1, axis=1)[:, :few]
+            order = np.take_along_axis(order, np.argsort(np.take_along_axis(own, order, axis=1), axis=1, kind="stable"), axis=1)
+            able = np.where(np.isfinite(np.take_along_axis(own, order, axis=1)), self.rows[order], 0)
+            total = np.cumsum(able, axis=1)
+            row, place = np.nonzero((total - able < k) & (able > 0))
+            mask[left[row], order[row, place]] = True
+            left = left[total[:, -1] < k]
+            if not len(left):
+                break
         return mask
 
     def within(self, x: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """Boxes that can hold a row as near as `reach` (rows x columns) that has a column which the row lacks."""
+        """Boxes that can hold a comparable row as near as `reach`."""
         near = self.bounds(x)[0]
-        mask = np.zeros(near.shape, bool)
-        for c in range(x.shape[1]):
-            lacking = np.isnan(x[:, c])[:, None]
-            mask |= lacking & (self.filled[:, c] > 0) & np.isfinite(near) & (near <= reach[:, c : c + 1])
-        return mask
-
-
-def _boxes(rows: DataFrame, p: int, means: list[float], cell_rows: int) -> tuple[DataFrame, Boxes]:
-    """`rows` (key, x) with the number of their box (`ring`), and the boxes: near rows with the same gaps."""
-    fills = F.array(*[F.lit(m) for m in means])
-    whole = F.zip_with("x", fills, lambda v, m: F.coalesce(v, m))
-    gaps = F.array_join(F.transform("x", lambda v: F.when(v.isNull(), "0").otherwise("1")), "")
-    index = metric_index.build(rows.select("key", "x", whole.alias("features"), gaps.alias("gaps")), cell_rows, 1 << 62, BOX_CELLS)
-    often = index.rows.groupBy("gaps").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gaps").limit(PATTERNS)
-    named = index.rows.join(F.broadcast(often.select("gaps", F.lit(True).alias("exact"))), "gaps", "left")
-    named = cut_lineage(named.select("key", "x", F.col("ring").alias("cell"), F.when(F.col("exact"), F.col("gaps")).alias("pattern")))
-    parts = [f(F.get("x", i)).alias(f"{n}{i}") for n, f in (("c", F.count), ("l", F.min), ("h", F.max)) for i in range(p)]
-    # At most BOX_CELLS x (PATTERNS + 1) rows.
-    known = named.groupBy("cell", "pattern").agg(F.count(F.lit(1)).alias("n"), *parts).toPandas()
-    known["ring"] = np.arange(len(known), dtype=np.int32)
-    columns = [known[[f"{n}{i}" for i in range(p)]].to_numpy(dtype=float) for n in "clh"]
-    boxes = Boxes(known["n"].to_numpy(), columns[0], columns[1], columns[2], known["pattern"].notna().to_numpy())
-    pairs = list(zip(known["cell"].tolist(), known["pattern"].where(known["pattern"].notna(), None).tolist(), known["ring"].tolist()))
-    numbers = rows.sparkSession.createDataFrame(pairs, "b_cell int, b_pattern string, ring int")
-    same = (F.col("cell") == F.col("b_cell")) & F.col("pattern").eqNullSafe(F.col("b_pattern"))
-    return named.join(F.broadcast(numbers), same).select("key", "x", "ring"), boxes
-
-
-def _dense(block: pd.DataFrame, p: int) -> np.ndarray:
-    return np.array([[np.nan if v is None else v for v in r] for r in block["x"]], dtype=float).reshape(len(block), p)
+        return np.isfinite(near) & (near <= reach[:, None])
+
+
+def _tree(x: np.ndarray, leaves: int, first: int) -> tuple:
+    """Cuts (column, value, below, above) of the widest column in halves, down to at most `leaves` numbered boxes, and the next number."""
+    spread = x.max(axis=0) - x.min(axis=0) if len(x) and leaves > 1 else np.zeros(1)
+    c = int(np.argmax(spread))
+    if not spread[c] > 0:
+        return first, first + 1
+    values = np.sort(x[:, c])
+    cut = values[(len(values) - 1) // 2]
+    if cut == values[-1]:
+        cut = values[np.searchsorted(values, cut) - 1]
+    below = x[:, c] <= cut
+    share = min(leaves - 1, max(1, round(leaves * below.mean())))
+    low, number = _tree(x[below], share, first)
+    high, number = _tree(x[~below], leaves - share, number)
+    return (c, cut, low, high), number
+
+
+def _drop(tree, x: np.ndarray, rows: np.ndarray, out: np.ndarray) -> None:
+    """The box of each of the `rows` of x, into `out`."""
+    if not isinstance(tree, tuple):
+        out[rows] = tree
+    elif len(rows):
+        c, cut, low, high = tree
+        below = x[rows, c] <= cut
+        _drop(low, x, rows[below], out)
+        _drop(high, x, rows[~below], out)
+
+
+def _boxes(donors: DataFrame, p: int, means: list[float], cell_rows: int) -> tuple[DataFrame, dict[int, Boxes]]:
+    """`donors` with the number of their box (`ring`), and the boxes of each view: near rows with the same gaps."""
+    gaps = F.array_join(F.transform("x", lambda v: F.when(F.isnan(v), "0").otherwise("1")), "")
+    donors = donors.withColumn("gaps", gaps)
+    # Views are no more than COPIES and the columns.
+    totals = {r["view"]: r["n"] for r in donors.groupBy("view").agg(F.count(F.lit(1)).alias("n")).collect()}
+    often = donors.groupBy("view", "gaps").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "view", "gaps").limit(PATTERNS).collect()
+    sizes = {(r["view"], r["gaps"]): r["n"] for r in often}
+    rest = {view: n - sum(m for (v, _), m in sizes.items() if v == view) for view, n in totals.items()}
+    sizes |= {(view, None): n for view, n in rest.items() if n}
+    lean = donors.select("view", "gaps", "x", F.xxhash64("view", "x").alias("h")).orderBy("h").limit(SAMPLE_ROWS).toPandas()
+    pooled = lambda batch: [(v, g) if (v, g) in sizes else (v, None) for v, g in zip(batch["view"], batch["gaps"])]
+    whole = lambda batch: np.where(np.isnan(x := metric_index.stacked(batch["x"]).reshape(len(batch), p)), means, x)
+    places, sample = pd.Series(pooled(lean), dtype=object), whole(lean)
+    trees, group_of, number = {}, [], 0
+    for group, n in sizes.items():
+        leaves = ceil(n / max(cell_rows, sum(totals.values()) / BOXES))
+        trees[group], after = _tree(sample[[g == group for g in places]], leaves, number)
+        group_of += [group] * (after - number)
+        number = after
+
+    def place(batches):
+        for batch in batches:
+            if len(batch):
+                x, ring = whole(batch), np.zeros(len(batch), np.int32)
+                named = pd.Series(pooled(batch), dtype=object)
+                for group, rows in named.groupby(named).indices.items() if named.nunique() > 1 else [(named[0], np.arange(len(batch)))]:
+                    _drop(trees[group], x, rows, ring)
+                yield batch.drop(columns="gaps").assign(ring=ring)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in donors.drop("gaps").schema.fields)
+    placed = cut_lineage(donors.mapInPandas(place, f"{schema}, ring int"))
+    cell = lambda i: F.when(~F.isnan(F.get("x", i)), F.get("x", i))
+    parts = [f(cell(i)).alias(f"{n}{i}") for n, f in (("l", F.min), ("h", F.max)) for i in range(p)]
+    # At most BOXES, and one more for each gap pattern and view.
+    known = placed.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), *parts).orderBy("ring").toPandas()
+    views = {}
+    for view in totals:
+        own = known[[group_of[r][0] == view for r in known["ring"]]]
+        low, high = (own[[f"{n}{i}" for i in range(p)]].to_numpy(dtype=float) for n in "lh")
+        exact = np.array([group_of[r][1] is not None for r in own["ring"]])
+        views[view] = Boxes(own["ring"].to_numpy(), own["n"].to_numpy(), low, high, exact)
+    return placed, views
+
+
+def _views(counts: list, p: int) -> dict[str | None, dict[int, int]]:
+    """Per gap pattern of looking rows the view of each column that they lack; None stands for all patterns without views of their own."""
+    views: dict[str | None, dict[int, int]] = {}
+    number = 0
+    for row in counts[:PATTERNS]:
+        lacking = [c for c in range(p) if row["gaps"][c] == "0"]
+        if 0 < len(lacking) < p and number + len(lacking) <= COPIES:
+            views[row["gaps"]] = {c: number + i for i, c in enumerate(lacking)}
+            number += len(lacking)
+    rare = [row["gaps"] for row in counts[:PATTERNS] if row["gaps"] not in views and "1" in row["gaps"]]
+    lacked = range(p) if len(counts) > PATTERNS else [c for c in range(p) if any(g[c] == "0" for g in rare)]
+    views[None] = {c: number + i for i, c in enumerate(lacked)}
+    return views
 
 
 def knn_impute(
@@ -301,70 +370,118 @@ def knn_impute(
 ) -> DataFrame:
     """Fill a gap with the mean of the k nearest rows that have the value.
 
-    The distance uses the cells both rows have, scaled up to the full width. Rows lie in boxes of near rows with the same gaps, so a box's
-    bounds give the least distance of any of its rows. Only rows with gaps look for donors: first in boxes that surely hold k, then in
-    all others that can hold one as near as the k-th of those. NaN is a gap; a gap without any donor takes the column's mean.
+    The distance uses the cells both rows have, scaled up to the full width. Rows with equal cells look for donors once. Each frequent gap
+    pattern has a view of the donors for each column that it lacks: their cells in the columns that the pattern has, and of equal ones
+    only the first k by key, as no other can be among the nearest k. What is rarer shares a view with all cells. In a view rows
+    lie in boxes of near rows with the same gaps, so a box's bounds give the least distance of any of its rows. A row meets first boxes
+    that surely hold k donors, then all others that can hold one as near as the k-th of those. NaN is a gap; a gap without any donor
+    takes the column's mean. Rows of the same key share what they find; a donor without a key comes last among equally near ones.
     """
     columns = list(columns)
     p = len(columns)
     cells = F.array(*[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in columns])
-    rows = cut_lineage(df.select(F.col(key).alias("key"), cells.alias("x")))
+    nan = F.lit(float("nan"))
+    marked = F.transform(cells, lambda v: F.coalesce(v, nan))
+    gaps = F.array_join(F.transform(cells, lambda v: F.when(v.isNull(), "0").otherwise("1")), "")
+    rows = cut_lineage(df.select(F.col(key).alias("key"), marked.alias("x"), gaps.alias("gaps")))
     means = fit_simple(df, columns, "mean")
-    placed, boxes = _boxes(rows, p, [0.0 if means[c] is None else float(means[c]) for c in columns], cell_rows)
-    marked = F.transform("x", lambda v: F.coalesce(v, F.lit(float("nan"))))
-    broken = rows.where(F.exists("x", lambda v: v.isNull())).select("key", marked.alias("features"))
+    broken = rows.where(F.contains("gaps", F.lit("0")) & F.contains("gaps", F.lit("1")))
+    counts = rows.where(F.contains("gaps", F.lit("0"))).groupBy("gaps").agg(F.count(F.lit(1)).alias("n"))
+    # One more than are told apart shows whether there are others.
+    views = _views(counts.orderBy(F.desc("n"), "gaps").limit(PATTERNS + 1).collect(), p)
     kind = df.schema[key].dataType.simpleString()
-    names = ["key", "col", "gap", "donor", "value"]
+
+    def struct(view: int, c: int, pattern: str | None):
+        shown = [F.get("x", i) if pattern is None or pattern[i] == "1" else nan for i in range(p)]
+        return F.struct(F.lit(view).alias("view"), F.get("x", c).alias("value"), F.array(*shown).alias("seen"))
+
+    seats = [struct(view, c, pattern) for pattern, own in views.items() for c, view in own.items()]
+    if not seats:
+        return df.withColumns({c: F.coalesce(cells[i], F.lit(means[c])) for i, c in enumerate(columns)})
+    least = rows.agg(F.min("key")).first()[0]
+    offered = rows.where(~F.exists("x", lambda v: F.abs(v) == float("inf"))).select("key", F.inline(F.array(*seats)))
+    offered = offered.where(~F.isnan("value") & F.exists("seen", lambda v: ~F.isnan(v)))
+    # A key without a gap keeps its type in Python; `keyless` says where there was one.
+    keyed = F.coalesce("key", F.lit(least).cast(kind)).alias("key")
+    offered = offered.select("view", F.col("seen").alias("x"), keyed, F.col("key").isNull().alias("keyless"), "value")
+    donors = cut_lineage(metric_index.best(offered, ["view", "x"], ["keyless", "key", "value"], k))
+    placed, boxes = _boxes(donors, p, [0.0 if means[c] is None else float(means[c]) for c in columns], cell_rows)
+
+    def wanted(pattern: str | None):
+        return F.array(*[F.struct(F.lit(c).alias("col"), F.lit(view).alias("view")) for c, view in views[pattern].items()])
+
+    def asking() -> DataFrame:
+        different = broken.select("gaps", "x").distinct()
+        named = [pattern for pattern in views if pattern is not None]
+        parts = [different.where(F.col("gaps") == pattern).select("x", F.inline(wanted(pattern))) for pattern in named]
+        if views[None]:
+            shared = different.where(~F.col("gaps").isin(named)) if named else different
+            parts.append(shared.select("x", F.inline(wanted(None))).where(F.isnan(F.get("x", F.col("col")))))
+        return reduce(DataFrame.unionByName, parts)
+
+    asked = cut_lineage(asking().withColumn("key", F.monotonically_increasing_id()))
+    names = ["key", "gap", "donor", "keyless", "value"]
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            b = b.iloc[np.argsort(b["key"].to_numpy(), kind="stable")]
-            x, y = np.stack(a["features"].to_numpy()), _dense(b, p)
-            keys, donors = a["key"].to_numpy(), b["key"].to_numpy()
-            for start in range(0, len(x), step := max(1, 2_000_000 // y.size)):
+            b = b.sort_values(["keyless", "key", "value"], kind="stable")
+            x, y = np.stack(a["features"].to_numpy()), metric_index.stacked(b["x"])
+            used = np.flatnonzero(~np.isnan(y).all(axis=0))
+            keys, rest = a["key"].to_numpy(), [b[c].to_numpy() for c in ("key", "keyless", "value")]
+            for start in range(0, len(x), step := max(1, 1_000_000 // len(y))):
                 own = x[start : start + step]
-                square = (y[None, :, :] - own[:, None, :]) ** 2
-                shared = ~np.isnan(square)
-                width = shared.sum(axis=2)
+                total, width = np.zeros((len(own), len(y))), np.zeros((len(own), len(y)), np.int32)
+                for c in used:
+                    square = (y[None, :, c] - own[:, None, c]) ** 2
+                    shared = ~np.isnan(square)
+                    total += np.where(shared, square, 0.0)
+                    width += shared
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gaps = np.where(width > 0, np.sqrt(np.where(shared, square, 0.0).sum(axis=2) * p / width), np.inf)
-                for c in range(p):
-                    lacking, able = np.flatnonzero(np.isnan(own[:, c])), np.flatnonzero(~np.isnan(y[:, c]))
-                    row, donor = first_k(gaps[np.ix_(lacking, able)], k)
-                    row, donor = lacking[row], able[donor]
-                    found = np.isfinite(gaps[row, donor])
-                    row, donor = row[found], donor[found]
-                    out.append(pd.DataFrame(dict(zip(names, (keys[start + row], c, gaps[row, donor], donors[donor], y[donor, c])))))
+                    gaps = np.where(width > 0, np.sqrt(total * p / width), np.inf)
+                row, donor = first_k(gaps, k)
+                found = np.isfinite(gaps[row, donor])
+                row, donor = row[found], donor[found]
+                out.append(pd.DataFrame(dict(zip(names, (keys[start + row], gaps[row, donor], *[v[donor] for v in rest])))))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
 
+    order = ["gap", "keyless", "donor", "value"]
+
     def near(visitors: DataFrame) -> DataFrame:
-        schema = f"key {kind}, col int, gap double, donor {kind}, value double"
+        schema = f"key long, gap double, donor {kind}, keyless boolean, value double"
         found = metric_index.meet(visitors, placed, nearest, schema, block_rows)
-        return cut_lineage(metric_index.best(found, ["key", "col"], ["gap", "donor"], k))
-
-    def later(x: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
-        reach = np.full(x.shape, np.inf)
-        for i, row in enumerate(_pairs(batch["reach"])):
-            for c, gap in row:
-                reach[i, c] = gap
-        return boxes.within(x, reach) & ~boxes.home(x, k)
-
-    first = near(metric_index.visits(broken, len(boxes.rows), lambda x, _: boxes.home(x, k)))
-    # At most one entry per column.
-    reach = first.groupBy("key", "col").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    reach = reach.groupBy("key").agg(F.collect_list(F.array(F.col("col").cast("double"), "gap")).alias("reach"))
-    second = near(metric_index.visits(broken.join(reach, "key", "left"), len(boxes.rows), later))
-    best = metric_index.best(first.unionByName(second), ["key", "col"], ["gap", "donor"], k)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("gap", "donor", "value"))), lambda d: d["value"])
+        return cut_lineage(metric_index.best(found, ["key"], order, k))
+
+    def visits(queries: DataFrame, later: bool) -> DataFrame:
+        """Each row with the boxes of its view that it wants."""
+
+        def run(batches):
+            for batch in batches:
+                for view, rows in batch.groupby("view") if len(batch) else ():
+                    own = boxes.get(view)
+                    for piece in metric_index.pieces(rows, len(own.rows)) if own else ():
+                        x = metric_index.stacked(piece["features"])
+                        mask = own.home(x, k)
+                        if later:
+                            mask = own.within(x, piece["reach"].fillna(np.inf).to_numpy(dtype=float)) & ~mask
+                        row, box = np.nonzero(mask)
+                        yield piece.iloc[row][["key", "features"]].assign(ring=own.numbers[box].astype(np.int32))
+
+        return queries.mapInPandas(run, "key long, features array<double>, ring int")
+
+    looking = asked.select("key", F.col("x").alias("features"), "view")
+    first = near(visits(looking, False))
+    reach = first.groupBy("key").agg(F.max("gap").alias("reach"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).drop("n")
+    second = near(visits(looking.join(reach, "key", "left"), True))
+    answers = metric_index.best(first.unionByName(second), ["key"], order, k)
+    answers = answers.groupBy("key").agg(F.collect_list(F.struct(*order)).alias("near")).join(asked.select("key", "x", "col"), "key")
+    # Rows of one key share their nearest.
+    own = broken.where(F.col("key").isNotNull()).select("key", "x").join(answers.select("x", "col", "near"), "x")
+    best = metric_index.best(own.select("key", "col", F.inline("near")), ["key", "col"], order, k)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda d: d["value"])
     filled = best.groupBy("key", "col").agg(ordered.alias("near"))
     filled = filled.select("key", "col", (F.aggregate("near", F.lit(0.0), lambda s, d: s + d) / F.size("near")).alias("v"))
     maps = filled.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("col", "v"))).alias("_fill"))
     joined = df.join(maps.withColumnRenamed("key", key), key, "left")
     filled_in = {c: F.coalesce(cells[i], F.try_element_at("_fill", F.lit(i)), F.lit(means[c])) for i, c in enumerate(columns)}
     return joined.withColumns(filled_in).drop("_fill")
-
-
-def _pairs(reach: pd.Series) -> list[list[tuple[int, float]]]:
-    """(column, gap) of each row, from what came as arrays of two numbers; nothing where there is none."""
-    return [[] if row is None or isinstance(row, float) else [(int(c), float(gap)) for c, gap in row] for row in reach]

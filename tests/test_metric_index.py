@@ -109,6 +109,40 @@ def test_knn_imputation_of_many_patterns(spark, cell_rows, monkeypatch):
             assert abs(got[i][c] - want) < 1e-12
 
 
+def test_pairs_of_knn_imputation_grow_with_the_rows(spark, monkeypatch):
+    """Few different values in one column, only different ones in the other: neither pattern meets a share of the table."""
+    met, meet = [], metric_index.meet
+
+    def counted(visitors, rows, *rest):
+        visitors = partitioning.cut_lineage(visitors)
+        pairs = visitors.groupBy("ring").count().join(rows.groupBy("ring").agg(F.count(F.lit(1)).alias("n")), "ring")
+        met.append(pairs.agg(F.sum(F.col("count") * F.col("n"))).first()[0] or 0)
+        return meet(visitors, rows, *rest)
+
+    monkeypatch.setattr(metric_index, "meet", counted)
+    totals = []
+    for n in (3000, 12_000):
+        a = F.when(F.col("id") % 9 != 0, F.pmod(F.xxhash64("id"), F.lit(10)).cast("double"))
+        b = F.when(F.col("id") % 7 != 0, F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_003)) / 1_000_003)
+        df = partitioning.cut_lineage(spark.range(n, numPartitions=4).select("id", a.alias("a"), b.alias("b")))
+        met.clear()
+        assert impute.knn_impute(df, ["a", "b"], "id", cell_rows=20).where("a IS NULL OR b IS NULL").count() == 0
+        totals.append(sum(met))
+    assert totals[1] < 7 * totals[0] and totals[1] < 100 * n
+
+
+def test_knn_imputation_of_repeated_and_missing_keys(spark):
+    """Rows of a key share what they find, donors without a key come last of equally near ones, rows without one take the mean."""
+    rows = [(None, 1.0, 50.0), (7, 1.0, 10.0), (7, 1.0, 10.0), (3, 1.0, 30.0), (9, 4.0, 90.0), (1, 1.0, None), (2, 4.0, None), (2, 1.0, None), (None, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").repartition(3)
+    found = sorted((r["id"] or 0, r["a"], r["b"]) for r in impute.knn_impute(df, ["a", "b"], "id", 2).collect())
+    filled = [(0, 1.0, 38.0), (1, 1.0, 20.0), (2, 1.0, 20.0), (2, 4.0, 20.0)]
+    assert found == sorted([(key or 0, a, b) for key, a, b in rows if b is not None] + filled)
+    words = df.withColumn("id", F.col("id").cast("string"))
+    found = {(r["id"], r["a"], r["b"]) for r in impute.knn_impute(words, ["a", "b"], "id", 4).collect()}
+    assert ("1", 1.0, 25.0) in found
+
+
 @pytest.mark.parametrize("eps", [0.0, 0.3, 1.0])
 def test_density_clusters_of_uneven_rows(spark, eps):
     x = uneven(150)
