@@ -69,9 +69,10 @@ def sampled_shapley(
 ) -> DataFrame:
     """(key, feature, value) for all given rows, or for `sample_rows` of them, any model.
 
-    Every (row, permutation) switches from a background row to the row one feature at a time; all mixtures are scored
-    in one `transform`, and the change at each step belongs to the feature switched. Background rows
-    come from `sample_rows` rows drawn by hash, or from `BACKGROUND_ROWS` where all rows are explained.
+    Every (row, permutation) switches from a background row to the row one feature at a time, and the change at each step belongs to
+    the feature switched. The row itself is scored once and the background rows once for all; the mixtures between are scored in one
+    `transform` and meet again by key. Background rows come from `sample_rows` rows drawn by hash, or from `BACKGROUND_ROWS` where all
+    rows are explained.
     """
     p = len(names)
     rows = df.select(F.col(key).alias("key"), as_array(df, "features").alias("x"))
@@ -83,43 +84,43 @@ def sampled_shapley(
     for j in range(permutations):
         order = list(range(p))
         rng.shuffle(order)
-        place = [order.index(i) for i in range(p)]
-        plans.append((j, place, [float(v) for v in background[rng.randrange(len(background))]]))
-    lists = F.array(
+        plans.append((j, order, [float(v) for v in background[rng.randrange(len(background))]]))
+    if output is None:
+        output = lambda s: vector_to_array("probability")[1] if "probability" in s.columns else F.col("prediction")
+
+    def scored(mixed: DataFrame, name: str) -> DataFrame:
+        """`mixed` (x and others) with the model's output for x under `name`."""
+        found = model.transform(mixed.withColumn("features", array_to_vector("x")))
+        return found.select(*mixed.columns, output(found).cast("double").alias(name))
+
+    bases = df.sparkSession.createDataFrame([(j, base) for j, _, base in plans], "key int, x array<double>")
+    starts = {r["key"]: r["start"] for r in scored(bases, "start").collect()}
+    # At step s the first s features of the order are the row's; `gains` was switched last, `loses` is switched next.
+    steps = F.array(
         *[
             F.struct(
-                F.lit(j).alias("j"),
-                F.array(*[F.lit(v) for v in place]).alias("place"),
+                F.lit(order[s - 1]).alias("gains"),
+                F.lit(order[s] if s < p else -1).alias("loses"),
+                F.lit(starts[j] if s == 1 else 0.0).cast("double").alias("start"),
+                F.lit(s == p - 1).alias("last"),
+                F.array(*[F.lit(order.index(i) < s) for i in range(p)]).alias("own"),
                 F.array(*[F.lit(v) for v in base]).alias("base"),
             )
-            for j, place, base in plans
+            for j, order, base in plans
+            for s in range(1, max(2, p))
         ]
     )
-    mixed = (
-        sample.select("key", "x", F.inline(lists))
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(p))))
-        .withColumn(
-            "mix",
-            F.transform("x", lambda v, i: F.when(F.get("place", i) < F.col("step"), v).otherwise(F.get("base", i))),
-        )
-        .select("key", "j", "place", "step", array_to_vector("mix").alias("features"))
-    )
-    scored = model.transform(mixed)
-    if output is None:
-        output = lambda s: vector_to_array("probability")[1] if "probability" in s.columns else F.col("prediction")
-    value = output(scored)
-    # The score at step s counts for the feature switched at s and against the one switched next.
-    cells = [
-        F.struct(
-            F.lit(n).alias("feature"),
-            F.when(F.get("place", F.lit(i)) == F.col("step") - 1, value)
-            .when(F.get("place", F.lit(i)) == F.col("step"), -value)
-            .alias("part"),
-        )
-        for i, n in enumerate(names)
+    mix = F.array(*[F.when(F.get("own", F.lit(i)), F.get("x", F.lit(i))).otherwise(F.get("base", F.lit(i))) for i in range(p)])
+    mixed = scored(sample, "whole").select("key", "x", "whole", F.inline(steps))
+    mixed = scored(mixed.select("key", "whole", "gains", "loses", "start", "last", mix.alias("x")), "score")
+    parts = [
+        F.when(F.col("gains") == i, F.col("score") - F.col("start"))
+        .when(F.col("loses") == i, F.when(F.col("last"), F.col("whole")).otherwise(0.0) - F.col("score"))
+        for i in range(p)
     ]
-    parts = scored.select("key", F.inline(F.array(*cells))).where("part IS NOT NULL")
-    return parts.groupBy("key", "feature").agg((F.sum("part") / permutations).alias("value")).withColumnRenamed("key", key)
+    sums = mixed.groupBy("key").agg(*[(F.sum(part) / permutations).alias(f"v{i}") for i, part in enumerate(parts)])
+    cells = [F.struct(F.lit(n).alias("feature"), F.col(f"v{i}").alias("value")) for i, n in enumerate(names)]
+    return sums.select(F.col("key").alias(key), F.inline(F.array(*cells))).where("value IS NOT NULL")
 
 
 def learning_curve(

@@ -1,9 +1,13 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from modelyard import settings
 from modelyard.operators import clustering, explain, partitioning, search, spectrum
 from modelyard.operators.models import FACTORIES, estimator, model_names
 from modelyard.plans.pipelines import evaluate
@@ -190,6 +194,46 @@ def test_every_row_is_explained(spark):
     assert N > 100 and found.count() == 4 * N and found.select("key").distinct().count() == N
 
 
+class CountedModel:
+    """x0 * x1 + max(x2, x3), and how many rows it has been given."""
+
+    def __init__(self):
+        self.seen = 0
+
+    def transform(self, df):
+        self.seen += df.count()
+        x = vector_to_array("features")
+        return df.withColumn("prediction", x[0] * x[1] + F.greatest(x[2], x[3]))
+
+
+def test_shapley_scores_no_mixture_twice(spark):
+    """Equal to a plain walk through the permutations, keys that come twice add up; a whole row and a background row are scored once."""
+    x = np.random.default_rng(3).normal(size=(40, 4))
+    x[1:10:2] = x[0:10:2]
+    rows = [(i // 2 if i < 10 else i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "key long, features array<double>").repartition(3)
+    model, permutations = CountedModel(), 5
+    found = {(r["key"], r["feature"]): r["value"] for r in explain.sampled_shapley(df, "key", model, list("abcd"), permutations=permutations).collect()}
+    background = [r["features"] for r in df.orderBy(explain.draw(["key"], settings.RANDOM_STATE + 1)).limit(explain.BACKGROUND_ROWS).collect()]
+    rng, want = random.Random(settings.RANDOM_STATE), Counter()
+    score = lambda v: v[0] * v[1] + max(v[2], v[3])
+    for _ in range(permutations):
+        order = list(range(4))
+        rng.shuffle(order)
+        base = background[rng.randrange(len(background))]
+        for key, row in rows:
+            now = list(base)
+            for f in order:
+                before, now[f] = score(now), row[f]
+                want[key, "abcd"[f]] += (score(now) - before) / permutations
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    assert model.seen <= len(rows) * (permutations * 3 + 1) + permutations
+    line = spark.createDataFrame([(1, [2.0]), (2, [5.0])], "key long, features array<double>")
+    one = estimator("linear_regression", "regression").fit(line.withColumn("label", F.get("features", F.lit(0)) * 3).withColumn("features", array_to_vector("features")))
+    got = {r["key"]: r["value"] for r in explain.sampled_shapley(line, "key", one, ["a"], permutations=3).collect()}
+    assert abs(got[2] - got[1] - 9.0) < 1e-6
+
+
 def test_clustering_metrics_have_one_name_at_all_sizes(spark, monkeypatch):
     for name in ("silhouette", "silhouette_squared", "calinski_harabasz", "davies_bouldin"):
         monkeypatch.setattr(clustering, name, lambda *_, name=name: spark.range(1).select(F.lit(0.5).alias(name)))
