@@ -4,6 +4,7 @@ from collections.abc import Sequence
 from math import log
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from modelyard.functions.values import nan_to_null
@@ -46,6 +47,64 @@ def yeo_johnson(column, lam: float):
     return F.when(x >= 0, up).otherwise(down)
 
 
+MOMENTS = ["n", "low", "high", "logs", "mean", "square"]
+
+
+def _powers(u: np.ndarray, lam: float) -> np.ndarray:
+    """((1 + x)^lam - 1) / lam from u = log1p(x)."""
+    return u if abs(lam) < 1e-12 else np.expm1(lam * u) / lam
+
+
+def _moments(x: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """MOMENTS of the transformed values for each lambda: rows, range of x, sum of signed logarithms, mean, squares about it."""
+    x = np.concatenate([x[x >= 0], x[x < 0]])
+    ups = int((x >= 0).sum())
+    u = np.log1p(np.abs(x))
+    logs = u[:ups].sum() - u[ups:].sum()
+    out = np.empty((len(grid), len(MOMENTS)))
+    for j, g in enumerate(grid):
+        y = np.concatenate([_powers(u[:ups], g), -_powers(u[ups:], 2 - g)]) if ups < len(x) else _powers(u, g)
+        y = y - (first := y[0])
+        mean = y.mean()
+        out[j] = len(x), x.min(), x.max(), logs, mean + first, ((y - mean) ** 2).sum()
+    return out
+
+
+def _merged(parts: np.ndarray) -> np.ndarray:
+    """Moments (parts x lambdas x MOMENTS) of all parts together."""
+    n, low, high, logs, mean, square = np.moveaxis(parts, 2, 0)
+    first = mean[0]
+    middle = first + (n * (mean - first)).sum(axis=0) / n.sum(axis=0)
+    square = (square + n * (mean - middle) ** 2).sum(axis=0)
+    return np.stack([n.sum(axis=0), low.min(axis=0), high.max(axis=0), logs.sum(axis=0), middle, square], axis=1)
+
+
+def _grid_moments(df: DataFrame, grids: dict[str, np.ndarray]) -> dict[tuple[int, int], tuple[float, float]]:
+    """(variance, mean signed logarithm) of each column and lambda in one pass: a few numbers a task, merged per column."""
+
+    def measure(batches):
+        found: dict[int, np.ndarray] = {}
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for i, (c, grid) in enumerate(grids.items()):
+                    x = batch[c].to_numpy(dtype=float)
+                    if len(x := x[~np.isnan(x)]):
+                        own = _moments(x, grid)
+                        found[i] = _merged(np.stack([found[i], own])) if i in found else own
+        for i, rows in found.items():
+            yield pd.DataFrame(rows, columns=MOMENTS).assign(i=i, j=range(len(rows)))
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        with np.errstate(all="ignore"):
+            rows = _merged(parts[MOMENTS].to_numpy()[:, None, :])
+        return pd.DataFrame(rows, columns=MOMENTS).assign(i=parts["i"].iloc[0], j=parts["j"].iloc[0])
+
+    schema = ", ".join(f"{c} double" for c in MOMENTS) + ", i int, j int"
+    rows = df.mapInPandas(measure, schema).groupBy("i", "j").applyInPandas(merge, schema).collect()
+    # Equal values have no variance, whatever rounding says.
+    return {(r["i"], r["j"]): (0.0 if r["low"] == r["high"] else r["square"] / r["n"], r["logs"] / r["n"]) for r in rows}
+
+
 def fit_power(df: DataFrame, columns: Sequence[str], low: float = -2.0, high: float = 4.0, rounds: int = 5) -> dict:
     """(lambda, mean, deviation) per column: lambda maximises the likelihood on a grid that is refined `rounds` times.
 
@@ -57,17 +116,12 @@ def fit_power(df: DataFrame, columns: Sequence[str], low: float = -2.0, high: fl
     centre = {c: (low + high) / 2 for c in columns}
     half = (high - low) / 2
     for _ in range(rounds):
-        cells = []
         grids = {c: np.linspace(centre[c] - half, centre[c] + half, 9) for c in columns}
-        for i, c in enumerate(columns):
-            x = F.col(f"`{c}`").cast("double")
-            cells.append(F.avg(F.signum(x) * F.log1p(F.abs(x))).alias(f"s{i}"))
-            cells += [F.var_pop(yeo_johnson(x, float(g))).alias(f"v{i}_{j}") for j, g in enumerate(grids[c])]
-        row = df.agg(*cells).first()
+        found = _grid_moments(df, grids)
         for i, c in enumerate(columns):
             scores = [
-                -0.5 * log(row[f"v{i}_{j}"]) + (g - 1) * row[f"s{i}"] if row[f"v{i}_{j}"] else float("-inf")
-                for j, g in enumerate(grids[c])
+                -0.5 * log(v) + (g - 1) * s if v else float("-inf")
+                for g, (v, s) in zip(grids[c], (found.get((i, j), (None, None)) for j in range(len(grids[c]))))
             ]
             centre[c] = float(grids[c][int(np.argmax(scores))])
         half /= 4
