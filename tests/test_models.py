@@ -8,7 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from modelyard import settings
-from modelyard.operators import clustering, explain, partitioning, search, spectrum
+from modelyard.operators import boosting, clustering, explain, partitioning, search, spectrum
 from modelyard.operators.models import FACTORIES, estimator, model_names
 from modelyard.plans.pipelines import evaluate
 
@@ -51,6 +51,21 @@ def test_regressors(spark, name):
     assert -search.score(model, df, "regression") < 0.6 * LINE.var()
 
 
+@pytest.mark.parametrize(("task", "label"), [("classification", CLASS), ("regression", LINE)])
+def test_adaboost_writes_and_keeps_nothing_for_no_round(spark, task, label, monkeypatch):
+    """After the last tree no weights are written, and no rows stay behind; five rounds are the first five of seven."""
+    written, cut = [], boosting.cut_lineage
+    monkeypatch.setattr(boosting, "cut_lineage", lambda df: written.append(df) or cut(df))
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    df, before = table(spark, label), kept()
+    five = estimator("ada_boost", task, n_estimators=5).fit(df)
+    assert not written and kept() <= before
+    seven = estimator("ada_boost", task, n_estimators=7).fit(df)
+    assert len(written) == (len(seven.trees) > 5) and kept() <= before + len(written)
+    text = lambda model: [tree.toDebugString.split("\n", 1)[1] for tree in model.trees[:5]]
+    assert len(five.trees) == 5 and text(five) == text(seven) and np.allclose(five.weights, seven.weights[:5], rtol=1e-12)
+
+
 def test_ridge_matches_the_closed_form(spark):
     model = estimator("ridge", "regression", alpha=5.0).fit(table(spark, LINE))
     xc = X - X.mean(axis=0)
