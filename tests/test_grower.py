@@ -184,3 +184,36 @@ def test_batches_are_packed_once(spark):
     assert sorted(x[:, 0]) == list(range(1000)) and np.allclose(x[:, 1], -x[:, 0] / 7)
     assert (np.concatenate([p["label"] for p in parts]) == x[:, 0] % 3).all() and (np.vstack([p["margin"] for p in parts]) == 0.5).all()
     assert (np.hstack([p["bins"] for p in parts]) == [np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)]).all()
+
+
+def test_leaves_are_looked_at_a_level_a_pass(spark, monkeypatch):
+    """A best-first tree of 16 leaves took 16 passes, one per split; its rows come as pieces in which equal bins are one row."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 8, size=(2000, 2)).astype(float)
+    y = 10 * x[:, 0] + x[:, 1] + rng.normal(size=2000)
+    df = table(spark, y, x)
+    passes, seen = [], grower.SecondOrderBoosting._best_splits
+    monkeypatch.setattr(grower.SecondOrderBoosting, "_best_splits", lambda self, *a: passes.append(len(a[2])) or seen(self, *a))
+    model = SecondOrderBoosting("regression", "leaf", n_estimators=1, max_leaves=16, least_rows=5).fit(df)
+    tree = model.rounds()[0][0]
+    assert sum(f < 0 for f in tree.feature) == 16 and len(passes) <= 7
+    g = y.mean() - y
+    want = sorted(-0.1 * g[rows].mean() for rows in plain_tree(x, g, np.ones(2000), 99, 0.0, "leaf", 16, 5))
+    assert np.allclose(sorted(v[0] for v, f in zip(tree.value, tree.feature) if f < 0), want, atol=1e-9)
+
+
+def test_equal_bins_of_a_chunk_are_one_row(spark, monkeypatch):
+    monkeypatch.setattr(grower, "PIECE_ROWS", 5)
+    rows = [(i % 6, float(i % 2) if i % 7 else None, float(i % 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, label double".replace("a double", "a int")).repartition(2)
+    df = df.selectExpr("array(double(a), coalesce(b, double('NaN'))) AS features", "label")
+    edges = [np.array([0.0, 2.0, 4.0]), np.array([0.0])]
+    for by_label in (False, True):
+        made = grower.binned(df, edges, [0.25], False, by_label).toPandas()
+        assert made["n"].max() <= 5 and "x" not in made
+        parts = list(grower.unpacked([made], grower.bin_kind(edges)))
+        assert sum(p["weight"].sum() for p in parts) == 600 and sum(len(p["weight"]) for p in parts) < 100
+        assert sum((p["weight"] * p["label"]).sum() for p in parts) == sum(r[2] for r in rows)
+        assert all((p["margin"] == 0.25).all() for p in parts) and {b for p in parts for b in p["bins"][1]} == {0, 1, 2}
+    drawn = grower.binned(df, edges, [0.25], True, False).toPandas()
+    assert drawn["n"].sum() == 600 and "x" in drawn
