@@ -223,6 +223,23 @@ def test_eigenvalues_of_the_neighbour_graph(spark):
     assert np.abs(dense @ u - u * values).max() < 1e-5 and np.abs(u.T @ u - np.eye(5)).max() < 1e-8
 
 
+def test_a_product_has_a_row_of_bytes_per_two_parts(spark, monkeypatch):
+    """The entries are packed once, and parts of the rows give the same values as all together."""
+    rng = np.random.default_rng(4)
+    dense = np.diag(np.r_[9.0, 7.0, 5.0, rng.uniform(0, 1, 57)])
+    turn = np.linalg.qr(rng.normal(size=(60, 60)))[0]
+    dense = turn @ dense @ turn.T
+    entries = spark.createDataFrame([(i, j, float(dense[i, j])) for i in range(60) for j in range(60)], "a long, b long, weight double")
+    nodes = spark.range(60).toDF("key")
+    monkeypatch.setattr(spectrum, "PART_ROWS", (4, 25))
+    seen, made = spectrum.packed_entries, []
+    monkeypatch.setattr(spectrum, "packed_entries", lambda *a: made.append(seen(*a)) or made[-1])
+    values, vectors = spectrum.top_eigenvectors(entries, nodes, 3, 1e-5)
+    assert np.abs(values - [9, 7, 5]).max() < 1e-6 and 1 < made[0].count() <= 225
+    u = np.array([r["x"] for r in vectors.orderBy("key").collect()])
+    assert np.abs(dense @ u - u * values).max() < 1e-4
+
+
 def test_eigenvalues_of_a_matrix_smaller_than_the_block(spark):
     dense = np.array([[2.0, 1.0, 0.0], [1.0, 0.0, 0.5], [0.0, 0.5, -1.0]])
     rows = [(i, j, float(dense[i, j])) for i in range(3) for j in range(3)]
