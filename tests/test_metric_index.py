@@ -178,6 +178,22 @@ def test_single_linkage_equals_the_plain_tree(spark, cell_rows, block_rows):
     assert [c for _, c in sorted((r["key"], r["cluster"]) for r in cut)] == plain_cut(want, len(x), 5)
 
 
+def test_single_linkage_seldom_looks_beyond_its_lists(spark, monkeypatch):
+    """Three groups, and equal rows: two passes over pairs make the lists, and few rows, never those of the largest component, look further."""
+    x = np.vstack([np.random.default_rng(2).normal(size=(n, 3)) + c for n, c in ((60, 0), (30, 40), (20, 90))])
+    x[5:25] = x[5]
+    seen, asked = metric_index.tiles, []
+    monkeypatch.setattr(metric_index, "tiles", lambda rows, *a, **k: asked.append(rows.count() if "comp" in rows.columns else 0) or seen(rows, *a, **k))
+    tree = partitioning.single_linkage(frame(spark, x), "key", 20, 10).collect()
+    assert sorted((r["gap"], r["a"], r["b"]) for r in tree) == plain_tree(x)
+    assert asked[:2] == [0, 0] and max(asked) <= 91 - 41
+
+
+def test_single_linkage_of_equal_rows_only(spark):
+    tree = partitioning.single_linkage(frame(spark, np.ones((30, 2))), "key").collect()
+    assert sorted((r["gap"], r["a"], r["b"]) for r in tree) == [(0.0, 0, i) for i in range(1, 30)]
+
+
 def test_single_linkage_of_few_rows(spark):
     assert partitioning.single_linkage(frame(spark, np.zeros((1, 2))), "key").count() == 0
     assert partitioning.agglomerative(frame(spark, np.zeros((0, 2))), "key", 2).count() == 0
